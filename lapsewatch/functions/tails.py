@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Executors need not have this package installed: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -101,11 +107,11 @@ def _batched(function):
     return apply
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _batched(student_two_sided)(t, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p_value(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return _batched(chi_square_upper)(statistic, dof)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +79,24 @@ class Scaler:
         })
 
 
+class PopulationScaler(Estimator):
+    """Pipeline stage that fits a ``Scaler``; the fitted stage is a plain, savable projection.
+
+    Spark's own scaler divides by the sample deviation; here the population deviation is wanted.
+    """
+
+    def __init__(self, columns: Sequence[str]):
+        super().__init__()
+        self.columns = list(columns)
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        scaler = Scaler.fit(dataset, self.columns)
+        scaled = ", ".join(
+            f"(`{c}` - {m!r}D) / {scaler.deviations[c] or 1.0!r}D AS `{c}__scaled`"
+            for c, m in scaler.means.items())
+        return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
+
+
 def routed_stages(
     categorical: Sequence[str] = K.CATEGORICAL,
     numeric: Sequence[str] = K.NUMERIC,
@@ -86,20 +104,13 @@ def routed_stages(
     output: str = "features",
 ) -> list:
     """Stages from engineered rows to the model vector: one-hot, scaled numerics, flags."""
-    from pyspark.ml.feature import StandardScaler
-
     stages, parts = [], []
     if categorical:
         stages += one_hot_stages(categorical)
         parts += [f"{c}__hot" for c in categorical]
     if numeric:
-        stages += [
-            VectorAssembler(inputCols=list(numeric), outputCol="numeric__raw",
-                            handleInvalid="keep"),
-            StandardScaler(inputCol="numeric__raw", outputCol="numeric__scaled",
-                           withMean=True, withStd=True),
-        ]
-        parts.append("numeric__scaled")
+        stages.append(PopulationScaler(numeric))
+        parts += [f"{c}__scaled" for c in numeric]
     parts += list(binary)
     stages.append(VectorAssembler(inputCols=parts, outputCol=output, handleInvalid="keep"))
     return stages

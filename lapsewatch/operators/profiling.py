@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewatch.functions.scalars import ratio, tall
 from lapsewatch.operators.ranking import exact_quantiles
+from lapsewatch.operators.smalltables import join_small
 
 
 def _rate(label: str = "label") -> Column:
@@ -47,8 +48,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn(
-        "share", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def revenue_at_risk(df: DataFrame, recovered: float = 0.10) -> DataFrame:
@@ -119,8 +119,7 @@ def risk_profile(df: DataFrame, by: str) -> DataFrame:
         F.sum(F.col("label").cast("bigint")).alias("churners"),
         F.sum(F.when(F.col("label") == 1, F.col("MonthlyCharges")).otherwise(0.0))
         .alias("monthly_at_risk"))
-    all_groups = Window.partitionBy()
-    base = F.sum("churners").over(all_groups) / F.sum("customers").over(all_groups)
+    base = groups.agg(F.sum("churners") / F.sum("customers")).scalar()
     rate = F.col("churners") / F.col("customers")
     return groups.select(
         by, "customers", "churners", F.round(rate, 6).alias("churn_rate"),
@@ -134,8 +133,7 @@ def density_histogram(df: DataFrame, column: str, bins: int = 30, by: str = "lab
     value = F.col(column).cast("double")
     ranges = df.groupBy(by).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_rows"))
-    # Two or few classes: a table of that size is always small enough to broadcast.
-    ranged = df.select(by, value.alias("_v")).join(F.broadcast(ranges), by)
+    ranged = join_small(df.select(by, value.alias("_v")), ranges, [by])
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     slot = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(bins - 1))
     return (
@@ -168,8 +166,7 @@ def flag_lift(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 def group_lift(df: DataFrame, by: str) -> DataFrame:
     rates = rate_by(df, by)
-    whole = Window.partitionBy()
-    base = F.sum("churners").over(whole) / F.sum("customers").over(whole)
+    base = rates.agg(F.sum("churners") / F.sum("customers")).scalar()
     return rates.withColumn("lift", F.try_divide(F.col("churn_rate"), base))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["intake", "explore"]
+AREAS = ["intake", "explore", "evaluate"]
 
 
 def load_all() -> None:

@@ -148,12 +148,12 @@ def _pairs_sql(columns: list[str], having: str = "TRUE") -> str:
     place = ", ".join(f"('{c}', {i})" for i, c in enumerate(columns))
     return check(f"""
         WITH cells AS ({tall(columns, keep='customerID')}),
-          place(feature, at) AS (VALUES {place})
+          place(feature, pos) AS (VALUES {place})
         SELECT feature_a, feature_b, ROUND(r, 6) AS r FROM (
           SELECT a.feature AS feature_a, b.feature AS feature_b, CORR(a.value, b.value) AS r
           FROM cells a JOIN place p ON a.feature = p.feature JOIN cells b USING (customerID)
             JOIN place q ON b.feature = q.feature
-          WHERE p.at < q.at GROUP BY 1, 2) WHERE {having}""", "features")
+          WHERE p.pos < q.pos GROUP BY 1, 2) WHERE {having}""", "features")
 
 
 @query("a12_correlation_matrix", _pairs_sql(["label", *CHARGES, "service_adoption_count"]))
