@@ -1,20 +1,21 @@
 """Drift of a current table against a reference: PSI, chi-square, prediction shift, report.
 
-All features share one pass and one shuffle: rows become (side, feature, value) counts, so the
-amount shuffled depends on distinct values, not on rows.
+All features share one pass and one shuffle: rows become (feature, value) counts of both sides, so
+the amount shuffled depends on distinct values, not on rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewatch import constants as K
 from lapsewatch.functions.scalars import tall
 from lapsewatch.functions.tails import chi_square_p_value
 from lapsewatch.operators.ranking import exact_quantiles
+from lapsewatch.operators.smalltables import materialise
 
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -47,50 +48,53 @@ def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins:
     """
     names = _present(reference, current, features)
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit(name).alias("side"), tall(names)).where("value IS NOT NULL")
+    def side(df: DataFrame, ref: int) -> DataFrame:
+        return df.select(F.lit(ref).cast("bigint").alias("r"), tall(names))
 
+    # Both tables are read once; all that follows works on distinct values.
+    counts = materialise(
+        side(reference, 1).unionByName(side(current, 0)).where("value IS NOT NULL")
+        .groupBy("feature", "value").agg(
+            F.sum("r").alias("ref_n"), F.sum(1 - F.col("r")).alias("cur_n")), "psi-counts")
     quantiles = exact_quantiles(
-        side(reference, "ref"), "value", {f"e{i}": i / bins for i in range(bins + 1)}, ["feature"])
+        counts.where("ref_n > 0"), "value", {f"e{i}": i / bins for i in range(bins + 1)},
+        ["feature"], weight="ref_n")
     edges = quantiles.select("feature", F.sort_array(F.array_distinct(
         F.array(*[f"e{i}" for i in range(bins + 1)]))).alias("edges"))
-    counts = side(reference, "ref").unionByName(side(current, "cur")).groupBy(
-        "side", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    # One row of at most bins + 1 numbers per feature: always small enough to broadcast.
-    placed = counts.join(F.broadcast(edges), "feature").withColumn("bin", _bin_index("edges"))
-    held = placed.groupBy("feature", "bin").agg(
-        F.coalesce(F.sum(F.when(F.col("side") == "ref", F.col("n"))), F.lit(0)).alias("ref_n"),
-        F.coalesce(F.sum(F.when(F.col("side") == "cur", F.col("n"))), F.lit(0)).alias("cur_n"))
-    # Means and deviations from the (value, n) counts.
-    def weighted(which: str, value: Column) -> Column:
-        return F.sum(F.when(F.col("side") == which, value * F.col("n")))
-
-    value = F.col("value")
-    sides = placed.groupBy("feature", "edges").agg(*[
-        a for s in ("ref", "cur") for a in (
-            weighted(s, F.lit(1)).alias(f"{s}_rows"),
-            (weighted(s, value) / weighted(s, F.lit(1))).alias(f"{s}_mean"))])
-    spread = placed.join(
-        F.broadcast(sides.select("feature", "ref_mean", "cur_mean")), "feature"
-    ).groupBy("feature").agg(*[
-        F.sqrt(weighted(s, (value - F.col(f"{s}_mean")) * (value - F.col(f"{s}_mean")))
-               / weighted(s, F.lit(1))).alias(f"{s}_std") for s in ("ref", "cur")])
-    grid = sides.where("ref_rows > 0 AND cur_rows > 0").withColumn(
-        "bin", F.explode_outer(F.when(F.size("edges") >= 3, F.sequence(
-            F.lit(0), F.size("edges") - 2))))
-    shares = grid.join(held, ["feature", "bin"], "left")
+    value, ref_n, cur_n = F.col("value"), F.col("ref_n"), F.col("cur_n")
+    sides = counts.groupBy("feature").agg(
+        F.sum("ref_n").alias("ref_rows"), F.sum("cur_n").alias("cur_rows"),
+        F.try_divide(F.sum(value * ref_n), F.sum("ref_n")).alias("reference_mean"),
+        F.try_divide(F.sum(value * cur_n), F.sum("cur_n")).alias("current_mean"),
+    ).where("ref_rows > 0 AND cur_rows > 0").join(edges, "feature")
+    # One row per feature, with at most bins + 1 edges: always small enough to broadcast.
+    placed = counts.join(F.broadcast(sides), "feature").withColumn("bin", _bin_index("edges"))
+
+    def squares(mean: str, n: Column) -> Column:
+        return F.sum((value - F.col(mean)) * (value - F.col(mean)) * n)
+
+    carried = ["feature", "edges", "ref_rows", "cur_rows", "reference_mean", "current_mean"]
+    held = placed.groupBy(*carried, "bin").agg(
+        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"),
+        squares("reference_mean", ref_n).alias("ref_sq"),
+        squares("current_mean", cur_n).alias("cur_sq"))
 
     def share(which: str) -> Column:
-        return F.coalesce(F.col(f"{which}_n"), F.lit(0)) / F.col(f"{which}_rows") + K.PSI_FLOOR
+        return F.col(f"{which}_n") / F.col(f"{which}_rows") + K.PSI_FLOOR
 
+    # A bin nobody falls in on either side adds (floor - floor) * log(1) = 0, so the bins that
+    # occur are all that is needed.
     term = (share("cur") - share("ref")) * F.log(share("cur") / share("ref"))
-    scored = shares.groupBy("feature").agg(
-        F.sum(F.when(F.col("bin").isNull(), 0.0).otherwise(term)).alias("psi"),
-        F.max("ref_mean").alias("reference_mean"), F.max("cur_mean").alias("current_mean"))
-    return scored.join(spread, "feature").select(
-        "feature", "psi", (F.col("psi") > limit).alias("is_drifted"),
-        "reference_mean", "current_mean", F.col("ref_std").alias("reference_std"),
-        F.col("cur_std").alias("current_std"))
+    counted = F.col("bin").isNotNull() & (F.size("edges") >= 3)
+    scored = held.groupBy("feature").agg(
+        F.sum(F.when(counted, term).otherwise(0.0)).alias("psi"),
+        F.max("reference_mean").alias("reference_mean"),
+        F.max("current_mean").alias("current_mean"),
+        F.sqrt(F.sum("ref_sq") / F.max("ref_rows")).alias("reference_std"),
+        F.sqrt(F.sum("cur_sq") / F.max("cur_rows")).alias("current_std"))
+    return scored.select(
+        "feature", "psi", (F.col("psi") > limit).alias("is_drifted"), "reference_mean",
+        "current_mean", "reference_std", "current_std")
 
 
 def _bin_index(edges: str) -> Column:

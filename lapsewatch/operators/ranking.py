@@ -77,14 +77,18 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
+    ``weight`` names a column of row counts when the input is already combined per value.
+
     The position of fraction q among n ordered values is q * (n - 1); the two neighbours are read
     off the running counts, so no task ever sorts a whole group.
     """
-    ranked = running_totals(df, value, {"n": F.count(F.lit(1))}, by)
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    ranked = running_totals(df, value, {"n": rows}, by)
     picks = []
     for name, q in fractions.items():
         position = F.lit(float(q)) * (F.col("n_all") - 1)

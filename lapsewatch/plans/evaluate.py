@@ -637,7 +637,7 @@ def q19(spark, sf_dir):
 
 
 # Student's t at 1 - 0.05/2 and 1 - (0.05/6)/2 with 4 degrees of freedom.
-T_05, T_BONFERRONI = 2.7764451051977987, 4.8509
+T_05, T_BONFERRONI = 2.7764451051977987, 4.851008443
 
 PAIRS = f"""
     WITH t AS ({TUNED_SQL}), s AS ({ranking_sql('t', 'model, fold')})
