@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["intake", "explore", "evaluate", "monitor"]
+AREAS = ["intake", "explore", "evaluate", "monitor", "serve"]
 
 
 def load_all() -> None:

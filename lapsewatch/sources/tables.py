@@ -110,10 +110,13 @@ def _instants(df: DataFrame) -> DataFrame:
 
 def subscribers(spark: SparkSession, sf_dir: str, with_date: bool = False) -> DataFrame:
     """The 21-column customer table; ``with_date`` adds the sign-up instant."""
+    return subscribers_of(table(spark, sf_dir, "orders"), with_date)
+
+
+def subscribers_of(orders: DataFrame, with_date: bool = False) -> DataFrame:
+    """Customer rows of an orders table or stream."""
     extra = ", o_orderdate AS signed_up" if with_date else ""
-    return spark.sql(
-        SUBSCRIBERS_SQL.replace("{extra}", extra), orders=table(spark, sf_dir, "orders")
-    )
+    return orders.sparkSession.sql(SUBSCRIBERS_SQL.replace("{extra}", extra), orders=orders)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +126,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dirty_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customer table with injected rule violations."""
+    return dirtied(subscribers(spark, sf_dir))
+
+
+def dirtied(customers: DataFrame) -> DataFrame:
     key = F.col("customerID").cast("bigint") % 388
-    return subscribers(spark, sf_dir).withColumns({
+    return customers.withColumns({
         "gender": F.when(key == 0, "X").otherwise(F.col("gender")),
         "tenure": F.when(key == 97, -1).otherwise(F.col("tenure")),
         "MonthlyCharges": F.when(key == 194, 0.0).otherwise(F.col("MonthlyCharges")),
