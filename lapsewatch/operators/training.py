@@ -1,10 +1,399 @@
-"""placeholder"""
+"""Model training with Spark ML: factory, cross-validation, calibration, search, benchmarks.
+
+Every fit and every prediction runs on the executors; the driver handles metrics of a few rows.
+Predictions of a cross-validation are written once to the shared folder before they are measured,
+so losing an executor never repeats a fit.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+import random
+import time
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import (
+    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
+)
+from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapsewatch import constants as K
+from lapsewatch.operators import calibration, fairness, features, metrics, splitting
+from lapsewatch.operators.encoding import routed_stages, vector_names
+from lapsewatch.operators.smalltables import materialise
+from lapsewatch.session import scratch_path
 
-def class_weights(df, fixed=2.76):
-    from pyspark.sql import Window
+SPEC = dict(featuresCol="features", labelCol="label", weightCol="weight")
+
+# The algorithms a configuration may name, with their defaults.
+ALGORITHMS: dict[str, Callable[..., Estimator]] = {
+    "gradient_boosting": lambda **p: GBTClassifier(**SPEC, seed=K.SEED, **{
+        "maxIter": 100, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, **p}),
+    "random_forest": lambda **p: RandomForestClassifier(**SPEC, seed=K.SEED, **{
+        "numTrees": 300, "maxDepth": 12, **p}),
+    "decision_tree": lambda **p: DecisionTreeClassifier(**SPEC, seed=K.SEED, **p),
+    "logistic_regression": lambda **p: LogisticRegression(**SPEC, **{"maxIter": 100, **p}),
+    "linear_svc": lambda **p: LinearSVC(**SPEC, **p),
+}
+
+
+def classifier(algorithm: str, **params) -> Estimator:
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm {algorithm}; known: {', '.join(ALGORITHMS)}")
+    return ALGORITHMS[algorithm](**params)
+
+
+class FeatureStage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """The 28 features as a pipeline stage, so a saved model takes clean customer rows."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return features.engineer(dataset)
+
+
+class ImportanceSelector(Estimator):
+    """Keeps the vector slots whose importance reaches a share of the mean importance."""
+
+    def __init__(self, share: float = 0.5, input_col: str = "all_features",
+                 output_col: str = "features", **params):
+        super().__init__()
+        self.share, self.input_col, self.output_col = share, input_col, output_col
+        self.params_ = {"maxIter": 10, "maxDepth": 4, **params}
+
+    def _fit(self, dataset: DataFrame) -> VectorSlicer:
+        judge = classifier("gradient_boosting", **self.params_).setFeaturesCol(self.input_col)
+        importances = judge.fit(dataset).featureImportances.toArray()
+        limit = self.share * importances.mean()
+        kept = [i for i, x in enumerate(importances) if x >= limit]
+        return VectorSlicer(inputCol=self.input_col, outputCol=self.output_col, indices=kept)
+
+
+def model_pipeline(algorithm: str = "gradient_boosting", params: Mapping | None = None,
+                   select: bool = True, engineer: bool = True,
+                   selector: Mapping | None = None, **routes: Sequence[str]) -> Pipeline:
+    """Features -> encoding -> importance selection -> classifier; any part can be changed."""
+    vector = "all_features" if select else "features"
+    stages = [FeatureStage()] if engineer else []
+    stages += routed_stages(output=vector, **routes)
+    if select:
+        stages.append(ImportanceSelector(**(selector or {})))
+    stages.append(classifier(algorithm, **(params or {})))
+    return Pipeline(stages=stages)
+
+
+def class_weights(df: DataFrame, fixed: float = K.POSITIVE_CLASS_WEIGHT) -> DataFrame:
+    """Per class: rows, the balancing weight n / (2 * rows), and the fixed positive weight."""
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumns({
-        "balanced_weight": F.sum("n").over(Window.partitionBy()) / (2.0 * F.col("n")),
-        "fixed_weight": F.when(F.col("label") == 1, F.lit(fixed)).otherwise(F.lit(1.0))})
+        "balanced_weight": total / (2.0 * F.col("n")),
+        "fixed_weight": F.when(F.col("label") == 1, F.lit(fixed)).otherwise(F.lit(1.0)),
+    })
+
+
+def with_weight(df: DataFrame, weight: float | str = K.POSITIVE_CLASS_WEIGHT) -> DataFrame:
+    """``weight`` column: a factor for positives, or "balanced"."""
+    if weight == "balanced":
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).first()
+        up, down = row["n"] / (2.0 * row["p"]), row["n"] / (2.0 * (row["n"] - row["p"]))
+    else:
+        up, down = float(weight), 1.0
+    return df.withColumn("weight", F.when(F.col("label") == 1, up).otherwise(F.lit(down)))
+
+
+def positive_probability(df: DataFrame) -> Column:
+    """Probability of class 1; a classifier without one gives the logistic of its margin."""
+    if "probability" in df.columns:
+        return vector_to_array("probability")[1]
+    return 1.0 / (1.0 + F.exp(-vector_to_array("rawPrediction")[1]))
+
+
+def score(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:
+    """Input columns plus the churn probability."""
+    scored = model.transform(df)
+    return scored.withColumn(name, positive_probability(scored)).select(*df.columns, name)
+
+
+def cross_validate(df: DataFrame, pipeline: Pipeline, k: int = 5, with_train: bool = False
+                   ) -> DataFrame:
+    """Out-of-fold predictions (fold, part, label, prob); everything is refitted in each fold."""
+    rows = splitting.add_fold(df, k).persist()
+    try:
+        parts = []
+        for fold in range(k):
+            inside = rows.where(F.col("fold") != fold)
+            model = pipeline.fit(inside)
+            held = {"validation": rows.where(F.col("fold") == fold)}
+            if with_train:
+                held["train"] = inside
+            parts += [
+                score(model, part).select(
+                    F.lit(fold).alias("fold"), F.lit(name).alias("part"), "label", "prob")
+                for name, part in held.items()]
+        return materialise(_union(parts), "cv-predictions")
+    finally:
+        rows.unpersist()
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def dummy_predictions(df: DataFrame, k: int = 5) -> DataFrame:
+    """A stratified guess: 1 with the probability of the base rate, fixed by the key."""
+    rate = df.agg(F.avg(F.col("label").cast("double"))).scalar()
+    return splitting.add_fold(df, k).select(
+        "fold", F.lit("validation").alias("part"), "label",
+        (splitting.hash_share(salt="dummy:") < rate).cast("double").alias("prob"))
+
+
+def scan(df: DataFrame, pipelines: Mapping[str, Pipeline], k: int = 5) -> DataFrame:
+    """Leaderboard of several pipelines and a dummy by cross-validated average precision."""
+    from lapsewatch.operators import leaderboard
+    parts = [cross_validate(df, p, k).withColumn("model", F.lit(m)) for m, p in pipelines.items()]
+    parts.append(dummy_predictions(df, k).withColumn("model", F.lit("Dummy")))
+    scores = leaderboard.fold_scores(_union(parts))
+    return leaderboard.cv_summary(scores).orderBy(F.desc("cv_pr_auc_mean"))
+
+
+def importances(model: PipelineModel, df: DataFrame, top: int = 20) -> DataFrame:
+    """Largest importances of the fitted classifier with the names of their slots."""
+    last = model.stages[-1]
+    names = vector_names(model.transform(df.limit(0)))
+    weights = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
+    rows = [(n, float(w)) for n, w in zip(names, weights.toArray())]
+    rows = sorted(rows, key=lambda r: (-abs(r[1]), r[0]))[:top]
+    return df.sparkSession.createDataFrame(
+        [(i + 1, n, w) for i, (n, w) in enumerate(rows)], "place int, feature string, importance double")
+
+
+def save_model(model: PipelineModel, path: str) -> str:
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_or_train(path: str | None, train: Callable[[], PipelineModel]) -> PipelineModel:
+    """The saved model when there is one, else a freshly trained one."""
+    if path:
+        try:
+            return PipelineModel.load(path)
+        except Exception as error:  # Spark wraps a missing path in engine-specific errors
+            if "does not exist" not in str(error).lower() and "not found" not in str(error).lower():
+                raise
+    return train()
+
+
+def log_run(spark: SparkSession, path: str, run_id: str, values: Mapping[str, object],
+            prefix: str = "") -> None:
+    """Append one run's parameters or numeric metrics as (run_id, key, value) rows."""
+    rows = [(run_id, f"{prefix}{key}", str(value)) for key, value in values.items()
+            if not (prefix and not isinstance(value, (int, float)))]
+    spark.createDataFrame(rows, "run_id string, key string, value string").write.mode(
+        "append").parquet(path)
+
+
+def experiment(df: DataFrame, pipeline: Pipeline, k: int = 3,
+               attributes: Sequence[str] = ("gender", "SeniorCitizen")) -> DataFrame:
+    """Split, cross-validate, fit, calibrate and choose a threshold on validation rows, then
+    measure on test rows: (section, name, value) findings with the release gates."""
+    rows = splitting.add_split(df)
+    train = rows.where("split = 'train'").drop("split")
+    folds = metrics.ranking_scores(cross_validate(train, pipeline, k), ["fold"])
+    model = pipeline.fit(train)
+    held = materialise(
+        score(model, rows.where("split <> 'train'")).select(
+            "customerID", "split", "label", "prob", *attributes), "held-out")
+    validation = held.where("split = 'validation'")
+    isotonic = calibration.fit_isotonic(validation)
+    calibrated = materialise(
+        calibration.apply_isotonic(held, isotonic).withColumnRenamed("prob", "raw_prob")
+        .withColumnRenamed("calibrated", "prob"), "calibrated")
+    sweep = metrics.threshold_sweep(calibrated.where("split = 'validation'"))
+    threshold = metrics.cost_optimal(sweep).first()["threshold"]
+    test = calibrated.where("split = 'test'")
+
+    def findings(section: str, one_row: DataFrame) -> DataFrame:
+        numbers = one_row.select(*[F.col(c).cast("double").alias(c) for c, t in one_row.dtypes
+                                   if t not in ("string",)])
+        return numbers.unpivot([], numbers.columns, "name", "value").select(
+            F.lit(section).alias("section"), "name", "value")
+
+    flat = metrics.flat_metrics(test, threshold).withColumn("passes_gates", metrics.passes_gates())
+    cv = folds.agg(
+        F.avg("roc_auc").alias("roc_auc_mean"), F.stddev_pop("roc_auc").alias("roc_auc_std"),
+        F.avg("average_precision").alias("pr_auc_mean"),
+        F.stddev_pop("average_precision").alias("pr_auc_std"))
+    audit = fairness.audit(test, attributes, threshold).agg(
+        F.min("parity_ratio").alias("min_parity_ratio"),
+        F.max("tpr_disparity").alias("max_tpr_disparity"),
+        F.max("fpr_disparity").alias("max_fpr_disparity"),
+        F.bool_and("overall_fair").alias("overall_fair"))
+    chosen = flat.select(F.lit(threshold).alias("threshold"))
+    return _union([
+        findings("cross_validation", cv), findings("threshold", chosen), findings("test", flat),
+        findings("calibration", calibration.compare_stages(test, "raw_prob", "prob")),
+        findings("fairness", audit)])
+
+
+# Search space as (low, high, scale) or (low, high, step).
+SEARCH_SPACE = {
+    "maxIter": (100, 1000, 50),
+    "stepSize": (0.01, 0.3, "log"),
+    "maxDepth": (3, 12, 1),
+    "minInstancesPerNode": (5, 50, 1),
+    "subsamplingRate": (0.5, 1.0, "linear"),
+    "weight": (1.0, 5.0, "linear"),
+}
+
+
+def draw(space: Mapping[str, tuple], source: random.Random) -> dict[str, float]:
+    """One random point of a search space."""
+    point = {}
+    for name, (low, high, kind) in space.items():
+        if kind == "log":
+            point[name] = math.exp(source.uniform(math.log(low), math.log(high)))
+        elif kind == "linear":
+            point[name] = source.uniform(low, high)
+        else:
+            point[name] = low + kind * source.randrange((high - low) // kind + 1)
+    return point
+
+
+def search(df: DataFrame, build: Callable[[dict], Pipeline], space: Mapping[str, tuple],
+           trials: int = 50, k: int = 3, seed: int = K.SEED, startup: int = 2) -> DataFrame:
+    """Random search by mean average precision; a weak trial ends early.
+
+    After each fold a trial whose mean so far is below the median of the earlier trials' means at
+    that fold is pruned, once ``startup`` trials have run. ``weight`` in a point is the weight of
+    the positive class.
+    """
+    source, reached, table = random.Random(seed), {}, []
+    rows = splitting.add_fold(df, k).persist()
+    try:
+        for trial in range(trials):
+            point = draw(space, source)
+            params = {n: v for n, v in point.items() if n != "weight"}
+            weighted = with_weight(rows, point.get("weight", 1.0))
+            pipeline, scores, pruned = build(params), [], False
+            for fold in range(k):
+                model = pipeline.fit(weighted.where(F.col("fold") != fold))
+                held = score(model, weighted.where(F.col("fold") == fold)).select("label", "prob")
+                scores.append(metrics.ranking_scores(held).first()["average_precision"])
+                mean = sum(scores) / len(scores)
+                others = sorted(reached.get(fold, []))
+                if len(others) >= startup and fold < k - 1:
+                    middle = len(others) // 2
+                    median = others[middle] if len(others) % 2 else (
+                        others[middle - 1] + others[middle]) / 2
+                    pruned = mean < median
+                reached.setdefault(fold, []).append(mean)
+                if pruned:
+                    break
+            table.append((trial, json.dumps(point, sort_keys=True), len(scores), mean, pruned))
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame(
+        table, "trial int, params string, folds int, value double, pruned boolean")
+
+
+def benchmark(df: DataFrame, pipelines: Mapping[str, Pipeline], k: int = 5) -> DataFrame:
+    """Per model: mean and deviation over folds of ROC-AUC, F1 at 0.5 and Brier score, and the
+    milliseconds per scored row."""
+    rows, parts, times = splitting.add_fold(df, k).persist(), [], []
+    try:
+        for name, pipeline in pipelines.items():
+            for fold in range(k):
+                model = pipeline.fit(rows.where(F.col("fold") != fold))
+                held = score(model, rows.where(F.col("fold") == fold)).select(
+                    F.lit(name).alias("model"), F.lit(fold).alias("fold"), "label", "prob")
+                start = time.perf_counter()
+                written = materialise(held, "benchmark")
+                spent = time.perf_counter() - start
+                parts.append(written)
+                times.append((name, fold, spent))
+    finally:
+        rows.unpersist()
+    keys = ["model", "fold"]
+    predictions = _union(parts)
+    spent = df.sparkSession.createDataFrame(times, "model string, fold int, seconds double")
+    at_half = predictions.groupBy(*keys).agg(
+        *metrics.confusion_columns(0.5), metrics.brier().alias("brier"),
+        F.count(F.lit(1)).alias("n")).withColumns(metrics.precision_recall_f1())
+    folds = at_half.join(metrics.ranking_scores(predictions, keys), keys).join(spent, keys)
+    folds = folds.withColumn("ms_per_row", F.col("seconds") * 1000.0 / F.col("n"))
+    return folds.groupBy("model").agg(*[
+        a for c in ("roc_auc", "f1", "brier", "ms_per_row")
+        for a in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])
+
+
+def benchmark_highlights(table: DataFrame) -> DataFrame:
+    """The model with the best ROC-AUC and the fastest one."""
+    return table.agg(
+        F.max_by("model", "roc_auc_mean").alias("best_roc_auc"),
+        F.min_by("model", "ms_per_row_mean").alias("fastest"))
+
+
+def learning_curve(df: DataFrame, pipeline: Pipeline, sizes: Sequence[float], k: int = 5
+                   ) -> DataFrame:
+    """Train and validation average precision per training share: mean and deviation over folds.
+
+    The shares are nested: a larger one contains the smaller ones.
+    """
+    rows = splitting.add_nested_share(splitting.add_fold(df, k), 100).persist()
+    try:
+        parts = []
+        for size in sizes:
+            for fold in range(k):
+                train = rows.where((F.col("fold") != fold)
+                                   & (F.col("size_step") <= round(size * 100)))
+                model = pipeline.fit(train)
+                for name, part in (("train", train),
+                                   ("validation", rows.where(F.col("fold") == fold))):
+                    parts.append(score(model, part).select(
+                        F.lit(float(size)).alias("size"), F.lit(fold).alias("fold"),
+                        F.lit(name).alias("part"), "label", "prob"))
+        predictions = materialise(_union(parts), "learning-curve")
+    finally:
+        rows.unpersist()
+    scores = metrics.ranking_scores(predictions, ["size", "fold", "part"])
+    return curve_table(scores)
+
+
+def curve_table(scores: DataFrame) -> DataFrame:
+    """Fold scores (size, part, average_precision) as one row per size (4 dp)."""
+    def of(part: str, aggregate) -> Column:
+        return F.round(aggregate(F.when(F.col("part") == part, F.col("average_precision"))), 4)
+
+    return scores.groupBy("size").agg(
+        of("train", F.avg).alias("train_mean"), of("train", F.stddev_pop).alias("train_std"),
+        of("validation", F.avg).alias("validation_mean"),
+        of("validation", F.stddev_pop).alias("validation_std"))
+
+
+def diagnose_curve(curve: DataFrame) -> DataFrame:
+    """Final gap, slope of the last steps and a verdict; one row per curve, few sizes each."""
+    from pyspark.sql import Window
+    order = Window.orderBy("size")
+    last_first = Window.orderBy(F.desc("size"))
+    step = F.col("validation_mean") - F.lag("validation_mean").over(order)
+    placed = curve.withColumns({"step": step, "from_end": F.row_number().over(last_first)})
+    rolled = placed.agg(
+        F.max(F.when(F.col("from_end") == 1, F.col("train_mean") - F.col("validation_mean")))
+        .alias("gap"),
+        F.max(F.when(F.col("from_end") == 1, F.col("validation_mean"))).alias("final"),
+        F.avg(F.when(F.col("from_end") <= 2, F.col("step"))).alias("slope"),
+        F.count(F.lit(1)).alias("sizes"))
+    gap = F.round("gap", 4)
+    return rolled.select(
+        gap.alias("final_gap"),
+        F.when(F.col("sizes") >= 3, F.round("slope", 6)).otherwise(F.lit(0.0)).alias("slope"),
+        F.when(gap > 0.05, "high_variance").when(F.col("final") < 0.60, "high_bias")
+        .otherwise("well_fitted").alias("diagnosis"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["intake", "explore", "evaluate", "monitor", "serve"]
+AREAS = ["intake", "explore", "evaluate", "monitor", "serve", "train"]
 
 
 def load_all() -> None:
