@@ -32,7 +32,7 @@ def one_hot_stages(columns: Sequence[str]) -> list:
     return [
         StringIndexer(inputCols=list(columns), outputCols=indexed,
                       stringOrderType="alphabetAsc", handleInvalid="keep"),
-        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
     ]
 
 

@@ -57,10 +57,14 @@ def cost_columns(miss: float = K.FALSE_NEGATIVE_COST,
 
 
 def cumulative(df: DataFrame, by: Sequence[str] = (), label: str = "label",
-               prob: str = "prob") -> DataFrame:
-    """Per distinct probability: rows and positives here, and at or above it."""
+               prob: str = "prob", weight: str | None = None) -> DataFrame:
+    """Per distinct probability: rows and positives here, and at or above it.
+
+    ``weight`` names a column of row counts when the input is already combined.
+    """
+    rows = F.col(weight) if weight else F.lit(1).cast("bigint")
     ranked = running_totals(
-        df, prob, {"n": F.count(F.lit(1)), "pos": F.sum(F.col(label).cast("bigint"))}, by)
+        df, prob, {"n": F.sum(rows), "pos": F.sum(F.col(label).cast("bigint") * rows)}, by)
     return ranked.select(
         *by, prob, "n", "pos", "n_all", "pos_all",
         (F.col("n_all") - F.col("n_upto") + F.col("n")).alias("n_from"),
@@ -69,13 +73,13 @@ def cumulative(df: DataFrame, by: Sequence[str] = (), label: str = "label",
 
 
 def ranking_scores(df: DataFrame, by: Sequence[str] = (), label: str = "label",
-                   prob: str = "prob") -> DataFrame:
+                   prob: str = "prob", weight: str | None = None) -> DataFrame:
     """ROC-AUC (ties count half) and average precision (step sum), one row per group.
 
     Both are NaN when a class is missing for ROC-AUC, and 0 for average precision without
     positives.
     """
-    table = cumulative(df, by, label, prob)
+    table = cumulative(df, by, label, prob, weight)
     pos, neg = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
     above = (F.col("pos_from") - F.col("pos")).cast("double")
     gains = pos * F.col("pos_from").cast("double") / F.col("n_from").cast("double")

@@ -353,10 +353,25 @@ def e03(spark, sf_dir):
     return rounded(encoding.Scaler.fit(rows, K.NUMERIC).transform(rows), 5)
 
 
-@query("e04_model_vectors")
+LEVELS = {**K.DOMAINS, "SeniorCitizen": ["0", "1"], "tenure_group": K.TENURE_GROUPS,
+          "monthly_charge_bin": K.CHARGE_BINS}
+SLOTS = (
+    [(f"{c}__hot_{v}", f"CAST({c} = '{v}' AS DOUBLE)")
+     for c in K.CATEGORICAL for v in sorted(LEVELS[c])]
+    + [(f"{c}__scaled", f"ROUND(({c} - AVG({c}) OVER ()) / STDDEV_POP({c}) OVER (), 5) "
+        "+ 0.0::DOUBLE") for c in K.NUMERIC]
+    + [(c, f"CAST({c} AS DOUBLE)") for c in K.BINARY])
+
+
+@query("e04_model_vectors", check("SELECT customerID, label, " + ", ".join(
+    f'{expression} AS "{name}"' for name, expression in SLOTS) + " FROM features", "features"))
 def e04(spark, sf_dir):
+    """The routed vector, one column per slot under the slot's own name."""
     vectors, _ = encoding.encode(model_rows(spark, sf_dir))
-    return vectors.select("customerID", "label", encoding.as_array().alias("features"))
+    slots = vectors.select("customerID", "label", encoding.as_array().alias("v"))
+    return slots.select("customerID", "label", *[
+        F.round(F.col("v")[i], 5).alias(name)
+        for i, name in enumerate(encoding.vector_names(vectors))])
 
 
 @query("e05_dummies", _flags_sql(["InternetService", "Contract", "PaymentMethod"], 1))

@@ -148,7 +148,7 @@ def d04(spark, sf_dir):
     return rounded(drift.prediction_drift(*dated_sides(spark, sf_dir)))
 
 
-def _findings_sql(sides: str) -> str:
+def findings_sql(sides: str) -> str:
     return f"""SELECT feature, 'psi' AS method, ROUND(psi, 4) AS score, is_drifted
         FROM ({psi_sql(K.NUMERIC + K.BINARY, sides)})
       UNION ALL SELECT feature, 'chi_squared', NULL, is_drifted
@@ -165,7 +165,7 @@ def _report_sql(sides: str) -> str:
           COUNT(*) FILTER (WHERE method = 'chi_squared') AS n_categorical,
           (SELECT drift_score FROM (WITH {sides} {PREDICTION})) AS prediction_score,
           (SELECT is_drifted FROM (WITH {sides} {PREDICTION})) AS prediction_drifted
-        FROM ({_findings_sql(sides)})""", "features")
+        FROM ({findings_sql(sides)})""", "features")
 
 
 def _report(sides):
@@ -199,7 +199,7 @@ def d06(spark, sf_dir):
 
 @query("d07_flat_scores", check("SELECT " + ", ".join(
     f"MAX(score) FILTER (WHERE feature = '{f}') AS drift_{f}" for f in K.NUMERIC + K.BINARY)
-    + f" FROM ({_findings_sql(DATED_VIEWS)})", "features"))
+    + f" FROM ({findings_sql(DATED_VIEWS)})", "features"))
 def d07(spark, sf_dir):
     numbers = {f: "numerical" for f in K.NUMERIC + K.BINARY}
     findings = drift.feature_findings(*dated_sides(spark, sf_dir), numbers)
@@ -207,7 +207,7 @@ def d07(spark, sf_dir):
 
 
 @query("d08_drift_table", check(
-    f"SELECT feature, method, score, is_drifted FROM ({_findings_sql(DATED_VIEWS)}) "
+    f"SELECT feature, method, score, is_drifted FROM ({findings_sql(DATED_VIEWS)}) "
     "WHERE method = 'psi'", "features"))
 def d08(spark, sf_dir):
     numbers = {f: "numerical" for f in K.NUMERIC + K.BINARY}
@@ -234,7 +234,7 @@ def d09(spark, sf_dir):
 @query("d10_severity", check(f"""
     SELECT feature, score, CASE WHEN score > 0.25::DOUBLE THEN 'significant'
       WHEN score >= 0.10::DOUBLE THEN 'moderate' ELSE 'none' END AS severity
-    FROM ({_findings_sql(DATED_VIEWS)}) WHERE method = 'psi'""", "features"))
+    FROM ({findings_sql(DATED_VIEWS)}) WHERE method = 'psi'""", "features"))
 def d10(spark, sf_dir):
     numbers = {f: "numerical" for f in K.NUMERIC + K.BINARY}
     findings = drift.feature_findings(*dated_sides(spark, sf_dir), numbers)

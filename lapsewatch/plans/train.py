@@ -14,13 +14,17 @@ from lapsewatch.operators import (
 )
 from lapsewatch.operators.encoding import routed_stages, vector_names, vector_size
 from lapsewatch.operators.smalltables import materialise
-from lapsewatch.plans.explore import CHARGES
+from lapsewatch.plans.evaluate import (
+    AT_CUT, COUNTS, CUT, RATIOS, SCAN_SQL, ranking_sql, scan_rows,
+)
+from lapsewatch.plans.explore import CHARGES, hash_share_sql, rounded
 from lapsewatch.plans.intake import model_rows
-from lapsewatch.plans.monitor import codes, dated_sides
+from lapsewatch.plans.monitor import DATED_VIEWS, codes, dated_sides, findings_sql
+from lapsewatch.plans.oracle import check
 from lapsewatch.plans.registry import query
 from lapsewatch.session import scratch_path
 from lapsewatch.sources import files
-from lapsewatch.sources.tables import subscribers
+from lapsewatch.sources.tables import scored, subscribers
 
 SMALL = {"maxIter": 5, "maxDepth": 3}
 FAST = {"maxIter": 20}
@@ -45,11 +49,13 @@ def boosted(select=True):
                                    selector={"maxIter": 3, "maxDepth": 3})
 
 
-@query("s07_json_report")
+@query("s07_json_report", check(
+    f"SELECT feature, method, is_drifted FROM ({findings_sql(DATED_VIEWS)})", "features"))
 def s07(spark, sf_dir):
     findings = drift.feature_findings(*dated_sides(spark, sf_dir))
     path = files.write_report(findings, scratch_path(spark, "report"))
-    return spark.read.schema(findings.schema).json(path)
+    return spark.read.schema(findings.schema).json(path).select(
+        "feature", "method", "is_drifted")
 
 
 @query("e06_importance_selection")
@@ -61,7 +67,7 @@ def e06(spark, sf_dir):
     kept = slicer.transform(encoded)
     names = vector_names(kept)
     return spark.createDataFrame(
-        [(n, vector_size(encoded), len(names)) for n in names],
+        [(n, vector_size(encoded, "all_features"), len(names)) for n in names],
         "feature string, slots int, kept int")
 
 
@@ -188,12 +194,19 @@ def m14(spark, sf_dir):
     return training.score(model, rows).select("customerID", "prob")
 
 
-@query("m15_run_log")
+@query("m15_run_log", check(f"""
+    WITH c AS (SELECT {AT_CUT} FROM scored)
+    SELECT 'run-1' AS run_id, key, value FROM (
+      SELECT 'algorithm' AS key, 'scorecard' AS value UNION ALL SELECT 'threshold', '0.3'
+      UNION ALL SELECT 'test_tp', CAST(tp AS VARCHAR) FROM c
+      UNION ALL SELECT 'test_fp', CAST(fp AS VARCHAR) FROM c
+      UNION ALL SELECT 'test_fn', CAST(fn AS VARCHAR) FROM c
+      UNION ALL SELECT 'test_tn', CAST(tn AS VARCHAR) FROM c)""", "scored"))
 def m15(spark, sf_dir):
-    row = metrics.flat_metrics(_scored_linear(spark, sf_dir), 0.3).first().asDict()
+    counts = metrics.confusion(scored(spark, sf_dir), CUT).first().asDict()
     path = scratch_path(spark, "runs")
-    training.log_run(spark, path, "run-1", {"algorithm": "logistic_regression", **FAST})
-    training.log_run(spark, path, "run-1", row, prefix="test_")
+    training.log_run(spark, path, "run-1", {"algorithm": "scorecard", "threshold": CUT})
+    training.log_run(spark, path, "run-1", {**counts, "note": "texts are left out"}, "test_")
     return spark.read.parquet(path)
 
 
@@ -221,6 +234,78 @@ def m18(spark, sf_dir):
     }, k=2)
 
 
+BENCH_SQL = f"""WITH t AS ({SCAN_SQL})
+    SELECT model, AVG(roc_auc) AS roc_auc_mean, STDDEV_POP(roc_auc) AS roc_auc_std,
+      AVG(f1) AS f1_mean, STDDEV_POP(f1) AS f1_std, AVG(brier) AS brier_mean,
+      STDDEV_POP(brier) AS brier_std
+    FROM (SELECT *, {RATIOS} FROM (SELECT model, fold, {COUNTS.format(t='0.5::DOUBLE')},
+            AVG(POWER(prob - label, 2)) AS brier FROM t GROUP BY model, fold))
+      JOIN ({ranking_sql('t', 'model, fold')}) USING (model, fold) GROUP BY model"""
+
+
+@query("m18_benchmark_scores", check(
+    "SELECT model, " + ", ".join(
+        f"ROUND({m}_{s}, 6) AS {m}_{s}" for m in training.BENCHMARKED for s in ("mean", "std"))
+    + f" FROM ({BENCH_SQL})", "scored"))
+def m18_scores(spark, sf_dir):
+    return rounded(training.benchmark_table(scan_rows(spark, sf_dir)))
+
+
+@query("m18_benchmark_highlights", check(f"""
+    SELECT ARG_MAX(model, roc_auc_mean) AS best_roc_auc, ARG_MIN(model, brier_mean) AS best_brier
+    FROM ({BENCH_SQL})""", "scored"))
+def m18_highlights(spark, sf_dir):
+    return training.benchmark_highlights(training.benchmark_table(scan_rows(spark, sf_dir)))
+
+
+SIZES = (0.1, 0.4, 0.7, 1.0)
+CURVE_SQL = f"""
+    WITH rows AS (SELECT label, prob, FLOOR({hash_share_sql('fold:')} * 5)::INT AS f,
+        FLOOR({hash_share_sql('size:')} * 100)::INT + 1 AS step FROM scored),
+      t AS (SELECT size, fold, CASE WHEN f = fold THEN 'validation' ELSE 'train' END AS part,
+              label, prob
+            FROM rows, (SELECT UNNEST({[*SIZES]}::DOUBLE[]) AS size),
+              (SELECT UNNEST(RANGE(0, 5))::INT AS fold)
+            WHERE step <= ROUND(size * 100))
+    SELECT size, ROUND(AVG(average_precision) FILTER (WHERE part = 'train'), 4) AS train_mean,
+      ROUND(STDDEV_POP(average_precision) FILTER (WHERE part = 'train'), 4) AS train_std,
+      ROUND(AVG(average_precision) FILTER (WHERE part = 'validation'), 4) AS validation_mean,
+      ROUND(STDDEV_POP(average_precision) FILTER (WHERE part = 'validation'), 4)
+        AS validation_std
+    FROM ({ranking_sql('t', 'size, fold, part')}) GROUP BY size"""
+
+
+def card_curve(spark, sf_dir):
+    """Learning curve of the full scorecard: rows are counted per step before they are repeated
+    for every size and fold they belong to."""
+    rows = splitting.add_nested_share(splitting.add_fold(scored(spark, sf_dir)), 100)
+    cells = rows.groupBy("fold", "size_step", "prob", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = F.array(*[F.lit(s) for s in SIZES])
+    spread = cells.withColumnRenamed("fold", "f").withColumns({
+        "size": F.explode(F.filter(sizes, lambda s: F.col("size_step") <= F.round(s * 100))),
+    }).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn(
+        "part", F.when(F.col("f") == F.col("fold"), "validation").otherwise("train"))
+    return training.curve_table(metrics.ranking_scores(
+        spread, ["size", "fold", "part"], weight="n"))
+
+
+@query("m19_curve_table", check(CURVE_SQL, "scored"))
+def m19_table(spark, sf_dir):
+    return card_curve(spark, sf_dir)
+
+
+@query("m19_curve_diagnosis", check(f"""
+    WITH c AS (SELECT *, validation_mean - LAG(validation_mean) OVER (ORDER BY size) AS step,
+        ROW_NUMBER() OVER (ORDER BY size DESC) AS back FROM ({CURVE_SQL}))
+    SELECT final_gap, slope, CASE WHEN final_gap > 0.05::DOUBLE THEN 'high_variance'
+        WHEN final < 0.60::DOUBLE THEN 'high_bias' ELSE 'well_fitted' END AS diagnosis
+    FROM (SELECT ROUND(MAX(train_mean - validation_mean) FILTER (WHERE back = 1), 4) AS final_gap,
+        MAX(validation_mean) FILTER (WHERE back = 1) AS final,
+        ROUND(AVG(step) FILTER (WHERE back <= 2), 6) AS slope FROM c)""", "scored"))
+def m19_diagnosis(spark, sf_dir):
+    return training.diagnose_curve(card_curve(spark, sf_dir))
+
+
 @query("m19_learning_curves")
 def m19(spark, sf_dir):
     pipeline = linear(categorical=["Contract", "InternetService"], numeric=CHARGES,
