@@ -185,9 +185,10 @@ def report(findings: DataFrame, prediction: DataFrame | None = None) -> DataFram
         F.count_if(F.col("method") == "psi").alias("n_numerical"),
         F.count_if(F.col("method") == "chi_squared").alias("n_categorical"))
     if prediction is not None:
-        rolled = rolled.withColumns({
-            "prediction_score": prediction.select("drift_score").scalar(),
-            "prediction_drifted": prediction.select("is_drifted").scalar(),
+        shift = prediction.select(F.struct("drift_score", "is_drifted")).scalar()
+        rolled = rolled.withColumn("_shift", shift).withColumns({
+            "prediction_score": F.col("_shift.drift_score"),
+            "prediction_drifted": F.col("_shift.is_drifted"),
         })
     else:
         rolled = rolled.withColumns({

@@ -14,13 +14,23 @@ from pyspark.sql import functions as F
 from lapsewatch import constants as K
 
 
+FEW_LEVELS = 64
+
+
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each text value becomes its position in sorted order; null becomes 0."""
     codes = [f"{c}__code" for c in columns]
     indexer = StringIndexer(inputCols=list(columns), outputCols=codes,
                             stringOrderType="alphabetAsc", handleInvalid="keep")
-    coded = indexer.fit(df.select(*columns)).transform(df)
-    return coded.withColumns({
+    fitted = indexer.fit(df.select(*columns))
+    if max(map(len, fitted.labelsArray)) <= FEW_LEVELS:
+        # A literal list keeps the lookup inside generated code.
+        return df.withColumns({
+            c: F.coalesce(F.array_position(F.array(*map(F.lit, levels)), F.col(c)) - 1,
+                          F.lit(0)).cast("int")
+            for c, levels in zip(columns, fitted.labelsArray)
+        })
+    return fitted.transform(df).withColumns({
         c: F.when(F.col(c).isNull(), 0).otherwise(F.col(code).cast("int"))
         for c, code in zip(columns, codes)
     }).drop(*codes)

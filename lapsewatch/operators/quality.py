@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +119,11 @@ def validation_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def meets_all(columns: Sequence[str]) -> Column:
+    """True when no rule is broken; never null."""
+    return ~reduce(or_, [r.broken for r in rules_for(columns)])
+
+
 def reasons(columns: Sequence[str]) -> Column:
     """Names of the broken rules as a comma-separated text, empty for a good row."""
     return F.concat_ws(",", *[
@@ -124,11 +131,18 @@ def reasons(columns: Sequence[str]) -> Column:
     ])
 
 
+def mark_rows(df: DataFrame, columns: Sequence[str] = REQUEST_RULE_COLUMNS) -> DataFrame:
+    """Every row with its ``reasons`` and a ``status`` of valid or rejected, in one projection."""
+    marked = df.withColumn("reasons", reasons(columns))
+    return marked.withColumn(
+        "status", F.when(F.col("reasons") == "", "valid").otherwise("rejected"))
+
+
 def split_rows(df: DataFrame, columns: Sequence[str] = REQUEST_RULE_COLUMNS
                ) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with ``reasons``); a bad row never reaches the model."""
-    marked = df.withColumn("reasons", reasons(columns))
-    return marked.where("reasons = ''").drop("reasons"), marked.where("reasons <> ''")
+    good = meets_all(columns)
+    return df.where(good), df.where(~good).withColumn("reasons", reasons(columns))
 
 
 def implausible_total() -> Column:

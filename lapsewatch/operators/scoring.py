@@ -64,10 +64,12 @@ def score_isolating_failures(df: DataFrame, probability: Column, threshold: floa
 
     One bad row never fails the batch; its probability is null.
     """
-    marked = df.withColumn("reasons", quality.reasons(quality.REQUEST_RULE_COLUMNS))
-    good = F.col("reasons") == ""
+    columns = quality.REQUEST_RULE_COLUMNS
+    good = F.col("_good")
+    marked = df.withColumn("_good", quality.meets_all(columns))
     scored = decide(marked.withColumn("prob", F.when(good, probability)), threshold)
     return scored.select(
-        key, F.when(good, "scored").otherwise("failed").alias("status"), "reasons",
+        key, F.when(good, "scored").otherwise("failed").alias("status"),
+        F.when(good, "").otherwise(quality.reasons(columns)).alias("reasons"),
         "churn_probability", F.when(good, F.col("will_churn")).alias("will_churn"),
         F.when(good, F.col("risk_tier")).alias("risk_tier"))

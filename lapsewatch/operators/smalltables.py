@@ -1,4 +1,4 @@
-"""Joining a large table with a grouped one whose size is not known beforehand."""
+"""Written intermediate tables, joins with small ones, and partitions for repeated passes."""
 
 from __future__ import annotations
 
@@ -20,6 +20,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores; already enough, no shuffle.
+
+    For work that passes over the rows many times, such as fitting a model: a small file read as
+    one partition would keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_small(large: DataFrame, grouped: DataFrame, on: Sequence[str],
                limit: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join that broadcasts ``grouped`` only after counting it.

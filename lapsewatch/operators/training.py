@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lapsewatch import constants as K
 from lapsewatch.operators import calibration, fairness, features, metrics, splitting
 from lapsewatch.operators.encoding import routed_stages, vector_names
-from lapsewatch.operators.smalltables import materialise
+from lapsewatch.operators.smalltables import materialise, spread
 from lapsewatch.session import scratch_path
 
 SPEC = dict(featuresCol="features", labelCol="label", weightCol="weight")
@@ -106,6 +106,15 @@ def with_weight(df: DataFrame, weight: float | str = K.POSITIVE_CLASS_WEIGHT) ->
     return df.withColumn("weight", F.when(F.col("label") == 1, up).otherwise(F.lit(down)))
 
 
+def fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
+    """Fit on rows kept in memory (or on disk) for the many passes of the stages."""
+    rows = spread(df).persist()
+    try:
+        return pipeline.fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def positive_probability(df: DataFrame) -> Column:
     """Probability of class 1; a classifier without one gives the logistic of its margin."""
     if "probability" in df.columns:
@@ -122,7 +131,7 @@ def score(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:
 def cross_validate(df: DataFrame, pipeline: Pipeline, k: int = 5, with_train: bool = False
                    ) -> DataFrame:
     """Out-of-fold predictions (fold, part, label, prob); everything is refitted in each fold."""
-    rows = splitting.add_fold(df, k).persist()
+    rows = spread(splitting.add_fold(df, k)).persist()
     try:
         parts = []
         for fold in range(k):
@@ -207,7 +216,7 @@ def experiment(df: DataFrame, pipeline: Pipeline, k: int = 3,
     rows = splitting.add_split(df)
     train = rows.where("split = 'train'").drop("split")
     folds = metrics.ranking_scores(cross_validate(train, pipeline, k), ["fold"])
-    model = pipeline.fit(train)
+    model = fit(pipeline, train)
     held = materialise(
         score(model, rows.where("split <> 'train'")).select(
             "customerID", "split", "label", "prob", *attributes), "held-out")
@@ -276,7 +285,7 @@ def search(df: DataFrame, build: Callable[[dict], Pipeline], space: Mapping[str,
     the positive class.
     """
     source, reached, table = random.Random(seed), {}, []
-    rows = splitting.add_fold(df, k).persist()
+    rows = spread(splitting.add_fold(df, k)).persist()
     try:
         for trial in range(trials):
             point = draw(space, source)
@@ -307,7 +316,7 @@ def search(df: DataFrame, build: Callable[[dict], Pipeline], space: Mapping[str,
 def benchmark(df: DataFrame, pipelines: Mapping[str, Pipeline], k: int = 5) -> DataFrame:
     """Per model: mean and deviation over folds of ROC-AUC, F1 at 0.5 and Brier score, and the
     milliseconds per scored row."""
-    rows, parts, times = splitting.add_fold(df, k).persist(), [], []
+    rows, parts, times = spread(splitting.add_fold(df, k)).persist(), [], []
     try:
         for name, pipeline in pipelines.items():
             for fold in range(k):
@@ -364,7 +373,7 @@ def learning_curve(df: DataFrame, pipeline: Pipeline, sizes: Sequence[float], k:
 
     The shares are nested: a larger one contains the smaller ones.
     """
-    rows = splitting.add_nested_share(splitting.add_fold(df, k), 100).persist()
+    rows = spread(splitting.add_nested_share(splitting.add_fold(df, k), 100)).persist()
     try:
         parts = []
         for size in sizes:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewatch.operators.smalltables import join_small
+from lapsewatch.operators.training import fit
 
 # Names of the four quadrants.
 PERSUADABLE = "Persuadable (Target)"
@@ -29,7 +30,7 @@ def eligible(df: DataFrame, treatment: str = "TechSupport") -> DataFrame:
 
 def fit_two_models(df: DataFrame, pipeline: Pipeline) -> tuple[PipelineModel, PipelineModel]:
     """One fit per arm: (model of the untreated, model of the treated)."""
-    return tuple(pipeline.fit(df.where(F.col("treated") == arm)) for arm in (0, 1))
+    return tuple(fit(pipeline, df.where(F.col("treated") == arm)) for arm in (0, 1))
 
 
 def effects(df: DataFrame, control: PipelineModel, treated: PipelineModel) -> DataFrame:

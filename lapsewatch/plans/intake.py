@@ -201,11 +201,8 @@ def v07(spark, sf_dir):
       FROM ({_cases_sql(K.REQUEST_COLUMNS)}) GROUP BY customerID) r USING (customerID)""",
     "dirty_repaired"))
 def v08(spark, sf_dir):
-    good, bad = quality.split_rows(dirty_repaired(spark, sf_dir))
-    return (
-        good.select("customerID", F.lit("").alias("reasons"), F.lit("valid").alias("status"))
-        .unionByName(bad.select("customerID", "reasons", F.lit("rejected").alias("status")))
-    )
+    return quality.mark_rows(dirty_repaired(spark, sf_dir)).select(
+        "customerID", "reasons", "status")
 
 
 # ---- preparation -------------------------------------------------------------------------

@@ -60,8 +60,8 @@ def s07(spark, sf_dir):
 
 @query("e06_importance_selection")
 def e06(spark, sf_dir):
-    rows = engineered(spark, sf_dir)
     from pyspark.ml import Pipeline
+    rows = engineered(spark, sf_dir)
     encoded = Pipeline(stages=routed_stages(output="all_features")).fit(rows).transform(rows)
     slicer = training.ImportanceSelector(maxIter=5, maxDepth=3).fit(encoded)
     kept = slicer.transform(encoded)
@@ -111,7 +111,7 @@ def a22(spark, sf_dir):
 @query("m01_model_factory")
 def m01(spark, sf_dir):
     rows = splitting.add_split(train_rows(spark, sf_dir), splitting.TRAIN_TEST)
-    model = boosted().fit(rows.where("split = 'train'"))
+    model = training.fit(boosted(), rows.where("split = 'train'"))
     return training.score(model, rows.where("split = 'test'")).select(
         "customerID", "label", "prob")
 
@@ -126,7 +126,7 @@ def m02(spark, sf_dir):
     parts = []
     for name, params in small.items():
         built = training.model_pipeline(name, params, select=False, engineer=False)
-        model = built.fit(rows.where("split = 'train'"))
+        model = training.fit(built, rows.where("split = 'train'"))
         parts.append(training.score(model, rows.where("split = 'test'")).select(
             F.lit(name).alias("model"), "label", "prob"))
     return metrics.ranking_scores(training._union(parts), ["model"])
@@ -142,7 +142,7 @@ def m04(spark, sf_dir):
 @query("m05_isotonic_calibration")
 def m05(spark, sf_dir):
     rows = splitting.add_split(engineered(spark, sf_dir))
-    model = linear().fit(rows.where("split = 'train'"))
+    model = training.fit(linear(), rows.where("split = 'train'"))
     held = materialise(training.score(model, rows.where("split <> 'train'")).select(
         "split", "label", "prob"), "held-out")
     fitted = calibration.fit_isotonic(held.where("split = 'validation'"))
@@ -188,9 +188,9 @@ def s09(spark, sf_dir):
 def m14(spark, sf_dir):
     rows = train_rows(spark, sf_dir)
     path = training.save_model(
-        training.model_pipeline("logistic_regression", FAST, select=False).fit(rows),
+        training.fit(training.model_pipeline("logistic_regression", FAST, select=False), rows),
         scratch_path(spark, "model"))
-    model = training.load_or_train(path, lambda: boosted().fit(rows))
+    model = training.load_or_train(path, lambda: training.fit(boosted(), rows))
     return training.score(model, rows).select("customerID", "prob")
 
 
@@ -212,7 +212,7 @@ def m15(spark, sf_dir):
 
 def _scored_linear(spark, sf_dir):
     rows = splitting.add_split(engineered(spark, sf_dir), splitting.TRAIN_TEST)
-    model = linear().fit(rows.where("split = 'train'"))
+    model = training.fit(linear(), rows.where("split = 'train'"))
     return training.score(model, rows.where("split = 'test'")).select(
         "customerID", "label", "prob")
 
@@ -220,8 +220,8 @@ def _scored_linear(spark, sf_dir):
 @query("m16_top_importances")
 def m16(spark, sf_dir):
     rows = engineered(spark, sf_dir)
-    model = training.model_pipeline("gradient_boosting", SMALL, select=False,
-                                    engineer=False).fit(rows)
+    model = training.fit(training.model_pipeline("gradient_boosting", SMALL, select=False,
+                                                 engineer=False), rows)
     return training.importances(model, rows)
 
 

@@ -20,6 +20,8 @@ def build_session(app: str = "lapsewatch", cores: str = "*", **settings: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # The JVM does not compile methods beyond this size; wide projections then run in pieces.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in settings.items():
