@@ -56,7 +56,9 @@ def base_features() -> dict[str, Column]:
             _subscribed(["PhoneService", "MultipleLines", *K.ADD_ONS]),
             differs("InternetService", "No")),
         "has_protection_bundle": equals("TechSupport", "Yes") * equals("OnlineSecurity", "Yes"),
-        "charge_to_tenure_ratio": monthly / (tenure + 1),
+        # A tenure of -1 breaks the rules; floating-point division would give infinity here.
+        "charge_to_tenure_ratio": F.when(tenure == -1, F.lit(float("inf")))
+        .otherwise(monthly / (tenure + 1)),
         "is_fiber_optic": equals("InternetService", "Fiber optic"),
         "has_family": F.greatest(equals("Partner", "Yes"), equals("Dependents", "Yes")),
         "is_isolated": differs("Partner", "Yes") * differs("Dependents", "Yes"),

@@ -52,28 +52,33 @@ def running_totals(
             F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0)))
         .drop("_edges")
     )
+    # One seed row per slice carries the totals of the earlier slices. It sorts first in its
+    # slice (null value), so the running sums start from it and no join is needed.
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*by)
-    offsets = (
+    seeds = (
         sliced.groupBy(*by, "_slice")
         .agg(*[F.sum(n).alias(n) for n in names])
         .select(
-            *by, "_slice",
-            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_before") for n in names],
-            *[F.sum(n).over(group).alias(f"{n}_all") for n in names],
+            *by, "_slice", F.lit(None).cast(cells.schema[value].dataType).alias(value),
+            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast(cells.schema[n].dataType)
+              .alias(n) for n in names],
+            *[F.sum(n).over(group).cast(cells.schema[n].dataType).alias(f"{n}_all")
+              for n in names],
         )
     )
+    rows = sliced.select(*by, "_slice", value, *names, *[
+        F.lit(None).cast(cells.schema[n].dataType).alias(f"{n}_all") for n in names])
     inside = (
-        Window.partitionBy(*by, "_slice").orderBy(value)
+        Window.partitionBy(*by, "_slice").orderBy(F.col(value).asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    within = sliced.withColumns({f"{n}_within": F.sum(n).over(inside) for n in names})
-    joined = within.join(offsets, [*by, "_slice"])
-    return joined.select(
-        *by, value, *names,
-        *[(F.col(f"{n}_within") + F.col(f"{n}_before")).alias(f"{n}_upto") for n in names],
-        *[f"{n}_all" for n in names],
-    )
+    summed = rows.unionByName(seeds).withColumns({
+        **{f"{n}_upto": F.sum(n).over(inside) for n in names},
+        **{f"{n}_all": F.first(f"{n}_all").over(inside) for n in names},
+    })
+    return summed.where(F.col(value).isNotNull()).select(
+        *by, value, *names, *[f"{n}_upto" for n in names], *[f"{n}_all" for n in names])
 
 
 def exact_quantiles(
