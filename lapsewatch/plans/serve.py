@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lapsewatch import constants as K
 from lapsewatch.functions.scalars import named
 from lapsewatch.operators import drift, features, metrics, pointintime, prepare, quality, scoring
-from lapsewatch.plans.explore import rounded
+from lapsewatch.plans.explore import hash_share_sql, rounded
 from lapsewatch.plans.intake import model_rows
 from lapsewatch.plans.monitor import chi_sql, psi_sql
 from lapsewatch.plans.oracle import check, tall
@@ -315,6 +315,25 @@ def t06_chi(spark, sf_dir):
     return rounded(tested.drop("p_value"), 5)
 
 
+STREAM_SIDES = f"""
+  r AS (SELECT * FROM features WHERE {hash_share_sql()} < 0.8::DOUBLE),
+  c AS (SELECT * FROM features)"""
+
+
+@query("t06_drift_stream", check(
+    f"SELECT 0 AS batch, feature, ROUND(psi, 6) AS psi, is_drifted "
+    f"FROM ({psi_sql(WATCHED, STREAM_SIDES)})", "features"))
+def t06_stream(spark, sf_dir):
+    """Customers stream in and are compared with a saved training snapshot, batch by batch."""
+    from lapsewatch.plans.monitor import split_sides
+    from lapsewatch.sources.files import load_snapshot, save_snapshot
+    from lapsewatch.sources.tables import subscribers_of
+    snapshot = save_snapshot(split_sides(spark, sf_dir)[0], scratch_path(spark, "reference"))
+    stream = features.engineer(prepare.clean(
+        subscribers_of(table_stream(spark, sf_dir, "orders"))))
+    return rounded(jobs.drift_stream(stream, load_snapshot(spark, snapshot), WATCHED))
+
+
 # Labels arrive as sign-ups; every other event is a prediction. Event time spans 30 days, so the
 # label delay is scaled down.
 DELAY_DAYS = 3
