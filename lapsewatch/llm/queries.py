@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewatch.llm import bpe
+from lapsewatch.llm import bpe, packing
 from lapsewatch.llm.common import table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, ranks).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces with their place in sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_texts(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
