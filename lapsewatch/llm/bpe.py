@@ -26,7 +26,7 @@ from lapsewatch.llm.common import by_batch, pieces_of
 
 NO_PAIR = 1 << 60
 #: Remembered texts of each kind and generation in a Python worker.
-REMEMBERED = 500_000
+REMEMBERED = 160_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
