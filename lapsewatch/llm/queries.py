@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewatch.llm import bpe, packing, sharding
+from lapsewatch.llm import bpe, nearest, packing, rangejoin, sharding
 from lapsewatch.llm.common import table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,16 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sharding.shard(table(spark, sf_dir, "documents"), "doc_id", "text")
     return docs.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query("op8_metric_range_join")
+def op8_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among vectors of one label: links and components at a cosine of 0.98."""
+    return rangejoin.range_join(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query("op10_projection_forest")
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return nearest.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding",
+                          F.col("vec_id") % 50 == 0)
