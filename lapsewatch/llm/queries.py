@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewatch.llm import bpe, nearest, packing, rangejoin, sharding
+from lapsewatch.llm import bpe, nearest, packing, pii, rangejoin, sharding
 from lapsewatch.llm.common import table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,11 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector."""
     return nearest.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding",
                           F.col("vec_id") % 50 == 0)
+
+
+@query("op6_weak_supervision_pii")
+def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those the span classifier adds."""
+    found = pii.spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2("base", 256).alias("base_sha256"), "spans")
