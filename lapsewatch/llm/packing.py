@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,23 +29,66 @@ from lapsewatch.llm.common import by_batch, partitions, pieces_of, written
 
 CAPACITY = 2048
 SEPARATOR = 0
+#: Remembered words of each generation in a Python worker.
+WORDS = 250_000
 #: Rows of one length in one ranking group, about.
 RANKED_TOGETHER = 100_000
 
 
+#: ASCII marks that may follow a word; the tokenizer splits between a letter and any of them.
+MARKS = ".,;:!?%$&#*)"
+#: The first character for which lower case and composition are left to the tokenizer.
+PLAIN_END = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible ones of Latin-1
+    for themselves, the other bytes, in order, for the characters from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 @lru_cache(maxsize=2)
 def _chunks(path: str) -> Memory:
-    """Ids of the text between two spaces or line breaks; no token reaches over those."""
+    """Ids of the text between two spaces or line breaks; no token reaches over those.
+
+    A chunk is a word and the marks after it. Lower-case words of plain letters are one unit of
+    the tokenizer and go straight to its merges, all else takes its whole way.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their names in a text are text
-
-    def work(chunks: list[str]) -> dict[str, bytes]:
-        found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, found)}
-
-    return Memory(work)
+    merges, letters = tokenizer.model.tokenize, _byte_letters()
+
+    def of_words(words: list[str]) -> dict[str, bytes]:
+        out, other = {}, []
+        for word in words:
+            if word.isalpha() and word.islower() and max(word) < PLAIN_END:
+                coded = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                out[word] = array("I", [token.id for token in merges(coded)]).tobytes()
+            else:
+                other.append(word)
+        found = tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(other, found))
+        return out
+
+    words = Memory(of_words, WORDS)
+
+    def of_chunks(chunks: list[str]) -> dict[str, bytes]:
+        split = []
+        for chunk in chunks:
+            word = chunk.rstrip(MARKS)
+            low = word.lower()
+            if low and low[-1].isalpha() and max(word) < PLAIN_END:
+                split.append((low, chunk[len(word):]))
+            else:
+                split.append((chunk, ""))
+        look = words.learn({part for pair in split for part in pair})
+        return {c: look(word) + look(marks) for c, (word, marks) in zip(chunks, split)}
+
+    return Memory(of_chunks)
 
 
 def token_ids(texts: list[str | None], path: str) -> list[bytes]:

@@ -44,7 +44,8 @@ def tokenizer():
 
 
 def test_ids_are_those_of_the_tokenizer(tokenizer):
-    texts = ["It's  A\tcafé\n\n1234", "É é ́x", "<|endoftext|> a", "", None, "ΑΣ ΑΣ　x", "İI"]
+    texts = ["It's  A\tcafé\n\n1234", "É é ́x", "<|endoftext|> a", "", None, "ΑΣ ΑΣ　x", "İI", "Don't stop, it's 'quoted.", "(hi) a1, ÉTÉ!! über%%% x.y.",
+             "Straße; ǅ &&& a*b* ÀB́,"]
     for text, ids in zip(texts, packing.token_ids(texts, PATH)):
         want = tokenizer.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, text
