@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewatch.llm import bpe, nearest, packing, pii, rangejoin, sharding
-from lapsewatch.llm.common import table
+from lapsewatch.llm import bpe, nearest, packing, pii, rangejoin, sharding, toxicity
+from lapsewatch.llm.common import in_fold, table
 
 Job = Callable[[SparkSession, str], DataFrame]
 JOBS: dict[str, Job] = {}
@@ -71,3 +71,14 @@ def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
                         F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op3_lexicon_toxicity")
+def op3_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned outside of fold 0 of five."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = in_fold("doc_id", 5, 0)
+    model = toxicity.learn(docs, labels.where(~held), "doc_id", "text", "toxic")
+    scored = docs.select("doc_id", held.alias("held_out"),
+                         toxicity.scorer(model)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
