@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewatch.llm import bpe, nearest, packing, pii, rangejoin, sharding, toxicity
+from lapsewatch.llm import bpe, nearest, packing, pii, rangejoin, sharding, toxicity, wrappers
 from lapsewatch.llm.common import in_fold, table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,10 @@ def op3_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = docs.select("doc_id", held.alias("held_out"),
                          toxicity.scorer(model)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op7_wrapper_extraction")
+def op7_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    texts = wrappers.main_text(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
