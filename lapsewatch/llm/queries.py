@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewatch.llm import bpe, nearest, packing, pii, rangejoin, sharding, toxicity, wrappers
+from lapsewatch.llm import (
+    bpe, nearest, neardup, packing, pii, rangejoin, sharding, toxicity, wrappers,
+)
 from lapsewatch.llm.common import in_fold, table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +91,9 @@ def op7_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     texts = wrappers.main_text(table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op4_minhash_chosen_path")
+def op4_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: components of links at a similarity of 0.75."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
