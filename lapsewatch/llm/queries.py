@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewatch.llm import (
-    bpe, nearest, neardup, packing, pii, rangejoin, sharding, toxicity, wrappers,
+    bpe, lm, nearest, neardup, packing, pii, rangejoin, sharding, toxicity, wrappers,
 )
 from lapsewatch.llm.common import in_fold, table
 
@@ -97,3 +97,9 @@ def op7_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents: components of links at a similarity of 0.75."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("op2_log_bilinear_scoring")
+def op2_log_bilinear_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document, learned outside of fold 1 of five."""
+    return lm.score(table(spark, sf_dir, "documents"), "doc_id", "text", in_fold("doc_id", 5, 1))
