@@ -29,11 +29,10 @@ def compare_stages(df: DataFrame, before: str, after: str) -> DataFrame:
 def fit_isotonic(validation: DataFrame, prob: str = "prob") -> IsotonicRegressionModel:
     """Monotone map from raw probability to observed rate.
 
-    The rows are first combined per probability at 4 digits, the precision scores are served with,
-    with their count as weight. The last step of the fit runs in one place, and this bounds what
-    it gets to 10,001 rows whatever the table.
+    Rows of equal probability are combined first, with their count as weight; the fit pools
+    neighbours within its partitions before its last step.
     """
-    cells = validation.groupBy(F.round(prob, 4).alias(prob)).agg(
+    cells = validation.groupBy(prob).agg(
         F.avg(F.col("label").cast("double")).alias("label"),
         F.count(F.lit(1)).cast("double").alias("weight"))
     return IsotonicRegression(

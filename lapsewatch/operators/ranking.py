@@ -16,8 +16,17 @@ from pyspark.sql import functions as F
 
 
 def _slice_count(df: DataFrame) -> int:
-    """As many slices as shuffle partitions, within a range that keeps the cut list small."""
-    return max(8, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many slices as shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def slice_of(value: Column, edges: Column, slices: int) -> Column:
+    """How many of the sorted ``edges`` lie below the value, by bisection."""
+    steps = [1 << i for i in reversed(range(slices.bit_length()))]
+    return F.aggregate(
+        F.array(*map(F.lit, steps)), F.lit(0),
+        lambda at, step: F.when(
+            F.coalesce(F.get(edges, at + step - 1) < value, F.lit(False)), at + step).otherwise(at))
 
 
 def running_totals(
@@ -48,8 +57,7 @@ def running_totals(
     edges = cells.agg(F.percentile_approx(counted, cuts, 2000)).scalar()
     sliced = (
         cells.withColumn("_edges", edges)
-        .withColumn("_slice", F.coalesce(
-            F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0)))
+        .withColumn("_slice", slice_of(F.col(value), F.col("_edges"), slices))
         .drop("_edges")
     )
     # One seed row per slice carries the totals of the earlier slices. It sorts first in its

@@ -5,13 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lapsewatch.session import scratch_path
 
-BROADCAST_ROWS = 100_000
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, safe when an executor is lost."""
     spark = df.sparkSession
@@ -20,23 +16,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over at least as many partitions as there are cores; already enough, no shuffle.
+def spread(df: DataFrame, key: str = "customerID") -> DataFrame:
+    """The rows dealt out by a hash of their key over the session's shuffle partitions.
 
-    For work that passes over the rows many times, such as fitting a model: a small file read as
-    one partition would keep one core busy.
+    For work that passes over the rows many times, such as fitting a model: neither the number of
+    files nor that of the cores decides which rows are together, so a fit that draws from its
+    partitions gives the same model on any cluster with the same setting.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *([key] if key in df.columns else df.columns))
 
 
-def join_small(large: DataFrame, grouped: DataFrame, on: Sequence[str],
-               limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join that broadcasts ``grouped`` only after counting it.
+def join_small(large: DataFrame, grouped: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table of groups that is written first.
 
-    Its keys are groups of the large table, so one key may hold a large part of the rows; a
-    broadcast keeps them where they are. Beyond ``limit`` rows no broadcast is safe, and the join
-    is left to the shuffle with skewed partitions split at run time.
+    Its size is then known to the optimizer, which broadcasts it below its own threshold and else
+    shuffles, splitting skewed keys at run time.
     """
-    small = materialise(grouped, "groups")
-    return large.join(F.broadcast(small) if small.count() <= limit else small, list(on))
+    return large.join(materialise(grouped, "groups"), list(on), how)

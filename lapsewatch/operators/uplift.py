@@ -50,14 +50,15 @@ def effects(df: DataFrame, control: PipelineModel, treated: PipelineModel) -> Da
 def stratum_effects(df: DataFrame, strata: Sequence[str]) -> DataFrame:
     """Two-model effects where each model is the churn rate of the row's stratum and arm.
 
-    A stratum without treated rows has no estimate and no rows in the result.
+    Every untreated row stays; one whose stratum has no treated rows has no estimate, and so the
+    quadrant "Unknown".
     """
     label = F.col("label").cast("double")
     rates = df.groupBy(*strata).agg(
         F.avg(F.when(F.col("treated") == 0, label)).alias("base_churn_prob"),
         F.avg(F.when(F.col("treated") == 1, label)).alias("_with"),
-    ).where("_with IS NOT NULL")
-    untreated = join_small(df.where(F.col("treated") == 0), rates, list(strata))
+    )
+    untreated = join_small(df.where(F.col("treated") == 0), rates, list(strata), "left")
     return untreated.withColumn(
         "cate", F.col("_with") - F.col("base_churn_prob")).drop("_with")
 

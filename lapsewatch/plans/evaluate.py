@@ -403,16 +403,17 @@ ELIGIBLE = """SELECT customerID, Contract, InternetService, tenure_group, label,
     CASE WHEN TechSupport = 'Yes' THEN 1 ELSE 0 END AS treated
   FROM features WHERE InternetService <> 'No'"""
 EFFECTS = f"""SELECT e.customerID, r.base AS base_churn_prob, r.treated_rate - r.base AS cate
-  FROM ({ELIGIBLE}) e JOIN (
+  FROM ({ELIGIBLE}) e LEFT JOIN (
     SELECT Contract, InternetService, tenure_group, AVG(label) FILTER (WHERE treated = 0) AS base,
       AVG(label) FILTER (WHERE treated = 1) AS treated_rate FROM ({ELIGIBLE}) GROUP BY 1, 2, 3) r
   USING (Contract, InternetService, tenure_group)
-  WHERE treated = 0 AND treated_rate IS NOT NULL"""
+  WHERE treated = 0"""
 QUADRANT = """CASE WHEN base_churn_prob >= 0.5::DOUBLE AND cate <= -0.05::DOUBLE
     THEN 'Persuadable (Target)'
   WHEN base_churn_prob < 0.5::DOUBLE AND cate <= 0 THEN 'Sure Thing (Ignore)'
-  WHEN base_churn_prob >= 0.5::DOUBLE THEN 'Lost Cause (Ignore)'
-  ELSE 'Sleeping Dog (Do Not Disturb)' END AS uplift_segment"""
+  WHEN base_churn_prob >= 0.5::DOUBLE AND cate > -0.05::DOUBLE THEN 'Lost Cause (Ignore)'
+  WHEN base_churn_prob < 0.5::DOUBLE AND cate > 0 THEN 'Sleeping Dog (Do Not Disturb)'
+  ELSE 'Unknown' END AS uplift_segment"""
 
 
 def _effects(spark, sf_dir):

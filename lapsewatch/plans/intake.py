@@ -87,12 +87,9 @@ def s08(spark, sf_dir):
 
 
 @query("s10_batch_intake", check(
-    f"SELECT {', '.join(K.REQUEST_COLUMNS)}, customerID FROM subscribers "
-    "ORDER BY CAST(customerID AS BIGINT) LIMIT 100", "subscribers"))
+    f"SELECT {', '.join(K.REQUEST_COLUMNS)}, customerID FROM subscribers", "subscribers"))
 def s10(spark, sf_dir):
-    keyed = subscribers(spark, sf_dir).drop("Churn").withColumn(
-        "_key", F.col("customerID").cast("bigint"))
-    return files.batch_intake(keyed, "_key", 100).drop("_key")
+    return files.batch_intake(subscribers(spark, sf_dir).drop("Churn"))
 
 
 # ---- cleaning and validation -------------------------------------------------------------
@@ -238,6 +235,7 @@ def p04(spark, sf_dir):
 
 # ---- features ----------------------------------------------------------------------------
 
+# The feature names that outputs carry, in inventory order.
 FEATURE_IDS = [
     "tenure_group", "is_month_to_month", "service_adoption_count", "has_protection_bundle",
     "charge_to_tenure_ratio", "is_fiber_optic", "avg_charge_per_service", "has_family",

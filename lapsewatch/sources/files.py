@@ -100,7 +100,6 @@ def offline_features(raw: DataFrame, at: str) -> DataFrame:
     return raw.withColumns({"TotalCharges": total, "event_timestamp": F.lit(at).cast("timestamp")})
 
 
-def batch_intake(df: DataFrame, key: str, limit: int,
-                 required: Sequence[str] = K.REQUEST_COLUMNS) -> DataFrame:
-    """At most ``limit`` request rows, lowest keys first, after a check of the 19 columns."""
-    return require_columns(df, required).orderBy(key).limit(limit)
+def batch_intake(df: DataFrame, required: Sequence[str] = K.REQUEST_COLUMNS) -> DataFrame:
+    """All request rows, after a check of the 19 columns."""
+    return require_columns(df, required)

@@ -64,16 +64,25 @@ def test_tenure_groups(customers, tenure, group):
 
 def test_feature_values_of_the_base_row(customers):
     row = engineered(customers({}))[0]
-    assert row.service_adoption_count == 3 and row.internet_addon_count == 1
-    assert row.charge_to_tenure_ratio == 70.35 / 13
-    assert row.avg_charge_per_service == 70.35 / 4
-    assert abs(row.charges_gap) < 1e-9
+    assert row.service_adoption_count == 6 and row.internet_addon_count == 3
+    assert row.charge_to_tenure_ratio == 58.5 / 19
+    assert row.avg_charge_per_service == 58.5 / 7
+    assert row.charges_gap == -13.0
+    assert (row.m2m_and_fiber, row.fiber_no_security, row.paperless_and_echeck) == (0, 0, 0)
+    assert row.monthly_charge_bin == "Medium" and row.is_high_monthly_charge == 0
+
+
+def test_flags_of_a_monthly_fiber_customer(customers):
+    row = engineered(customers({
+        "Contract": "Month-to-month", "InternetService": "Fiber optic", "OnlineSecurity": "No",
+        "PaperlessBilling": "Yes", "PaymentMethod": "Electronic check", "MonthlyCharges": 80.0}))[0]
     assert (row.m2m_and_fiber, row.fiber_no_security, row.paperless_and_echeck) == (1, 1, 1)
     assert row.monthly_charge_bin == "High" and row.is_high_monthly_charge == 1
 
 
 def test_risky_and_loyal_scores(customers):
-    risky = {"Partner": "No", "Dependents": "No", "OnlineBackup": "No", "MonthlyCharges": 95.0}
+    risky = {"Contract": "Month-to-month", "InternetService": "Fiber optic", "Dependents": "No",
+             "PaymentMethod": "Electronic check", "MonthlyCharges": 95.0, **dict.fromkeys(K.ADD_ONS, "No")}
     loyal = {"Contract": "Two year", "InternetService": "DSL", "TechSupport": "Yes",
              "OnlineSecurity": "Yes", "PaymentMethod": "Credit card (automatic)",
              "MonthlyCharges": 50.0}
@@ -82,7 +91,9 @@ def test_risky_and_loyal_scores(customers):
 
 
 def test_null_counts_as_different(customers):
-    row = engineered(customers({"OnlineSecurity": None, "Partner": None, "Contract": None}))[0]
+    row = engineered(customers({
+        "InternetService": "Fiber optic", "Dependents": "No", "OnlineSecurity": None, "Partner": None,
+        "Contract": None}))[0]
     assert (row.fiber_no_security, row.has_family, row.is_isolated) == (1, 0, 1)
     assert (row.is_month_to_month, row.contract_numeric) == (0, 0)
 
@@ -121,4 +132,4 @@ def test_snapshot_round_trip_keeps_types(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.load_snapshot(spark, str(tmp_path / "nothing"))
     with pytest.raises(ValueError, match="missing columns"):
-        files.batch_intake(rows, "tenure", 2)
+        files.batch_intake(rows)
