@@ -8,32 +8,59 @@ from dataclasses import dataclass
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewatch import constants as K
+from lapsewatch.functions.scalars import tall
+from lapsewatch.operators.smalltables import materialise
 
 
-FEW_LEVELS = 64
+#: One-hot and dummy columns are part of a schema; more levels than this are refused.
+MOST_COLUMNS = 1000
+
+
+def level_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """feature, value, code: the place of every text value in the sorted values of its column.
+
+    Values are numbered within their first two letters and shifted by the values before those, so
+    a column of free text does not have to fit one task.
+    """
+    levels = df.select(tall(columns, cast="string")).where("value IS NOT NULL").distinct()
+    levels = levels.withColumn("head", F.substring("value", 1, 2))
+    before = (
+        levels.groupBy("feature", "head").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.sum("n").over(
+            Window.partitionBy("feature").orderBy("head")) - F.col("n")).drop("n"))
+    inside = F.row_number().over(Window.partitionBy("feature", "head").orderBy("value"))
+    return levels.withColumn("inside", inside).join(before, ["feature", "head"]).select(
+        "feature", "value", (F.col("before") + F.col("inside") - 1).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each text value becomes its position in sorted order; null becomes 0."""
-    codes = [f"{c}__code" for c in columns]
-    indexer = StringIndexer(inputCols=list(columns), outputCols=codes,
-                            stringOrderType="alphabetAsc", handleInvalid="keep")
-    fitted = indexer.fit(df.select(*columns))
-    if max(map(len, fitted.labelsArray)) <= FEW_LEVELS:
-        # A literal list keeps the lookup inside generated code.
-        return df.withColumns({
-            c: F.coalesce(F.array_position(F.array(*map(F.lit, levels)), F.col(c)) - 1,
-                          F.lit(0)).cast("int")
-            for c, levels in zip(columns, fitted.labelsArray)
-        })
-    return fitted.transform(df).withColumns({
-        c: F.when(F.col(c).isNull(), 0).otherwise(F.col(code).cast("int"))
-        for c, code in zip(columns, codes)
-    }).drop(*codes)
+    """Each text value becomes its position in sorted order; null becomes 0.
+
+    The codes are a written table that every column is joined with; small ones are broadcast by
+    the optimizer.
+    """
+    codes = materialise(level_codes(df, columns), "codes")
+    out = df
+    for column in columns:
+        one = codes.where(F.col("feature") == column).select(
+            F.col("value").alias(column), F.col("code").alias(f"{column}__code"))
+        out = out.join(one, column, "left")
+    return out.select(*[
+        F.coalesce(F.col(f"{c}__code"), F.lit(0)).alias(c) if c in columns else F.col(c)
+        for c in df.columns])
+
+
+def _levels(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
+    """Sorted levels per column, for outputs that have a column per level."""
+    levels = one_hot_stages(columns)[0].fit(df.select(*columns)).labelsArray
+    for column, found in zip(columns, levels):
+        if len(found) > MOST_COLUMNS:
+            raise ValueError(f"{column} has {len(found)} levels, too many for a column each")
+    return levels
 
 
 def one_hot_stages(columns: Sequence[str]) -> list:
@@ -51,20 +78,18 @@ def one_hot(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = No
 
     Uses the indexer's levels directly: readable columns are wanted here, not a vector.
     """
-    indexer = one_hot_stages(columns)[0].fit((fit_on or df).select(*columns))
     flags = {
         f"{c}={level}": F.col(c).eqNullSafe(F.lit(level)).cast("int")
-        for c, levels in zip(columns, indexer.labelsArray) for level in levels
+        for c, levels in zip(columns, _levels(fit_on or df, columns)) for level in levels
     }
     return df.withColumns(flags)
 
 
 def dummies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One 0/1 column per level except the first level in sorted order."""
-    indexer = one_hot_stages(columns)[0].fit(df.select(*columns))
     return df.withColumns({
         f"{c}={level}": F.col(c).eqNullSafe(F.lit(level)).cast("int")
-        for c, levels in zip(columns, indexer.labelsArray) for level in levels[1:]
+        for c, levels in zip(columns, _levels(df, columns)) for level in levels[1:]
     })
 
 

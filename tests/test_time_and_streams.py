@@ -129,6 +129,15 @@ def test_splits_are_nested_and_stable(spark):
     assert splitting.add_fold(rows).groupBy("fold").count().count() == 5
 
 
+def test_untreated_rows_of_a_stratum_without_treated_ones_stay(spark):
+    rows = spark.createDataFrame(
+        [("a", 0, 1), ("a", 0, 0), ("a", 1, 0), ("b", 0, 1)], "s string, treated int, label int")
+    found = uplift.segment(uplift.stratum_effects(rows, ["s"])).orderBy("s").collect()
+    assert [(r.s, r.base_churn_prob, r.cate) for r in found] == [
+        ("a", 0.5, -0.5), ("a", 0.5, -0.5), ("b", 1.0, None)]
+    assert found[2].uplift_segment == "Unknown"
+
+
 @pytest.mark.parametrize("base, cate, name", [
     (0.5, -0.05, uplift.PERSUADABLE), (0.49, 0.0, uplift.SURE_THING), (0.5, 0.0, uplift.LOST_CAUSE),
     (0.49, 0.01, uplift.SLEEPING_DOG)])
