@@ -10,7 +10,8 @@ from lapsewatch.operators import metrics
 
 
 def compare_stages(df: DataFrame, before: str, after: str) -> DataFrame:
-    """Calibration errors and Brier score of two probability columns, and what was gained."""
+    """Calibration errors, Brier score and its parts of two probability columns, with deltas as
+    after minus before: a negative delta of an error is an improvement."""
     two = df.select("label", F.inline(F.array(
         F.struct(F.lit("before").alias("stage"), F.col(before).alias("prob")),
         F.struct(F.lit("after").alias("stage"), F.col(after).alias("prob")))))
@@ -19,11 +20,9 @@ def compare_stages(df: DataFrame, before: str, after: str) -> DataFrame:
     both = errors.join(scores, "stage")
     wide = both.agg(*[
         F.max(F.when(F.col("stage") == s, F.col(m))).alias(f"{m}_{s}")
-        for m in ("ece", "mce", "brier") for s in ("before", "after")])
+        for m in ("ece", "mce", "brier", "reliability", "resolution") for s in ("before", "after")])
     return wide.withColumns({
-        "ece_gain": F.col("ece_before") - F.col("ece_after"),
-        "brier_gain": F.col("brier_before") - F.col("brier_after"),
-    })
+        f"{m}_delta": F.col(f"{m}_after") - F.col(f"{m}_before") for m in ("ece", "mce", "brier")})
 
 
 def fit_isotonic(validation: DataFrame, prob: str = "prob") -> IsotonicRegressionModel:

@@ -1,7 +1,8 @@
 """Drift of a current table against a reference: PSI, chi-square, prediction shift, report.
 
-All features share one pass and one shuffle: rows become (feature, value) counts of both sides, so
-the amount shuffled depends on distinct values, not on rows.
+Numeric features: reference deciles come from bracketed quantiles, then both sides are counted per
+feature and bin before the shuffle, so what moves does not depend on the rows. Text features:
+counts per category.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from lapsewatch import constants as K
 from lapsewatch.functions.scalars import tall
 from lapsewatch.functions.tails import chi_square_p_value
-from lapsewatch.operators.ranking import exact_quantiles
+from lapsewatch.operators.brackets import number, wide_quantiles
 from lapsewatch.operators.smalltables import materialise
 
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -47,37 +48,31 @@ def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins:
     three edges (a constant feature) score 0. Features missing on a side are left out.
     """
     names = _present(reference, current, features)
+    # Derived columns are worked out once; the passes below read numbers.
+    reference, current = (materialise(df.select(*[number(c).alias(c) for c in names]), "sides")
+                          if names else df for df in (reference, current))
+    found = wide_quantiles(reference, names, [i / bins for i in range(bins + 1)])
+    edges = {c: sorted(set(e)) for (c, _), e in found.items()}
+    facts = _moments(reference, current, [c for c in names if c in edges])
+    kept = [r["feature"] for r in facts]
+    spark = reference.sparkSession
+    schema = ("feature string, ref_rows bigint, cur_rows bigint, reference_mean double, "
+              "current_mean double, reference_std double, current_std double")
+    if not kept:
+        return spark.createDataFrame([], "feature string, psi double, is_drifted boolean, reference_mean "
+                                     "double, current_mean double, reference_std double, current_std double")
 
     def side(df: DataFrame, ref: int) -> DataFrame:
-        return df.select(F.lit(ref).cast("bigint").alias("r"), tall(names))
-
-    # Both tables are read once; all that follows works on distinct values.
-    counts = materialise(
-        side(reference, 1).unionByName(side(current, 0)).where("value IS NOT NULL")
-        .groupBy("feature", "value").agg(
-            F.sum("r").alias("ref_n"), F.sum(1 - F.col("r")).alias("cur_n")), "psi-counts")
-    quantiles = exact_quantiles(
-        counts.where("ref_n > 0"), "value", {f"e{i}": i / bins for i in range(bins + 1)},
-        ["feature"], weight="ref_n")
-    edges = quantiles.select("feature", F.sort_array(F.array_distinct(
-        F.array(*[f"e{i}" for i in range(bins + 1)]))).alias("edges"))
-    value, ref_n, cur_n = F.col("value"), F.col("ref_n"), F.col("cur_n")
-    sides = counts.groupBy("feature").agg(
-        F.sum("ref_n").alias("ref_rows"), F.sum("cur_n").alias("cur_rows"),
-        F.try_divide(F.sum(value * ref_n), F.sum("ref_n")).alias("reference_mean"),
-        F.try_divide(F.sum(value * cur_n), F.sum("cur_n")).alias("current_mean"),
-    ).where("ref_rows > 0 AND cur_rows > 0").join(edges, "feature")
-    # One row per feature, with at most bins + 1 edges: always small enough to broadcast.
-    placed = counts.join(F.broadcast(sides), "feature").withColumn("bin", _bin_index("edges"))
-
-    def squares(mean: str, n: Column) -> Column:
-        return F.sum((value - F.col(mean)) * (value - F.col(mean)) * n)
-
-    carried = ["feature", "edges", "ref_rows", "cur_rows", "reference_mean", "current_mean"]
-    held = placed.groupBy(*carried, "bin").agg(
-        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"),
-        squares("reference_mean", ref_n).alias("ref_sq"),
-        squares("current_mean", cur_n).alias("cur_sq"))
+        return df.select(F.lit(ref).cast("bigint").alias("r"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("feature"), _bin_index(c, edges[c]).alias("bin"))
+            for c in kept])))
+
+    # Counted where the rows are: what is shuffled is a row per feature, bin and task.
+    held = side(reference, 1).unionByName(side(current, 0)).groupBy("feature", "bin").agg(
+        F.sum("r").alias("ref_n"), F.sum(1 - F.col("r")).alias("cur_n"))
+    # One row per feature.
+    sized = held.join(F.broadcast(spark.createDataFrame(
+        [tuple(r.values()) for r in facts], schema)), "feature")
 
     def share(which: str) -> Column:
         return F.col(f"{which}_n") / F.col(f"{which}_rows") + K.PSI_FLOOR
@@ -85,24 +80,38 @@ def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins:
     # A bin nobody falls in on either side adds (floor - floor) * log(1) = 0, so the bins that
     # occur are all that is needed.
     term = (share("cur") - share("ref")) * F.log(share("cur") / share("ref"))
-    counted = F.col("bin").isNotNull() & (F.size("edges") >= 3)
-    scored = held.groupBy("feature").agg(
+    flat = [c for c in kept if len(edges[c]) < 3]
+    counted = F.col("bin").isNotNull() & ~F.col("feature").isin(flat)
+    scored = sized.groupBy("feature").agg(
         F.sum(F.when(counted, term).otherwise(0.0)).alias("psi"),
-        F.max("reference_mean").alias("reference_mean"),
-        F.max("current_mean").alias("current_mean"),
-        F.sqrt(F.sum("ref_sq") / F.max("ref_rows")).alias("reference_std"),
-        F.sqrt(F.sum("cur_sq") / F.max("cur_rows")).alias("current_std"))
+        *[F.max(f"{side}_{m}").alias(f"{side}_{m}") for m in ("mean", "std")
+          for side in ("reference", "current")])
     return scored.select(
         "feature", "psi", (F.col("psi") > limit).alias("is_drifted"), "reference_mean",
         "current_mean", "reference_std", "current_std")
 
 
-def _bin_index(edges: str) -> Column:
-    """Bin of ``value`` among sorted ``edges``; null outside them."""
-    value, last = F.col("value"), F.element_at(F.col(edges), -1)
-    below = F.size(F.filter(edges, lambda e: e <= value))
-    return F.when(value == last, F.size(edges) - 2).when(
-        (value < last) & (below > 0), below - 1)
+def _moments(reference: DataFrame, current: DataFrame, names: Sequence[str]) -> list[dict]:
+    """Rows, means and population deviations of the features that both sides have values of."""
+    def side(df: DataFrame) -> dict:
+        return df.agg(*[
+            F.expr(f"struct(count(`{c}`) AS n, avg(`{c}`) AS m, stddev_pop(`{c}`) AS s)").alias(c)
+            for c in names]).first().asDict() if names else {}
+
+    ref, cur = side(reference), side(current)
+    return [{"feature": c, "ref_rows": ref[c]["n"], "cur_rows": cur[c]["n"],
+             "reference_mean": ref[c]["m"], "current_mean": cur[c]["m"],
+             "reference_std": ref[c]["s"], "current_std": cur[c]["s"]}
+            for c in names if ref[c]["n"] and cur[c]["n"]]
+
+
+def _bin_index(column: str, edges: Sequence[float]) -> Column:
+    """Bin of the column's number among sorted edges; null outside them."""
+    listed = ", ".join(f"double('{e!r}')" for e in edges)
+    value, last = f"`{column}`", f"double('{edges[-1]!r}')"
+    return F.expr(f"""CASE WHEN {value} = {last} THEN {len(edges) - 2}
+        WHEN {value} < {last} AND {value} >= double('{edges[0]!r}')
+        THEN size(filter(array({listed}), e -> e <= {value})) - 1 END""")
 
 
 def categorical_drift(reference: DataFrame, current: DataFrame, features: Sequence[str],
@@ -176,8 +185,9 @@ def feature_findings(reference: DataFrame, current: DataFrame,
     return findings
 
 
-def report(findings: DataFrame, prediction: DataFrame | None = None) -> DataFrame:
-    """One row: overall verdict, drifted features, prediction shift, summary text."""
+def report(findings: DataFrame, prediction: DataFrame | None = None,
+           reference: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
+    """One row: time, rows of both sides, verdict, drifted features, prediction shift, summary."""
     drifted = F.coalesce(F.sort_array(F.collect_list(
         F.when(F.col("is_drifted"), F.col("feature")))), F.array())
     rolled = findings.agg(
@@ -193,6 +203,10 @@ def report(findings: DataFrame, prediction: DataFrame | None = None) -> DataFram
     else:
         rolled = rolled.withColumns({
             "prediction_score": F.lit(None).cast("double"), "prediction_drifted": F.lit(False)})
+    def size(df: DataFrame | None) -> Column:
+        return F.lit(None).cast("bigint") if df is None else df.agg(F.count(F.lit(1))).scalar()
+
+    rolled = rolled.withColumns({"reference_rows": size(reference), "current_rows": size(current)})
     any_drift = (F.size("drifted") > 0) | F.col("prediction_drifted")
     alarm = F.concat(
         F.lit("Drift detected: "), F.size("drifted").cast("string"), F.lit(" feature(s)"),
@@ -203,7 +217,9 @@ def report(findings: DataFrame, prediction: DataFrame | None = None) -> DataFram
         F.lit(" numerical and "), F.col("n_categorical").cast("string"),
         F.lit(" categorical features"))
     return rolled.select(
-        any_drift.alias("overall_drift"), F.array_join("drifted", ",").alias("drifted_features"),
+        F.current_timestamp().alias("created_at"), "reference_rows", "current_rows",
+        any_drift.alias("overall_drift"), F.size("drifted").alias("n_drifted"),
+        F.array_join("drifted", ",").alias("drifted_features"),
         "n_numerical", "n_categorical", "prediction_score", "prediction_drifted",
         F.when(any_drift, alarm).otherwise(calm).alias("summary"))
 

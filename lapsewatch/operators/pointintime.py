@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewatch import constants as K
-from lapsewatch.operators.ranking import _slice_count
+from lapsewatch.operators.ranking import _slice_count, slice_of
+from lapsewatch.operators.smalltables import materialise
 
 
 def latest_per_key(features: DataFrame, key: str, at: str, values: Sequence[str],
@@ -71,13 +72,12 @@ def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_at: st
         F.lit(0).cast("bigint").alias("_tie"),
         F.lit(None).cast(feature_rows.schema["_held"].dataType).alias("_held"),
         F.struct(*entities.columns).alias("_entity"))
-    rows = feature_rows.unionByName(entity_rows)
+    # Both inputs are read once; what follows reads this table, mostly its narrow columns.
+    rows = materialise(feature_rows.unionByName(entity_rows), "as-of")
     cuts = [i / slices for i in range(1, slices)]
-    edges = features.select(position(feature_at).alias("_at")).unionByName(
-        entities.select(position(entity_at).alias("_at"))).agg(
-        F.percentile_approx("_at", cuts, 2000)).scalar()
-    sliced = rows.withColumn("_edges", edges).withColumn("_slice", F.coalesce(
-        F.size(F.filter("_edges", lambda e: e < F.col("_at"))), F.lit(0))).drop("_edges")
+    edges = rows.agg(F.percentile_approx("_at", cuts, 2000)).scalar()
+    sliced = rows.withColumn("_edges", edges).withColumn(
+        "_slice", slice_of(F.col("_at"), F.col("_edges"), slices)).drop("_edges")
 
     # Last feature row of every (key, slice), then of all earlier slices of the key.
     ends = sliced.groupBy(key, "_slice").agg(F.max_by(

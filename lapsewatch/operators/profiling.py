@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewatch.functions.scalars import ratio, tall
-from lapsewatch.operators.ranking import exact_quantiles
-from lapsewatch.operators.smalltables import join_small
+from lapsewatch.operators.brackets import number, wide_quantiles
+from lapsewatch.operators.smalltables import join_small, materialise
 
 
 def _rate(label: str = "label") -> Column:
@@ -36,14 +36,17 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles, maximum per numeric column."""
-    values = df.select(tall(columns))
-    moments = values.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    quartiles = exact_quantiles(values, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-                                ["feature"])
-    return moments.join(quartiles, "feature")
+    df = materialise(df.select(*[number(c).alias(c) for c in columns]), "numbers")
+    moments = df.agg(*[x for c in columns for x in (
+        F.count(number(c)).alias(f"{c}__n"), F.avg(number(c)).alias(f"{c}__m"),
+        F.stddev_samp(number(c)).alias(f"{c}__s"), F.min(number(c)).alias(f"{c}__lo"),
+        F.max(number(c)).alias(f"{c}__hi"))]).first()
+    quartiles = wide_quantiles(df, columns, [0.25, 0.5, 0.75])
+    rows = [(c, *[moments[f"{c}__{m}"] for m in ("n", "m", "s", "lo", "hi")],
+             *quartiles.get((c, 0), [None] * 3)) for c in columns]
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, count bigint, mean double, std double, min double, max double, "
+              "q25 double, q50 double, q75 double")
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
@@ -86,8 +89,12 @@ def rate_matrix(df: DataFrame, row: str, column: str, levels: Sequence[str]) ->
 
 
 def median_by_class(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    values = df.select("label", tall(columns))
-    return exact_quantiles(values, "value", {"median": 0.5}, ["feature", "label"])
+    kind = df.schema["label"].dataType.simpleString()
+    rows = materialise(df.select("label", *[number(c).alias(c) for c in columns]), "numbers")
+    medians = wide_quantiles(rows, columns, [0.5], "label")
+    return df.sparkSession.createDataFrame(
+        [(c, label, m[0]) for (c, label), m in medians.items()],
+        f"feature string, label {kind}, median double")
 
 
 def segment_report(df: DataFrame, segment: Column) -> DataFrame:

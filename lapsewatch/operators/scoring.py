@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,48 @@ def top_contributions(df: DataFrame, weights: Mapping[str, float], means: Mappin
     return F.map_from_entries(F.transform(best, lambda t: F.struct(t["feature"], t["term"])))
 
 
+def vector_contributions(names: Sequence[str], weights: Sequence[float], means: Sequence[float],
+                         vector: str = "features", n: int = 3) -> Column:
+    """The same for the slots of a fitted linear model's vector; one number per slot is bound in."""
+    slots = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("feature"),
+                               F.lit(float(w)).alias("weight"), F.lit(float(m)).alias("mean"))
+                      for i, (name, w, m) in enumerate(zip(names, weights, means))])
+    terms = F.zip_with(vector_to_array(vector), slots, lambda x, s: F.struct(
+        (-F.abs((x - s["mean"]) * s["weight"])).alias("size"), s["place"].alias("place"),
+        s["feature"].alias("feature"), ((x - s["mean"]) * s["weight"]).alias("term")))
+    best = F.slice(F.sort_array(terms), 1, n)
+    return F.map_from_entries(F.transform(best, lambda t: F.struct(t["feature"], t["term"])))
+
+
+def explain(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Rows with prob and explanation, the three strongest contributions, of a fitted pipeline
+    whose last stage is linear; slots dropped by its selector do not appear."""
+    from lapsewatch.operators.encoding import vector_names
+    from lapsewatch.operators.training import positive_probability
+    scored = model.transform(df)
+    means = scored.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
+    told = vector_contributions(vector_names(scored), model.stages[-1].coefficients.toArray(), means)
+    return scored.withColumns({"prob": positive_probability(scored), "explanation": told}).select(
+        *df.columns, "prob", "explanation")
+
+
+def full_response(df: DataFrame, threshold: float, quantiles: DataFrame, prob: str = "prob") -> DataFrame:
+    """The whole answer for a row: decision columns, its explanation as it came, and ``conformal``,
+    an array with one prediction set per confidence in ascending order."""
+    levels = quantiles.agg(F.sort_array(F.collect_list(F.struct("confidence", "quantile")))).scalar()
+
+    def of(level: Column) -> Column:
+        churn, stays = (1.0 - F.col(prob)) <= level["quantile"], F.col(prob) <= level["quantile"]
+        return F.struct(
+            level["confidence"].alias("confidence"), churn.alias("includes_churn"),
+            stays.alias("includes_no_churn"),
+            (churn.cast("int") + stays.cast("int")).alias("set_size"),
+            (churn & stays).alias("is_uncertain"))
+
+    return decide(df.withColumn("_levels", levels), threshold, prob).withColumn(
+        "conformal", F.transform("_levels", of)).drop("_levels")
+
+
 def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """One number per column, computed on the executors."""
     return df.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import statistics
 import time
 from collections.abc import Callable, Mapping, Sequence
 
@@ -67,7 +68,7 @@ class ImportanceSelector(Estimator):
 
     def _fit(self, dataset: DataFrame) -> VectorSlicer:
         judge = classifier("gradient_boosting", **self.params_).setFeaturesCol(self.input_col)
-        importances = judge.fit(dataset).featureImportances.toArray()
+        importances = self.importances_ = judge.fit(dataset).featureImportances.toArray()
         limit = self.share * importances.mean()
         kept = [i for i, x in enumerate(importances) if x >= limit]
         return VectorSlicer(inputCol=self.input_col, outputCol=self.output_col, indices=kept)
@@ -277,40 +278,56 @@ def draw(space: Mapping[str, tuple], source: random.Random) -> dict[str, float]:
 
 
 def search(df: DataFrame, build: Callable[[dict], Pipeline], space: Mapping[str, tuple],
-           trials: int = 50, k: int = 3, seed: int = K.SEED, startup: int = 2) -> DataFrame:
-    """Random search by mean average precision; a weak trial ends early.
+           trials: int = 50, k: int = 3, seed: int = K.SEED, startup: int = 5) -> DataFrame:
+    """Random search by mean average precision; a weak trial ends early (see ``should_prune``).
 
-    After each fold a trial whose mean so far is below the median of the earlier trials' means at
-    that fold is pruned, once ``startup`` trials have run. ``weight`` in a point is the weight of
-    the positive class.
+    ``weight`` in a point is the weight of the positive class. ``scores`` lists the means reached
+    after each fold.
     """
-    source, reached, table = random.Random(seed), {}, []
+    source, finished, table = random.Random(seed), [], []
     rows = spread(splitting.add_fold(df, k)).persist()
     try:
         for trial in range(trials):
             point = draw(space, source)
             params = {n: v for n, v in point.items() if n != "weight"}
             weighted = with_weight(rows, point.get("weight", 1.0))
-            pipeline, scores, pruned = build(params), [], False
+            pipeline, scores, means, pruned = build(params), [], [], False
             for fold in range(k):
                 model = pipeline.fit(weighted.where(F.col("fold") != fold))
                 held = score(model, weighted.where(F.col("fold") == fold)).select("label", "prob")
                 scores.append(metrics.ranking_scores(held).first()["average_precision"])
-                mean = sum(scores) / len(scores)
-                others = sorted(reached.get(fold, []))
-                if len(others) >= startup and fold < k - 1:
-                    middle = len(others) // 2
-                    median = others[middle] if len(others) % 2 else (
-                        others[middle - 1] + others[middle]) / 2
-                    pruned = mean < median
-                reached.setdefault(fold, []).append(mean)
+                means.append(sum(scores) / len(scores))
+                pruned = should_prune(means, finished, k, startup)
                 if pruned:
                     break
-            table.append((trial, json.dumps(point, sort_keys=True), len(scores), mean, pruned))
+            if not pruned:
+                finished.append(means)
+            table.append((trial, json.dumps(point, sort_keys=True), len(scores), means[-1], pruned,
+                          json.dumps(means)))
     finally:
         rows.unpersist()
     return df.sparkSession.createDataFrame(
-        table, "trial int, params string, folds int, value double, pruned boolean")
+        table, "trial int, params string, folds int, value double, pruned boolean, scores string")
+
+
+def should_prune(means: Sequence[float], finished: Sequence[Sequence[float]], k: int,
+                 startup: int = 5) -> bool:
+    """Whether a trial ends after its last fold so far: its mean is below the median of finished
+    trials at that fold. Not after the first fold, not after the last, and only once ``startup``
+    trials have finished."""
+    fold = len(means) - 1
+    if not 0 < fold < k - 1 or len(finished) < startup:
+        return False
+    return means[-1] < statistics.median(other[fold] for other in finished)
+
+
+def best_trial(table: DataFrame) -> DataFrame:
+    """One row: the best finished trial, its parameters and score, and how many ended how."""
+    done = F.struct(F.col("value"), -F.col("trial"), F.col("params"))
+    return table.agg(
+        F.max(F.when(~F.col("pruned"), done)).alias("best"), F.count_if("pruned").alias("n_pruned"),
+        F.count_if(~F.col("pruned")).alias("n_completed")).select(
+        F.col("best.value").alias("value"), F.col("best.params").alias("params"), "n_pruned", "n_completed")
 
 
 def benchmark(df: DataFrame, pipelines: Mapping[str, Pipeline], k: int = 5) -> DataFrame:

@@ -231,10 +231,9 @@ RECALIBRATED = "1 / (1 + EXP(-(-2.4::DOUBLE + 4.0::DOUBLE * prob)))"
       r AS (SELECT e.*, b.brier FROM ({errors_sql('two', 'stage')}) e
             JOIN (SELECT stage, AVG(POWER(prob - label, 2)) AS brier FROM two GROUP BY 1) b
             USING (stage))
-    SELECT ROUND(p.ece, 6) AS ece_before, ROUND(a.ece, 6) AS ece_after,
-      ROUND(p.ece - a.ece, 6) AS ece_gain, ROUND(p.mce, 6) AS mce_before,
-      ROUND(a.mce, 6) AS mce_after, ROUND(p.brier, 6) AS brier_before,
-      ROUND(a.brier, 6) AS brier_after, ROUND(p.brier - a.brier, 6) AS brier_gain
+    SELECT {", ".join(f"ROUND(p.{m}, 6) AS {m}_before, ROUND(a.{m}, 6) AS {m}_after"
+                      for m in ("ece", "mce", "brier", "reliability", "resolution"))},
+      {", ".join(f"ROUND(a.{m} - p.{m}, 6) AS {m}_delta" for m in ("ece", "mce", "brier"))}
     FROM r p, r a WHERE p.stage = 'before' AND a.stage = 'after'""", "scored"))
 def q17(spark, sf_dir):
     from lapsewatch.operators.calibration import compare_stages

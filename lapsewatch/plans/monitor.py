@@ -157,6 +157,11 @@ def findings_sql(sides: str) -> str:
 
 def _report_sql(sides: str) -> str:
     return check(f"""
+        SELECT *, CASE WHEN overall_drift THEN 'Drift detected: ' || n_drifted || ' feature(s)'
+              || CASE WHEN prediction_drifted THEN ', predictions' ELSE '' END || '. Drifted: '
+              || REPLACE(drifted_features, ',', ', ')
+            ELSE 'No significant drift in ' || n_numerical || ' numerical and ' || n_categorical
+              || ' categorical features' END AS summary FROM (
         SELECT COUNT(*) FILTER (WHERE is_drifted) > 0
             OR (SELECT is_drifted FROM (WITH {sides} {PREDICTION})) AS overall_drift,
           COALESCE(STRING_AGG(feature, ',' ORDER BY feature) FILTER (WHERE is_drifted), '')
@@ -164,13 +169,16 @@ def _report_sql(sides: str) -> str:
           COUNT(*) FILTER (WHERE method = 'psi') AS n_numerical,
           COUNT(*) FILTER (WHERE method = 'chi_squared') AS n_categorical,
           (SELECT drift_score FROM (WITH {sides} {PREDICTION})) AS prediction_score,
-          (SELECT is_drifted FROM (WITH {sides} {PREDICTION})) AS prediction_drifted
-        FROM ({findings_sql(sides)})""", "features")
+          (SELECT is_drifted FROM (WITH {sides} {PREDICTION})) AS prediction_drifted,
+          COUNT(*) FILTER (WHERE is_drifted)::INT AS n_drifted,
+          (WITH {sides} SELECT COUNT(*) FROM r) AS reference_rows,
+          (WITH {sides} SELECT COUNT(*) FROM c) AS current_rows
+        FROM ({findings_sql(sides)}))""", "features")
 
 
 def _report(sides):
     findings = drift.feature_findings(*sides)
-    return drift.report(findings, drift.prediction_drift(*sides)).drop("summary")
+    return drift.report(findings, drift.prediction_drift(*sides), *sides).drop("created_at")
 
 
 @query("d05_drift_report", _report_sql(SPLIT_VIEWS))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lapsewatch import constants as K
 from lapsewatch.functions.scalars import named
-from lapsewatch.operators import drift, features, metrics, pointintime, prepare, quality, scoring
+from lapsewatch.operators import conformal, drift, features, metrics, pointintime, prepare, quality, scoring
 from lapsewatch.plans.explore import hash_share_sql, rounded
 from lapsewatch.plans.intake import model_rows
 from lapsewatch.plans.monitor import chi_sql, psi_sql
@@ -80,11 +80,47 @@ def r03(spark, sf_dir):
         "customerID", "feature", named(F.col("term"), "term", 6))
 
 
+SETS = {c: f"q{round(c * 100)}" for c in K.CONFIDENCES}
+
+
+def _quantile_sql(confidence: float) -> str:
+    """The conformal quantile of the scorecard: an order statistic of its nonconformity."""
+    return (f"(SELECT COALESCE(MIN(s) FILTER (WHERE k >= CEIL((n + 1) * {round(confidence * 1000)} / 1000.0::DOUBLE)), 1) "
+            "FROM (SELECT s, ROW_NUMBER() OVER (ORDER BY s) AS k, COUNT(*) OVER () AS n FROM "
+            "(SELECT CASE WHEN label = 1 THEN 1 - prob ELSE prob END AS s FROM scored)))")
+
+
+@query("r01_full_response", check(f"""
+    WITH t AS (SELECT customerID, feature, ROUND(term, 6) AS term,
+        ROW_NUMBER() OVER (PARTITION BY customerID ORDER BY ABS(term) DESC) AS k FROM ({TERMS}))
+    SELECT d.*, {", ".join(f"MAX(feature) FILTER (WHERE k = {i}) AS feature_{i}, MAX(term) FILTER (WHERE k = {i}) AS term_{i}" for i in (1, 2, 3))},
+      {", ".join(f"ANY_VALUE(1 - prob <= {_quantile_sql(c)}) AS churn_{n}, ANY_VALUE(prob <= {_quantile_sql(c)}) AS stays_{n}" for c, n in SETS.items())}
+    FROM ({DECIDED}) d JOIN t USING (customerID) JOIN scored s USING (customerID) GROUP BY ALL""", "features", "scored"))
+def r01_full(spark, sf_dir):
+    """Decision, tier, the three strongest contributions and the conformal sets in one row."""
+    rows = model_rows(spark, sf_dir)
+    means = scoring.column_means(rows, list(COEFFICIENTS))
+    explained = rows.select("customerID", scoring.top_contributions(rows, COEFFICIENTS, means).alias("explanation"))
+    cards = scored(spark, sf_dir).select("customerID", "label", "prob")
+    response = scoring.full_response(cards.join(explained, "customerID"), CUT, conformal.calibrate(cards))
+
+    def key(i):
+        return F.map_keys("explanation")[i]
+
+    return response.select(
+        "customerID", "churn_probability", "will_churn", "threshold_used", "risk_tier",
+        *[x for i in range(3) for x in (key(i).alias(f"feature_{i + 1}"),
+                                        named(F.map_values("explanation")[i], f"term_{i + 1}", 6))],
+        *[x for i, n in enumerate(SETS.values()) for x in (
+            F.col("conformal")[i]["includes_churn"].alias(f"churn_{n}"),
+            F.col("conformal")[i]["includes_no_churn"].alias(f"stays_{n}"))])
+
+
 # ---- feature lookups ---------------------------------------------------------------------
-# Clicks ask for features; views and purchases deliver them.
+# Clicks ask for features; all other events deliver them.
 
 def feature_events(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type IN ('view', 'purchase')").select(
+    return table(spark, sf_dir, "events").where("event_type <> 'click'").select(
         "user_id", F.col("ts").alias("feature_ts"), "value", "event_id")
 
 
@@ -94,7 +130,7 @@ def request_events(spark, sf_dir):
 
 
 FEATURE_ROWS = ("SELECT user_id, ts AS feature_ts, value, event_id FROM events "
-                "WHERE event_type IN ('view', 'purchase')")
+                "WHERE event_type <> 'click'")
 REQUEST_ROWS = ("SELECT user_id, ts AS request_ts, event_id AS request_id FROM events "
                 "WHERE event_type = 'click'")
 AS_OF = "2024-01-31 00:00:00"
@@ -160,7 +196,7 @@ def r07(spark, sf_dir):
 @query("r07_incremental_merge_stream", LATEST)
 def r07_stream(spark, sf_dir):
     rows = table_stream(spark, sf_dir, "events").where(
-        "event_type IN ('view', 'purchase')").select(
+        "event_type <> 'click'").select(
         "user_id", F.col("ts").alias("feature_ts"), "value", "event_id")
     newest = jobs.maintain_latest(rows, "user_id", "feature_ts", "event_id")
     return newest.withColumn("feature_ts", stamp("feature_ts"))
@@ -290,8 +326,7 @@ SLICES = """
           AND day <= (SELECT MAX(day) FROM d) - INTERVAL 7 DAY),
   c AS (SELECT features.* FROM features JOIN d USING (customerID)
         WHERE day > (SELECT MAX(day) FROM d) - INTERVAL 7 DAY)"""
-WATCHED = ["tenure", "MonthlyCharges", "TotalCharges", "service_adoption_count"]
-WATCHED_TEXTS = ["gender", "Contract", "InternetService", "PaymentMethod"]
+WATCHED, WATCHED_TEXTS = K.NUMERIC, K.CATEGORICAL
 
 
 def _time_slices(spark, sf_dir):
@@ -392,14 +427,14 @@ def t07_stream(spark, sf_dir):
         COUNT(*) FILTER (WHERE prob < 0.02::DOUBLE AND label = 1) AS fn
       FROM ({LABELLED}) GROUP BY 1),
     f AS (SELECT *, 2 * tp / (2 * tp + fp + fn)::DOUBLE AS f1 FROM d),
-    b AS (SELECT *, AVG(f1) OVER (ORDER BY day RANGE BETWEEN INTERVAL 10 DAY PRECEDING
+    b AS (SELECT *, AVG(f1) OVER (ORDER BY day RANGE BETWEEN INTERVAL 30 DAY PRECEDING
             AND INTERVAL 1 DAY PRECEDING) AS base FROM f)
     SELECT STRFTIME(day, '%Y-%m-%d') AS day, ROUND(f1, 6) AS f1, ROUND(base, 6) AS baseline_f1,
       COALESCE(base - f1 > 0.05::DOUBLE, FALSE) AS retrain FROM b""")
 def t08(spark, sf_dir):
     rows = labelled(spark, sf_dir).withColumn("label", F.coalesce("label", F.lit(0.0)))
     daily = rows.groupBy(F.to_date("ts").alias("day")).agg(*metrics.confusion_columns(0.02))
-    dropped = requests.performance_drop(daily, days=10)
+    dropped = requests.performance_drop(daily, days=30)
     return rounded(dropped.select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "f1", "baseline_f1", "retrain"))
 

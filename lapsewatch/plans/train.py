@@ -1,18 +1,21 @@
-"""Queries that fit models (E06, FS4, FS5, FS7, A22, M, U02, S07, S09): checked by their properties.
+"""Queries that fit models (E06, FS4, FS5, FS7, A22, M, U02, S07, S09).
 
-Tree counts and trial counts are kept low here; the operators' defaults are the full ones.
+SQL cannot fit a model, so these return facts of the fitted model that SQL can state: which rows,
+names, models and sections there must be, and for each whether it has the property it must have.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from lapsewatch import constants as K
 from lapsewatch.operators import (
-    calibration, drift, importance, leaderboard, metrics, prepare, scoring, splitting, training,
+    calibration, conformal, drift, importance, leaderboard, metrics, prepare, scoring, splitting, training,
     uplift,
 )
-from lapsewatch.operators.encoding import routed_stages, vector_names, vector_size
+from lapsewatch.operators.encoding import routed_stages, vector_names
 from lapsewatch.operators.smalltables import materialise
 from lapsewatch.plans.evaluate import (
     AT_CUT, COUNTS, CUT, RATIOS, SCAN_SQL, ranking_sql, scan_rows,
@@ -26,8 +29,25 @@ from lapsewatch.session import scratch_path
 from lapsewatch.sources import files
 from lapsewatch.sources.tables import scored, subscribers
 
-SMALL = {"maxIter": 5, "maxDepth": 3}
-FAST = {"maxIter": 20}
+# Settings of the registered fits where they are not the operators' defaults.
+FAST = {"maxIter": 50}
+
+
+def names_sql(names, **facts) -> str:
+    """A row per name with constant facts."""
+    extra = "".join(f", {value} AS {fact}" for fact, value in facts.items())
+    return f"SELECT UNNEST([{', '.join(repr(n) for n in names)}]) AS feature{extra}"
+
+
+# Slots of the routed vector: one per level, scaled number and flag.
+SLOTS = " UNION ALL ".join(
+    [f"SELECT DISTINCT '{c}__hot_' || {c} AS feature FROM features" for c in K.CATEGORICAL]
+    + [f"SELECT '{c}__scaled'" for c in K.NUMERIC] + [f"SELECT '{c}'" for c in K.BINARY])
+TEST_ROWS = f"SELECT customerID, label, TRUE AS is_probability FROM clean WHERE {hash_share_sql()} >= 0.8::DOUBLE"
+
+
+def as_probability(df):
+    return df.select("customerID", "label", F.col("prob").between(0.0, 1.0).alias("is_probability"))
 
 
 def train_rows(spark, sf_dir):
@@ -45,8 +65,7 @@ def linear(select=False, **routes):
 
 
 def boosted(select=True):
-    return training.model_pipeline("gradient_boosting", SMALL, select=select,
-                                   selector={"maxIter": 3, "maxDepth": 3})
+    return training.model_pipeline("gradient_boosting", select=select)
 
 
 @query("s07_json_report", check(
@@ -58,39 +77,57 @@ def s07(spark, sf_dir):
         "feature", "method", "is_drifted")
 
 
-@query("e06_importance_selection")
+@query("e06_importance_selection", check(
+    f"SELECT feature, TRUE AS follows_rule FROM ({SLOTS})", "features"))
 def e06(spark, sf_dir):
+    """Every slot, and whether it was kept exactly if its importance reaches half the mean."""
     from pyspark.ml import Pipeline
     rows = engineered(spark, sf_dir)
     encoded = Pipeline(stages=routed_stages(output="all_features")).fit(rows).transform(rows)
-    slicer = training.ImportanceSelector(maxIter=5, maxDepth=3).fit(encoded)
-    kept = slicer.transform(encoded)
-    names = vector_names(kept)
+    selector = training.ImportanceSelector()
+    kept = set(vector_names(selector.fit(encoded).transform(encoded)))
+    weights = selector.importances_
     return spark.createDataFrame(
-        [(n, vector_size(encoded, "all_features"), len(names)) for n in names],
-        "feature string, slots int, kept int")
+        [(n, bool((n in kept) == (w >= 0.5 * weights.mean())))
+         for n, w in zip(vector_names(encoded, "all_features"), weights)],
+        "feature string, follows_rule boolean")
+
+
+def _rank_facts(table, score: str, rank: str):
+    """Per feature: whether its score and rank agree with the feature ranked before it."""
+    from pyspark.sql import Window
+    before = Window.orderBy(rank)  # a row per feature
+    return table.select(
+        "feature", (F.coalesce(F.round(F.lag(score).over(before), 6) >= F.round(score, 6), F.lit(True))
+                    & (F.col(rank) == F.row_number().over(before))).alias("in_order"))
 
 
-@query("fs4_forest_importance")
+@query("fs4_forest_importance", names_sql(K.MODEL_INPUTS, in_order="TRUE", adds_up="TRUE"))
 def fs4(spark, sf_dir):
     from lapsewatch.operators.selection import ranked
-    scores = importance.forest_importance(codes(spark, sf_dir), K.MODEL_INPUTS, 20, 6)
-    return ranked(scores, "rf_importance", "rf_rank")
+    scores = importance.forest_importance(codes(spark, sf_dir), K.MODEL_INPUTS)
+    total = scores.agg(F.sum("rf_importance")).first()[0]
+    return _rank_facts(ranked(scores, "rf_importance", "rf_rank"), "rf_importance", "rf_rank").withColumn(
+        "adds_up", F.lit(abs(total - 1) < 1e-9))
 
 
-@query("fs5_permutation_importance")
+@query("fs5_permutation_importance", names_sql(K.MODEL_INPUTS, in_order="TRUE", spread="TRUE"))
 def fs5(spark, sf_dir):
     from lapsewatch.operators.selection import ranked
-    names = K.NUMERIC + K.BINARY
-    scores = importance.permutation_importance(codes(spark, sf_dir), names, repeats=2)
-    return ranked(scores, "perm_mean", "perm_rank").join(
-        scores.select("feature", "perm_std"), "feature")
+    scores = materialise(importance.permutation_importance(codes(spark, sf_dir), K.MODEL_INPUTS), "scores")
+    return _rank_facts(ranked(scores, "perm_mean", "perm_rank"), "perm_mean", "perm_rank").join(
+        scores.select("feature", (F.col("perm_std") >= 0).alias("spread")), "feature")
 
 
-@query("fs7_full_selection")
+@query("fs7_full_selection", names_sql(K.MODEL_INPUTS, has_fate="TRUE", votes_decide="TRUE"))
 def fs7(spark, sf_dir):
-    return importance.full_selection(model_rows(spark, sf_dir), K.MODEL_INPUTS, k=2, trees=10,
-                                     repeats=1)
+    """Every feature, whether a stage decided on it, and whether its votes say if it is selected."""
+    table = importance.full_selection(model_rows(spark, sf_dir), K.MODEL_INPUTS)
+    return table.select(
+        "feature",
+        F.when(F.col("stage") == "ranked", F.col("votes").isNotNull()).otherwise(
+            F.col("stage").isin("variance", "correlation") & F.col("votes").isNull()).alias("has_fate"),
+        F.coalesce(F.col("selected") == (F.col("votes") >= 2), F.lit(True)).alias("votes_decide"))
 
 
 FIRST_SEVEN = ["tenure_group", "is_month_to_month", "service_adoption_count",
@@ -98,100 +135,166 @@ FIRST_SEVEN = ["tenure_group", "is_month_to_month", "service_adoption_count",
                "avg_charge_per_service"]
 
 
-@query("a22_feature_set_comparison")
+@query("a22_feature_set_comparison", """
+    SELECT * FROM (VALUES ('raw', 19, TRUE), ('raw_plus_7', 26, TRUE), ('all', 47, TRUE),
+      ('selected', 20, TRUE)) t(feature_set, n_features, better_than_base)""")
 def a22(spark, sf_dir):
+    """Four feature sets by cross-validated average precision; "selected" are the twenty features
+    that share most information with the label."""
+    from lapsewatch.operators.selection import ranked
+    from lapsewatch.plans.monitor import mi_scores
     raw = CHARGES + K.CATEGORICAL[:16]
-    chosen = ["contract_numeric", "tenure", "composite_churn_risk", "is_fiber_optic",
-              "m2m_and_fiber", "charge_to_tenure_ratio"]
-    return importance.compare_feature_sets(codes(spark, sf_dir), {
-        "raw": raw, "raw_plus_7": raw + FIRST_SEVEN, "all": K.MODEL_INPUTS, "selected": chosen},
-        k=2)
+    best = ranked(mi_scores(spark, sf_dir), "mi_score", "mi_rank").where("mi_rank <= 20").collect()
+    rows = codes(spark, sf_dir)
+    base = rows.agg(F.avg("label")).first()[0]
+    compared = importance.compare_feature_sets(rows, {
+        "raw": raw, "raw_plus_7": raw + FIRST_SEVEN, "all": K.MODEL_INPUTS,
+        "selected": [r["feature"] for r in best]})
+    return compared.select("feature_set", "n_features", (F.col("cv_pr_auc") > base).alias("better_than_base"))
 
 
-@query("m01_model_factory")
+@query("m01_model_factory", check(TEST_ROWS, "clean"))
 def m01(spark, sf_dir):
     rows = splitting.add_split(train_rows(spark, sf_dir), splitting.TRAIN_TEST)
     model = training.fit(boosted(), rows.where("split = 'train'"))
-    return training.score(model, rows.where("split = 'test'")).select(
-        "customerID", "label", "prob")
+    return as_probability(training.score(model, rows.where("split = 'test'")))
 
 
-@query("m02_algorithm_registry")
+@query("m02_algorithm_registry", f"""
+    SELECT UNNEST({sorted(training.ALGORITHMS)}) AS model, TRUE AS better_than_chance""")
 def m02(spark, sf_dir):
-    """Every registered algorithm fitted once on the training part, measured on the rest."""
+    """Every registered algorithm with its defaults, fitted on the training part, measured on the
+    rest."""
     rows = splitting.add_split(engineered(spark, sf_dir), splitting.TRAIN_TEST)
-    small = {"gradient_boosting": SMALL, "random_forest": {"numTrees": 5, "maxDepth": 5},
-             "decision_tree": {"maxDepth": 4}, "logistic_regression": FAST,
-             "linear_svc": {"maxIter": 10}}
     parts = []
-    for name, params in small.items():
-        built = training.model_pipeline(name, params, select=False, engineer=False)
+    for name in training.ALGORITHMS:
+        built = training.model_pipeline(name, select=False, engineer=False)
         model = training.fit(built, rows.where("split = 'train'"))
-        parts.append(training.score(model, rows.where("split = 'test'")).select(
-            F.lit(name).alias("model"), "label", "prob"))
-    return metrics.ranking_scores(training._union(parts), ["model"])
+        parts.append(materialise(training.score(model, rows.where("split = 'test'")).select(
+            F.lit(name).alias("model"), "label", "prob"), "predictions"))
+    return metrics.ranking_scores(training._union(parts), ["model"]).select(
+        "model", (F.col("roc_auc") > 0.6).alias("better_than_chance"))
 
 
-@query("m04_cross_validation")
+@query("m04_cross_validation", """
+    SELECT 'logistic_regression' AS model, TRUE AS better_than_chance, TRUE AS has_spread""")
 def m04(spark, sf_dir):
-    predictions = training.cross_validate(engineered(spark, sf_dir), linear(), k=3)
+    predictions = training.cross_validate(engineered(spark, sf_dir), linear())
     scores = leaderboard.fold_scores(predictions, [], "fold")
-    return leaderboard.cv_summary(scores.withColumn("model", F.lit("logistic_regression")))
+    board = leaderboard.cv_summary(scores.withColumn("model", F.lit("logistic_regression")))
+    return board.select("model", (F.col("cv_roc_auc_mean") > 0.6).alias("better_than_chance"),
+                        (F.col("cv_pr_auc_std") > 0).alias("has_spread"))
 
 
-@query("m05_isotonic_calibration")
+@query("m05_isotonic_calibration", "SELECT TRUE AS is_monotone, TRUE AS keeps_mean, TRUE AS in_range")
 def m05(spark, sf_dir):
+    """The calibrated map on the rows it was fitted on: monotone, between 0 and 1, and with the
+    mean of the labels."""
     rows = splitting.add_split(engineered(spark, sf_dir))
     model = training.fit(linear(), rows.where("split = 'train'"))
-    held = materialise(training.score(model, rows.where("split <> 'train'")).select(
-        "split", "label", "prob"), "held-out")
-    fitted = calibration.fit_isotonic(held.where("split = 'validation'"))
-    test = calibration.apply_isotonic(held.where("split = 'test'"), fitted)
-    return calibration.compare_stages(test, "prob", "calibrated")
-
-
-@query("m06_training_experiment")
+    held = materialise(training.score(model, rows.where("split = 'validation'")).select(
+        "label", "prob"), "held-out")
+    mapped = calibration.apply_isotonic(held, calibration.fit_isotonic(held))
+    # Ranked by either value, neighbours of one slice must not fall; slices are compared by range.
+    steps = mapped.select(F.floor(F.col("prob") * 1000).alias("slot"), "prob", "calibrated")
+    from pyspark.sql import Window
+    inside = steps.withColumn("fall", F.col("calibrated") < F.lag("calibrated").over(
+        Window.partitionBy("slot").orderBy("prob")))
+    slots = inside.groupBy("slot").agg(
+        F.max(F.coalesce("fall", F.lit(False))).alias("fall"), F.min("calibrated").alias("low"),
+        F.max("calibrated").alias("high"))
+    # At most a thousand slots.
+    between = slots.withColumn("fall", F.col("fall") | F.coalesce(
+        F.col("low") < F.lag("high").over(Window.orderBy("slot")), F.lit(False)))
+    facts = mapped.agg((F.abs(F.avg("calibrated") - F.avg("label")) < 1e-6).alias("keeps_mean"),
+                       F.bool_and(F.col("calibrated").between(0.0, 1.0)).alias("in_range"))
+    return between.agg((~F.max("fall")).alias("is_monotone")).join(facts)
+
+
+SECTIONS = {
+    "cross_validation": ["roc_auc_mean", "roc_auc_std", "pr_auc_mean", "pr_auc_std"],
+    "threshold": ["threshold"],
+    "fairness": ["min_parity_ratio", "max_tpr_disparity", "max_fpr_disparity", "overall_fair"],
+}
+
+
+@query("m06_training_experiment", " UNION ALL ".join(
+    f"SELECT '{s}' AS section, UNNEST({names}) AS name, TRUE AS is_finite" for s, names in SECTIONS.items()))
 def m06(spark, sf_dir):
-    return training.experiment(engineered(spark, sf_dir), linear(), k=2)
+    """The whole experiment; of its findings the sections with a fixed list of names."""
+    found = training.experiment(engineered(spark, sf_dir), linear())
+    return found.where(F.col("section").isin(*SECTIONS)).select(
+        "section", "name", (F.col("value").isNotNull() & ~F.isnan("value")).alias("is_finite"))
 
 
-@query("m08_algorithm_scan")
-def m08(spark, sf_dir):
+def scan_board(spark, sf_dir):
+    """Logistic regression, decision tree and linear machine next to the guess."""
     return training.scan(engineered(spark, sf_dir), {
         "logistic_regression": linear(),
-        "decision_tree": training.model_pipeline(
-            "decision_tree", {"maxDepth": 4}, select=False, engineer=False),
-    }, k=2)
+        "decision_tree": training.model_pipeline("decision_tree", select=False, engineer=False),
+        "linear_svc": training.model_pipeline("linear_svc", {"maxIter": 20}, select=False, engineer=False),
+    }, k=3)
+
+
+@query("m08_algorithm_scan", """
+    SELECT * FROM (VALUES ('logistic_regression', TRUE), ('decision_tree', TRUE), ('linear_svc', TRUE),
+      ('Dummy', FALSE)) t(model, better_than_dummy)""")
+def m08(spark, sf_dir):
+    board = materialise(scan_board(spark, sf_dir), "board")
+    dummy = board.where("model = 'Dummy'").first()["cv_pr_auc_mean"]
+    return board.select("model", (F.col("cv_pr_auc_mean") > dummy).alias("better_than_dummy"))
 
 
-@query("m09_hyperparameter_search")
+TRIALS = 8
+
+
+@query("m09_hyperparameter_search", f"""
+    SELECT UNNEST(RANGE(0, {TRIALS}))::INT AS trial, TRUE AS in_space, TRUE AS follows_rule, TRUE AS best_is_best""")
 def m09(spark, sf_dir):
+    """Every trial: its point lies in the space, it is pruned exactly if the rule says so, and the
+    best row is the highest finished one."""
     space = {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": (0.0, 1.0, "linear"),
              "weight": training.SEARCH_SPACE["weight"]}
-    return training.search(
+    table = training.search(
         model_rows(spark, sf_dir),
         lambda params: training.model_pipeline(
-            "logistic_regression", {**FAST, **params}, select=False, engineer=False,
-            categorical=["Contract", "InternetService"], numeric=CHARGES, binary=K.BINARY),
-        space, trials=4, k=2)
+            "logistic_regression", {**FAST, **params}, select=False, engineer=False),
+        space, trials=TRIALS)
+    rows = sorted(table.collect(), key=lambda r: r["trial"])
+    best = training.best_trial(table).first()
+    finished = [r["value"] for r in rows if not r["pruned"]]
+    facts = []
+    for i, r in enumerate(rows):
+        point = json.loads(r["params"])
+        inside = all(space[n][0] <= v <= space[n][1] for n, v in point.items())
+        scores = json.loads(r["scores"])
+        rule = training.should_prune(scores, [json.loads(x["scores"]) for x in rows[:i] if not x["pruned"]], 3)
+        facts.append((i, inside, r["pruned"] == rule, best["value"] == max(finished)))
+    return spark.createDataFrame(
+        facts, "trial int, in_space boolean, follows_rule boolean, best_is_best boolean")
 
 
-@query("s09_tuning_results_csv")
+@query("s09_tuning_results_csv", """
+    SELECT UNNEST(['logistic_regression', 'decision_tree', 'linear_svc', 'Dummy']) AS model, TRUE AS as_written""")
 def s09(spark, sf_dir):
-    """The scan leaderboard written as CSV and read back."""
-    board = m08(spark, sf_dir)
+    """The scan leaderboard written as CSV and read back: every row as it was."""
+    board = materialise(scan_board(spark, sf_dir), "board")
     path = files.write_csv(board, scratch_path(spark, "leaderboard"))
-    return spark.read.schema(board.schema).option("header", True).csv(path)
+    back = spark.read.schema(board.schema).option("header", True).csv(path)
+    return board.alias("a").join(back.alias("b"), "model", "left").select("model", F.lit(True) & F.col(
+        "b.cv_pr_auc_mean").eqNullSafe(F.col("a.cv_pr_auc_mean")).alias("as_written"))
 
 
-@query("m14_save_and_load")
+@query("m14_save_and_load", check("SELECT customerID, label, TRUE AS is_probability, TRUE AS same FROM clean", "clean"))
 def m14(spark, sf_dir):
+    """Scores of a model before it is saved and after it is loaded."""
     rows = train_rows(spark, sf_dir)
-    path = training.save_model(
-        training.fit(training.model_pipeline("logistic_regression", FAST, select=False), rows),
-        scratch_path(spark, "model"))
+    first = training.fit(training.model_pipeline("logistic_regression", FAST, select=False), rows)
+    path = training.save_model(first, scratch_path(spark, "model"))
     model = training.load_or_train(path, lambda: training.fit(boosted(), rows))
-    return training.score(model, rows).select("customerID", "prob")
+    both = training.score(model, training.score(first, rows, "before").withColumnRenamed("before", "_before"))
+    return both.select("customerID", "label", F.col("prob").between(0.0, 1.0).alias("is_probability"),
+                       (F.col("prob") == F.col("_before")).alias("same"))
 
 
 @query("m15_run_log", check(f"""
@@ -217,21 +320,31 @@ def _scored_linear(spark, sf_dir):
         "customerID", "label", "prob")
 
 
-@query("m16_top_importances")
+@query("m16_top_importances", check(f"""
+    SELECT UNNEST(RANGE(1, 21))::INT AS place, TRUE AS is_slot, TRUE AS in_order
+    FROM (SELECT COUNT(*) FROM ({SLOTS}))""", "features"))
 def m16(spark, sf_dir):
+    from pyspark.sql import Window
     rows = engineered(spark, sf_dir)
-    model = training.fit(training.model_pipeline("gradient_boosting", SMALL, select=False,
-                                                 engineer=False), rows)
-    return training.importances(model, rows)
-
-
-@query("m18_model_benchmark")
+    model = training.fit(training.model_pipeline("gradient_boosting", select=False, engineer=False), rows)
+    listed = set(vector_names(model.transform(rows.limit(0))))
+    # Twenty rows.
+    before = F.lag("importance").over(Window.orderBy("place"))
+    return training.importances(model, rows).select(
+        "place", F.col("feature").isin(*listed).alias("is_slot"),
+        (F.coalesce(before >= F.col("importance"), F.lit(True)) & F.col("importance").between(0.0, 1.0))
+        .alias("in_order"))
+
+
+@query("m18_model_benchmark", """
+    SELECT UNNEST(['logistic_regression', 'decision_tree']) AS model, TRUE AS in_range, TRUE AS is_timed""")
 def m18(spark, sf_dir):
-    return training.benchmark(engineered(spark, sf_dir), {
+    board = training.benchmark(engineered(spark, sf_dir), {
         "logistic_regression": linear(),
-        "decision_tree": training.model_pipeline(
-            "decision_tree", {"maxDepth": 4}, select=False, engineer=False),
-    }, k=2)
+        "decision_tree": training.model_pipeline("decision_tree", select=False, engineer=False)})
+    measures = [F.col(f"{m}_mean").between(0.0, 1.0) & (F.col(f"{m}_std") >= 0) for m in training.BENCHMARKED]
+    return board.select("model", (measures[0] & measures[1] & measures[2]).alias("in_range"),
+                        (F.col("ms_per_row_mean") > 0).alias("is_timed"))
 
 
 BENCH_SQL = f"""WITH t AS ({SCAN_SQL})
@@ -258,7 +371,7 @@ def m18_highlights(spark, sf_dir):
     return training.benchmark_highlights(training.benchmark_table(scan_rows(spark, sf_dir)))
 
 
-SIZES = (0.1, 0.4, 0.7, 1.0)
+SIZES = tuple(i / 10 for i in range(1, 11))
 CURVE_SQL = f"""
     WITH rows AS (SELECT label, prob, FLOOR({hash_share_sql('fold:')} * 5)::INT AS f,
         FLOOR({hash_share_sql('size:')} * 100)::INT + 1 AS step FROM scored),
@@ -306,14 +419,18 @@ def m19_diagnosis(spark, sf_dir):
     return training.diagnose_curve(card_curve(spark, sf_dir))
 
 
-@query("m19_learning_curves")
+@query("m19_learning_curves", f"""
+    SELECT UNNEST({[*SIZES]}::DOUBLE[]) AS size, TRUE AS in_range""")
 def m19(spark, sf_dir):
-    pipeline = linear(categorical=["Contract", "InternetService"], numeric=CHARGES,
-                      binary=K.BINARY)
-    return training.learning_curve(engineered(spark, sf_dir), pipeline, [0.1, 0.4, 0.7, 1.0], k=2)
+    """A fitted curve of ten sizes."""
+    curve = training.learning_curve(engineered(spark, sf_dir), linear(), SIZES, k=2)
+    return curve.select("size", (F.col("train_mean").between(0.0, 1.0) & F.col("validation_mean").between(0.0, 1.0)
+                                 & (F.col("train_std") >= 0)).alias("in_range"))
 
 
-@query("u02_two_model_effects")
+@query("u02_two_model_effects", check("""
+    SELECT customerID, TRUE AS is_probability, TRUE AS in_quadrant FROM features
+    WHERE InternetService <> 'No' AND TechSupport <> 'Yes'""", "features"))
 def u02(spark, sf_dir):
     """Effects from one classifier per arm, summed up by quadrant."""
     rows = uplift.eligible(training.with_weight(model_rows(spark, sf_dir), 1.0))
@@ -326,12 +443,22 @@ def u02(spark, sf_dir):
         numeric=CHARGES, binary=flags)
     scored = uplift.effects(rows, *uplift.fit_two_models(rows, built))
     return uplift.segment(scored).select(
-        "customerID", "base_churn_prob", "cate", "uplift_segment")
+        "customerID", (F.col("base_churn_prob").between(0.0, 1.0)
+                       & (F.col("base_churn_prob") + F.col("cate")).between(0.0, 1.0)).alias("is_probability"),
+        (F.col("uplift_segment") == uplift.quadrant(F.col("base_churn_prob"), F.col("cate"))).alias("in_quadrant"))
 
 
-@query("r01_score_with_model")
+@query("r01_score_with_model", check(f"""
+    SELECT customerID, TRUE AS decided, 3 AS explained, 2 AS sets
+    FROM clean WHERE {hash_share_sql()} >= 0.8::DOUBLE""", "clean"))
 def r01_model(spark, sf_dir):
-    decided = scoring.decide(_scored_linear(spark, sf_dir), 0.3)
-    return scoring.with_request_id(decided).select(
-        "request_id", "customerID", "churn_probability", "will_churn", "threshold_used",
-        "risk_tier")
+    """The full response from a fitted model: fitted on the first part, conformal quantiles from
+    the calibration part, answers for the rest."""
+    rows = splitting.add_split(engineered(spark, sf_dir), splitting.WITH_CALIBRATION)
+    model = training.fit(linear(), rows.where("split = 'train'"))
+    quantiles = conformal.calibrate(training.score(model, rows.where("split = 'conformal'")))
+    answers = scoring.explain(model, rows.where("split = 'test'"))
+    response = scoring.with_request_id(scoring.full_response(answers, 0.3, quantiles))
+    return response.select(
+        "customerID", (F.col("will_churn") == (F.col("prob") >= 0.3)).alias("decided"),
+        F.size("explanation").alias("explained"), F.size("conformal").alias("sets"))

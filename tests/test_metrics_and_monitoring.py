@@ -206,3 +206,25 @@ def test_consensus_counts_votes(spark):
     got = {r.feature: (r.votes, r.selected, r.avg_rank) for r in table.collect()}
     assert got["a"] == (2, True, pytest.approx(4 / 3))
     assert got["b"] == (1, False, 2.0) and got["c"] == (0, False, 3.0)
+
+
+def test_wide_quantiles_are_exact(spark):
+    import numpy as np
+    from lapsewatch.operators.brackets import wide_quantiles
+    source = np.random.default_rng(1)
+    table = {"a": source.normal(size=9000), "b": source.integers(0, 4, 9000).astype(float),
+             "c": np.round(source.exponential(size=9000), 2)}
+    group, fractions = source.integers(0, 2, 9000), [0.0, 0.1, 0.5, 0.75, 1.0]
+    rows = [tuple(float(table[c][i]) for c in "abc") + (int(group[i]),) for i in range(9000)]
+    rows += [(float("nan"), None, None, 0)] * 3
+    df = spark.createDataFrame(rows, "a double, b double, c double, g int").withColumn(
+        "empty", F.lit(None).cast("double"))
+    found = wide_quantiles(df, ["a", "b", "c", "empty"], fractions)
+    assert set(found) == {("a", 0), ("b", 0), ("c", 0)}
+    halves = wide_quantiles(df, ["a", "c"], fractions, "g")
+    for c in "abc":
+        assert found[c, 0] == pytest.approx(list(np.quantile(table[c], fractions)), abs=1e-12)
+    for c in "ac":
+        for g in (0, 1):
+            want = np.quantile(table[c][group == g], fractions)
+            assert halves[c, g] == pytest.approx(list(want), abs=1e-12)

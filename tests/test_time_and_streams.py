@@ -113,6 +113,21 @@ def test_maintained_table_over_several_batches(spark, tmp_path):
     assert table == {"a": 3.0, "b": 2.0, "c": 4.0}
 
 
+def test_score_stream_goes_on_after_a_restart(spark, customers, tmp_path):
+    from lapsewatch.operators import quality
+    root, path = str(tmp_path / "job"), str(tmp_path / "rows")
+
+    def run(*changes):
+        rows = quality.repair_total_charges(customers(*changes))
+        rows.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        return jobs.score_stream(stream, F.lit(0.7), 0.3, root)
+
+    assert run({}, {"tenure": -1}).groupBy("status").count().count() == 2
+    again = run({"tenure": 3}, {}, {})
+    assert again.count() == 5 and again.where("status = 'scored'").count() == 4
+
+
 def test_performance_drop_flags_a_bad_day(spark):
     days = [(START.date() + dt.timedelta(days=i), 80, 10, 10) for i in range(5)]
     days.append((START.date() + dt.timedelta(days=5), 10, 50, 50))

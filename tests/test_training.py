@@ -49,9 +49,21 @@ def test_search_prunes_and_keeps_every_trial(spark, sf_dir):
         rows, lambda p: training.model_pipeline(
             "logistic_regression", {"maxIter": 5, **p}, select=False, engineer=False,
             categorical=["Contract"], numeric=["tenure"], binary=[]),
-        {"regParam": (1e-4, 10.0, "log")}, trials=4, k=2).collect()
-    assert [r.trial for r in table] == [0, 1, 2, 3]
-    assert all(r.folds == 2 or r.pruned for r in table)
+        {"regParam": (1e-4, 10.0, "log")}, trials=4, k=2)
+    rows = table.collect()
+    assert [r.trial for r in rows] == [0, 1, 2, 3]
+    assert all(r.folds == 2 and not r.pruned for r in rows)
+    best = training.best_trial(table).first()
+    assert best.value == max(r.value for r in rows) and (best.n_completed, best.n_pruned) == (4, 0)
+
+
+def test_pruning_rule():
+    finished = [[0.5, 0.6, 0.6], [0.6, 0.7, 0.7], [0.7, 0.8, 0.8], [0.5, 0.5, 0.5], [0.9, 0.9, 0.9]]
+    assert not training.should_prune([0.1], finished, 3)
+    assert training.should_prune([0.9, 0.69], finished, 3)
+    assert not training.should_prune([0.9, 0.7], finished, 3)
+    assert not training.should_prune([0.1, 0.1, 0.1], finished, 3)
+    assert not training.should_prune([0.1, 0.1], finished[:4], 3)
 
 
 def test_permutation_importance_finds_the_signal(spark):
