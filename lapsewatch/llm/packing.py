@@ -29,8 +29,9 @@ from lapsewatch.llm.common import by_batch, partitions, pieces_of, written
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Remembered words of each generation in a Python worker.
-WORDS = 250_000
+#: Remembered words, and chunks of text, of each generation in a Python worker.
+CHUNKS = 80_000
+WORDS = 160_000
 #: Rows of one length in one ranking group, about.
 RANKED_TOGETHER = 100_000
 
@@ -88,7 +89,7 @@ def _chunks(path: str) -> Memory:
         look = words.learn({part for pair in split for part in pair})
         return {c: look(word) + look(marks) for c, (word, marks) in zip(chunks, split)}
 
-    return Memory(of_chunks)
+    return Memory(of_chunks, CHUNKS)
 
 
 def token_ids(texts: list[str | None], path: str) -> list[bytes]:

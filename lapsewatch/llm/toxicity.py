@@ -35,6 +35,8 @@ TERMS, SUPPORT, LEAST = 2000, 0.005, 4
 SURE, SURE_START = 0.8, 0.9
 STARTS = (4, 5, 6)
 FUZZY_FROM, WINDOW = 5, 6
+#: Words that a Python worker remembers the kind of.
+KNOWN = 80_000
 WORD = re.compile(r"[^\W_]+")
 MARKS = "\"“”„«»"
 # Fixed words after which, or near which, a term is somebody else's.
@@ -133,7 +135,7 @@ class Model:
             self._ready()
         low, kinds = text.lower(), self.kinds
         words = WORD.findall(low)
-        if len(kinds) > 300_000:
+        if len(kinds) > KNOWN:
             kinds.clear()
         for word in set(words).difference(kinds):
             kinds[word] = self.kind(word)
