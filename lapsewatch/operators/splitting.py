@@ -49,6 +49,14 @@ def add_fold(df: DataFrame, k: int = 5, key: str = "customerID", name: str = "fo
     return df.withColumn(name, F.floor(hash_share(key, salt) * F.lit(k)).cast("int"))
 
 
+def at_most(df: DataFrame, rows: int | None, key: str = "customerID") -> DataFrame:
+    """About ``rows`` rows, a cut of a hash of the key; all of them with None or if there are fewer."""
+    if rows is None:
+        return df
+    share = rows / max(1, df.count())
+    return df if share >= 1 else df.where(hash_share(key, "fit:") < F.lit(share))
+
+
 def add_nested_share(df: DataFrame, steps: int = 10, key: str = "customerID",
                      name: str = "size_step", salt: str = "size:") -> DataFrame:
     """Smallest subsample step holding the row: step s of ``steps`` keeps rows with value <= s.

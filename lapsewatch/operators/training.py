@@ -107,9 +107,12 @@ def with_weight(df: DataFrame, weight: float | str = K.POSITIVE_CLASS_WEIGHT) ->
     return df.withColumn("weight", F.when(F.col("label") == 1, up).otherwise(F.lit(down)))
 
 
-def fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
-    """Fit on rows kept in memory (or on disk) for the many passes of the stages."""
-    rows = spread(df).persist()
+def fit(pipeline: Pipeline, df: DataFrame, rows: int | None = None) -> PipelineModel:
+    """Fit on rows kept in memory (or on disk) for the many passes of the stages.
+
+    ``rows`` bounds the labelled rows that the fit takes, chosen by a hash of the key.
+    """
+    rows = spread(splitting.at_most(df, rows)).persist()
     try:
         return pipeline.fit(rows)
     finally:

@@ -31,6 +31,9 @@ from lapsewatch.sources.tables import scored, subscribers
 
 # Settings of the registered fits where they are not the operators' defaults.
 FAST = {"maxIter": 50}
+# Bound of the labelled rows that the registered tree ensembles are fitted on; they are measured,
+# where they are, on all other rows.
+TREE_ROWS = 3000
 
 
 def names_sql(names, **facts) -> str:
@@ -105,7 +108,7 @@ def _rank_facts(table, score: str, rank: str):
 @query("fs4_forest_importance", names_sql(K.MODEL_INPUTS, in_order="TRUE", adds_up="TRUE"))
 def fs4(spark, sf_dir):
     from lapsewatch.operators.selection import ranked
-    scores = importance.forest_importance(codes(spark, sf_dir), K.MODEL_INPUTS)
+    scores = importance.forest_importance(codes(spark, sf_dir), K.MODEL_INPUTS, rows=TREE_ROWS)
     total = scores.agg(F.sum("rf_importance")).first()[0]
     return _rank_facts(ranked(scores, "rf_importance", "rf_rank"), "rf_importance", "rf_rank").withColumn(
         "adds_up", F.lit(abs(total - 1) < 1e-9))
@@ -122,7 +125,7 @@ def fs5(spark, sf_dir):
 @query("fs7_full_selection", names_sql(K.MODEL_INPUTS, has_fate="TRUE", votes_decide="TRUE"))
 def fs7(spark, sf_dir):
     """Every feature, whether a stage decided on it, and whether its votes say if it is selected."""
-    table = importance.full_selection(model_rows(spark, sf_dir), K.MODEL_INPUTS)
+    table = importance.full_selection(model_rows(spark, sf_dir), K.MODEL_INPUTS, fit_rows=TREE_ROWS)
     return table.select(
         "feature",
         F.when(F.col("stage") == "ranked", F.col("votes").isNotNull()).otherwise(
@@ -156,7 +159,7 @@ def a22(spark, sf_dir):
 @query("m01_model_factory", check(TEST_ROWS, "clean"))
 def m01(spark, sf_dir):
     rows = splitting.add_split(train_rows(spark, sf_dir), splitting.TRAIN_TEST)
-    model = training.fit(boosted(), rows.where("split = 'train'"))
+    model = training.fit(boosted(), rows.where("split = 'train'"), TREE_ROWS)
     return as_probability(training.score(model, rows.where("split = 'test'")))
 
 
@@ -169,7 +172,7 @@ def m02(spark, sf_dir):
     parts = []
     for name in training.ALGORITHMS:
         built = training.model_pipeline(name, select=False, engineer=False)
-        model = training.fit(built, rows.where("split = 'train'"))
+        model = training.fit(built, rows.where("split = 'train'"), TREE_ROWS)
         parts.append(materialise(training.score(model, rows.where("split = 'test'")).select(
             F.lit(name).alias("model"), "label", "prob"), "predictions"))
     return metrics.ranking_scores(training._union(parts), ["model"]).select(
@@ -326,7 +329,8 @@ def _scored_linear(spark, sf_dir):
 def m16(spark, sf_dir):
     from pyspark.sql import Window
     rows = engineered(spark, sf_dir)
-    model = training.fit(training.model_pipeline("gradient_boosting", select=False, engineer=False), rows)
+    model = training.fit(
+        training.model_pipeline("gradient_boosting", select=False, engineer=False), rows, TREE_ROWS)
     listed = set(vector_names(model.transform(rows.limit(0))))
     # Twenty rows.
     before = F.lag("importance").over(Window.orderBy("place"))
