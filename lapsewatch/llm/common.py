@@ -46,12 +46,12 @@ def words(text: str | None) -> list[bytes]:
 
 
 def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
-             schema: str) -> DataFrame:
-    """``work`` on every Arrow batch of the rows, without a shuffle."""
+             schema: str, rows: int | None = None) -> DataFrame:
+    """``work`` on every Arrow batch of the rows, or on slices of ``rows`` rows, without a shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+            for piece in pieces_of(batch, rows or max(1, batch.num_rows)):
+                yield work(piece)
     return df.mapInArrow(run, schema)
 
 

@@ -204,7 +204,8 @@ def _evidence(sample: DataFrame) -> DataFrame:
             [pa.array(terms, pa.string()), pa.array(prints, pa.int64()), pa.array(labels, pa.int32())],
             ["term", "print", "toxic"])
 
-    rows = by_batch(sample.select("text", "toxic"), work, "term string, print bigint, toxic int")
+    # A document has many terms: a few documents at a time.
+    rows = by_batch(sample.select("text", "toxic"), work, "term string, print bigint, toxic int", 64)
     return rows.distinct().groupBy("term").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
 
