@@ -284,8 +284,8 @@ def s09(spark, sf_dir):
     board = materialise(scan_board(spark, sf_dir), "board")
     path = files.write_csv(board, scratch_path(spark, "leaderboard"))
     back = spark.read.schema(board.schema).option("header", True).csv(path)
-    return board.alias("a").join(back.alias("b"), "model", "left").select("model", F.lit(True) & F.col(
-        "b.cv_pr_auc_mean").eqNullSafe(F.col("a.cv_pr_auc_mean")).alias("as_written"))
+    same = F.col("b.cv_pr_auc_mean").eqNullSafe(F.col("a.cv_pr_auc_mean"))
+    return board.alias("a").join(back.alias("b"), "model", "left").select("model", same.alias("as_written"))
 
 
 @query("m14_save_and_load", check("SELECT customerID, label, TRUE AS is_probability, TRUE AS same FROM clean", "clean"))
