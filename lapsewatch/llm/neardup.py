@@ -4,15 +4,22 @@ A document is the set of its five-word shingles (all its words if there are fewe
 equal sets are one class from the start. In each of ``TREES`` independent trees a class follows
 the path of its minwise shingles. Nodes with one class are left; nodes up to ``LEAF`` classes are
 compared pair by pair; larger ones branch by further minwise shingles, and besides every class in
-them is compared with a pivot, so that what stays together at the deepest level is connected
-through the pivots. In the first trees the pivot is the class that agrees best with the most
-frequent minwise values of the node, the original of a family of copies.
-
-Sketches of all classes decide which pairs are worth a look; a pair is a link only if its full
-sets say so: 100 * intersection >= 75 * union, on 64-bit hashes of the shingles. First every class
-is confirmed with its best partner and with its pivots, linear in the number of classes; then
-whatever candidates are still in different components. A class pair at similarity 0.75 is met in
-no tree with a chance of 0.44 to the 32nd.
+them is compared with a pivot. In the first trees the pivot is also the class that agrees best with
+the most frequent minwise values of the node, the original of a family of copies; such a hub is
+compared with all classes it shares a large first node with in any tree.
+
+Sketches decide which of these pairs are worth a look; a pair is a link only if its full sets say
+so: 100 * intersection >= 75 * union, on 64-bit hashes of the shingles. First every class is
+confirmed with its best partner and with its pivots, linear in the number of classes; then
+whatever candidates are still in different components.
+
+Classes of large first nodes are then joined exactly, for branching and pivots lose links: copies
+that are near their original only, and pairs among many documents with a common passage. Every
+link between two components shares a shingle among the first quarter of each set, in an order that
+puts shingles of one component first and frequent ones last, so only those rows are joined, and no
+pair within a component is formed. A pair at similarity 0.75 is thus missed only if it shares the
+first node in no tree, with a chance of 0.44 to the 32nd, or if it is met in small nodes only and its
+sketches are four and a half deviations off.
 
 A text that is null, empty or without words has the empty set and links with nothing. Repeated rows
 are equal documents. Rows without a key take part, but never name a component. Only the named
@@ -165,6 +172,14 @@ def _hubs(big: DataFrame, classes: DataFrame) -> DataFrame:
     return near.groupBy("node").agg(F.max(F.struct("same", "class"))["class"].alias("hub"))
 
 
+def _hub_spokes(big: DataFrame, hubs: DataFrame) -> DataFrame:
+    """class, pivot: every class of a large node with that of the hubs there that most nodes named."""
+    big = big.select("class", "node")
+    named = hubs.groupBy(F.col("hub").alias("class")).agg(F.count(F.lit(1)).alias("votes"))
+    first = big.join(named, "class").groupBy("node").agg(F.max(F.struct("votes", "class"))["class"].alias("pivot"))
+    return big.join(first, "node").select("class", "pivot")
+
+
 def _sketch(values: np.ndarray) -> np.ndarray:
     """A byte of each minwise value."""
     return ((values * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
@@ -209,13 +224,13 @@ def _leaf_pairs(leaves: DataFrame) -> DataFrame:
     return leaves.mapInArrow(run, PAIR)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Pairs of classes that meet in a small node or at a pivot, with their estimated similarity.
 
-    star tells pairs with a pivot.
+    star tells pairs with a pivot. Beside them the classes of large first nodes, if there are any.
     """
     rows = _first_nodes(classes)
-    leaves, stars = [], []
+    leaves, stars, crowded = [], [], None
     for turn, level in enumerate(LEVELS):
         order = F.xxhash64("class", F.lit(21))
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"),
@@ -227,7 +242,10 @@ def candidates(classes: DataFrame) -> DataFrame:
             break
         stars.append(big.select("class", "pivot"))
         if turn == 0:
-            stars.append(big.join(_hubs(big, classes), "node").select("class", F.col("hub").alias("pivot")))
+            crowded = written(big.select("class").distinct(), "crowded")
+            hubs = written(_hubs(big, classes), "hubs")
+            stars.append(big.join(hubs, "node").select("class", F.col("hub").alias("pivot")))
+            stars.append(_hub_spokes(big, hubs))
         if turn + 1 < len(LEVELS):
             rows = _next_nodes(big.select("class", "tree"), classes, LEVELS[turn + 1])
 
@@ -257,7 +275,8 @@ def candidates(classes: DataFrame) -> DataFrame:
             return _pairs(batch.column(0).to_numpy(), batch.column(1).to_numpy(), _alike(one, two))
 
         found = found.union(by_batch(spokes, look, PAIR).withColumn("star", F.lit(True)))
-    return written(found.groupBy("a", "b").agg(F.max("alike").alias("alike"), F.max("star").alias("star")), "pairs")
+    pairs = found.groupBy("a", "b").agg(F.max("alike").alias("alike"), F.max("star").alias("star"))
+    return written(pairs, "pairs"), crowded
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -270,9 +289,8 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def links(df: DataFrame, key: str, text: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs whose full sets are similar enough; only the texts needed are read again."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+def full_sets(df: DataFrame, key: str, text: str, classes: DataFrame, ends: DataFrame) -> DataFrame:
+    """class and its whole set, for the classes in ends; only the texts needed are read again."""
     needed = written(ends.join(classes.select("class", F.col("least").alias("key")), "class"), "needed")
     bits = _filter(needed)
 
@@ -297,9 +315,12 @@ def links(df: DataFrame, key: str, text: str, classes: DataFrame, pairs: DataFra
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())],
                                           ["class", "held"])
 
-    sets = written(by_batch(docs.join(needed, "key").select("class", "text"), work,
+    return written(by_batch(docs.join(needed, "key").select("class", "text"), work,
                             "class bigint, held binary"), "sets")
 
+
+def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs whose sets are similar enough."""
     def confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
         for piece in pieces_of(batch, 64):
@@ -316,24 +337,80 @@ def links(df: DataFrame, key: str, text: str, classes: DataFrame, pairs: DataFra
     return written(by_batch(rows, confirm, "a bigint, b bigint").distinct(), "links")
 
 
+def across(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of classes in different components, with every link between such among them.
+
+    Shingles are ordered: those of one component, then by how many classes have them. The first common
+    shingle of two similar sets is early in both: in the larger one before all that the least
+    intersection for its size needs, in the smaller one likewise for equal sizes. Shingles of one
+    component count for the places only. In each list of classes all but the most frequent component
+    are compared with all, so a family is never compared with itself.
+    """
+    low, whole = SIMILAR
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [np.frombuffer(h, np.uint64).astype(np.int64) for h in batch.column(2).to_pylist()]
+        sizes = np.array([len(h) for h in held], np.int64)
+        at = pa.array(np.repeat(np.arange(len(held)), sizes))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(sizes, sizes)),
+             pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))],
+            ["class", "component", "size", "shingle"])
+
+    named = sets.join(known, F.col("class") == F.col("node"), "left").select(
+        "class", F.coalesce("component", "class").alias("component"), "held")
+    tokens = by_batch(named, shingles, "class bigint, component bigint, size bigint, shingle bigint", 64)
+    mixed = tokens.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
+    ).where("low <> high").select("shingle", "n")
+    ordered = tokens.join(mixed, "shingle").groupBy("class", "component", "size").agg(
+        F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    # Places count from 0; the shingles of one component come before those that are held here.
+    early = ordered.withColumn("before", F.expr("size - size(held)")).withColumn(
+        "probes", F.expr(f"size - ceil({low} * size / {whole}) + 1 - before")).where("probes > 0")
+    prefixes = written(early.select(
+        "class", "component", "size", "before", F.posexplode(F.expr("slice(held, 1, CAST(probes AS INT))")))
+        .select("class", "component", "size", F.col("col.shingle").alias("shingle"),
+                (F.col("before") + F.col("pos")).alias("at"))
+        .withColumn("indexed", F.expr(f"at <= size - ceil(2 * {low} * size / {low + whole})")), "prefixes")
+    most = (prefixes.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle")
+            .agg(F.max(F.struct("n", "component"))["component"].alias("most"), F.count(F.lit(1)).alias("kinds"))
+            .where("kinds > 1").select("shingle", "most"))
+    few = prefixes.join(most, "shingle").where("component <> most").drop("most")
+    met = few.alias("x").join(prefixes.alias("y"), F.expr(f"""
+        x.shingle = y.shingle AND x.component <> y.component
+        AND (x.size >= y.size AND y.indexed OR y.size >= x.size AND x.indexed)
+        AND {whole} * least(x.size, y.size) >= {low} * greatest(x.size, y.size)
+        AND {low + whole} * least(x.size - x.at, y.size - y.at) >= {low} * (x.size + y.size)"""))
+    return written(met.selectExpr("least(x.class, y.class) AS a", "greatest(x.class, y.class) AS b").distinct(),
+                   "across")
+
+
 def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per row: key, n_shingles, component_id (least key reachable) and kept."""
     rows = written(signatures(df, key, text), "signatures")
     classes = written(rows.where("class is not null").groupBy("class").agg(
         F.min("key").alias("least"), F.min("minwise").alias("minwise")).where("least is not null"), "classes")
-    pairs = candidates(classes)
+    pairs, crowded = candidates(classes)
     ways = pairs.select("a", "b", "alike").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
+    ends = ways.select(F.col("a").alias("class"))
+    sets = full_sets(df, key, text, classes, (ends if crowded is None else ends.union(crowded)).distinct())
     best = ways.groupBy("a").agg(F.max(F.struct("alike", "b"))["b"].alias("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    sure = links(df, key, text, classes, written(best.union(pairs.where("star").select("a", "b")).distinct(), "first"))
+    sure = confirmed(sets, written(best.union(pairs.where("star").select("a", "b")).distinct(), "first"))
     known = written(components(sure), "components")
     one, two = (known.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in "ab")
     apart = (pairs.join(one, "a", "left").join(two, "b", "left")
              .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
     rest = written(apart.join(written(best.distinct(), "best"), ["a", "b"], "left_anti")
                    .join(pairs.where("star").select("a", "b"), ["a", "b"], "left_anti"), "second")
-    more = links(df, key, text, classes, rest)
-    final = components(sure.union(more))
+    sure = sure.union(confirmed(sets, rest))
+    final = components(sure)
+    if crowded is not None:
+        final = written(final, "components")
+        more = confirmed(sets, across(sets.join(crowded, "class", "left_semi"), final))
+        if not more.isEmpty():
+            final = components(sure.union(more))
     named = classes.select("class", "least").join(final, F.col("class") == F.col("node"), "left").select(
         "class", "least", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -69,3 +69,26 @@ def test_repeats_and_empty(spark):
                    neardup.near_duplicates(df, "doc_id", "text").collect())
     assert found == [(0, 1, False), (1, 1, True), (1, 1, True), (2, 2, True), (2, 2, True)]
     assert neardup.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_copies_of_one_original_and_a_common_passage(spark):
+    random_ = random.Random(3)
+
+    def fresh(n):
+        return [f"y{random_.randrange(10 ** 9)}" for _ in range(n)]
+
+    original, passage, texts = fresh(200), fresh(160), []
+    for _ in range(400):  # 0.77 to the original, 0.61 to each other
+        copy = list(original)
+        for at in random_.sample(range(6, 190, 6), 5):
+            copy[at] = fresh(1)[0]
+        texts.append(" ".join(copy))
+    texts.append(" ".join(original))
+    for _ in range(150):  # in pairs 0.77, others 0.66
+        more = fresh(16)
+        texts += [" ".join(passage + more + fresh(24)) for _ in range(2)]
+    random_.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = neardup.near_duplicates(df, "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows)
