@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -39,6 +40,10 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-zA-Z]+")
+NUMBER = re.compile(r"\d.*")
+
+# Pages nest without bound, and so do wrappers; calls between Python functions take no C stack.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
 
 # Fixed names of elements.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -51,8 +56,8 @@ ENDS_P = BLOCKS - {"body", "head", "html", "option", "legend", "caption", "tbody
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article aside body div dl fieldset footer form header html main nav ol section table td th ul".split())
-DROPPED = RAW | frozenset("nav header footer aside form head button select svg dialog menu object canvas "
-                          "audio video math input label fieldset datalist map".split())
+DROPPED = RAW | frozenset("nav header footer aside form head button select dialog menu "
+                          "input label fieldset datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 # Fixed words of classes and ids.
 DROP_WORDS = frozenset(
@@ -62,6 +67,13 @@ DROP_WORDS = frozenset(
     "commentlist respond disqus reply replies share sharing social related recommended recommendations "
     "toolbar widget pagination pager login signin signup register copyright disclaimer skip hidden "
     "tags tagcloud byline-ad".split())
+# Words that say where an element is or how it looks; beside a word above they leave its meaning.
+PLAIN_WORDS = frozenset(
+    "site page blog global primary secondary top bottom left right center upper lower first last inner outer "
+    "main content post entry article body wrapper wrap container box bar list links items item area block slot "
+    "section region group panel form unit zone message posts stories articles icons buttons bar dark light "
+    "small large mobile desktop fixed sticky title".split())
+OTHERS_WORDS = frozenset("ad ads advert advertisement sponsored comment comments".split())
 MAIN_WORDS = frozenset("article content main post entry story articlebody maintext".split())
 
 
@@ -70,19 +82,26 @@ class Node:
     """An element with its children in order; texts are (in a link, text) pairs among them."""
 
     key: str
-    kind: str = "body"  # body, main, article, dropped
+    kind: str = "body"  # body, main, article, content, dropped
     items: list = field(default_factory=list)
 
 
+def tokens_of(label: str) -> list[set[str]]:
+    """The words of each class or id, without numbers."""
+    found = (({NUMBER.sub("", w) for w in re.split(r"[^a-z0-9]+", token)} - {""}) for token in label.lower().split())
+    return [words for words in found if words]
+
+
 def describe(tag: str, rest: str) -> tuple[str, str]:
     """Name of the element for alignment, and what it is."""
     if not rest or rest == "/":
-        words, role, hidden = set(), "", False
+        words, tokens, role, hidden = set(), [], "", False
         key = tag
     else:
         named = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(rest)}
         label = f"{named.get('class', '')} {named.get('id', '')}"
         words = {w.lower() for w in NAME.findall(label)}
+        tokens = tokens_of(label)
         role = named.get("role", "").lower()
         hidden = (re.search(r"(?<![\w-])hidden(?![\w=-])", rest) is not None
                   or named.get("aria-hidden") == "true"
@@ -90,23 +109,35 @@ def describe(tag: str, rest: str) -> tuple[str, str]:
         key = tag + ("." + ".".join(sorted(words)) if words else "")
     if tag in DROPPED or role in ROLES or hidden:
         return key, "dropped"
+    # A class says what is dropped only as a whole: no-sidebar and comments-open do not.
+    drops = [t for t in tokens if t & DROP_WORDS and t <= DROP_WORDS | PLAIN_WORDS]
+    others = any(t & OTHERS_WORDS for t in drops)
     if tag == "article":
-        return key, "dropped" if words & {"comment", "comments", "ad", "advert"} else "article"
+        return key, "dropped" if others else "article"
     if tag == "main" or role == "main":
         return key, "main"
     if tag not in ("body", "html"):
-        if words & DROP_WORDS:
+        if not others and any(t <= MAIN_WORDS for t in tokens):
+            return key, "content"
+        if drops:
             return key, "dropped"
         if words & MAIN_WORDS:
             return key, "content"
     return key, "body"
 
 
+def by_class(tag: str, rest: str) -> bool:
+    """Whether a dropped element would stay but for its class and id."""
+    others = ATTRIBUTE.sub(lambda m: "" if m[1].lower() in ("class", "id") else m[0], rest)
+    return describe(tag, others)[1] != "dropped"
+
+
 def parse(page: str) -> Node:
     """The page as a tree of block elements; inline elements only mark links and dropped text."""
     root = Node("")
     stack: list[tuple[str, Node]] = [("", root)]
     at, links, muted = 0, 0, []  # muted: open inline elements whose text does not count
+    unsure: dict[int, Node] = {}  # elements dropped by class or id
 
     def text(until: int) -> None:
         if until > at and not muted:
@@ -147,6 +178,8 @@ def parse(page: str) -> Node:
                     continue
                 node = Node(*describe(tag, token["rest"]))
                 stack[-1][1].items.append(node)
+                if node.kind == "dropped" and tag != "article" and by_class(tag, token["rest"]):
+                    unsure[id(node)] = node
                 if tag not in VOID:
                     stack.append((tag, node))
         elif tag == "a":
@@ -159,9 +192,33 @@ def parse(page: str) -> Node:
                 muted.append(tag)
         token = TOKEN.search(page, at)
     text(len(page))
+    if unsure:
+        _keep_main(root, unsure)
     return root
 
 
+def _keep_main(root: Node, unsure: dict[int, Node]) -> None:
+    """If the page's articles and main elements are all in elements dropped by class, those stay."""
+    kept: set[int] = set()
+
+    def inside(start: Node, through: bool) -> bool:
+        stack = [start]
+        while stack:
+            node = stack.pop()
+            if node.kind in ("article", "main") or id(node) in kept:
+                return True
+            if node.kind != "dropped" or node is start or (through and id(node) in unsure):
+                stack += [item for item in node.items if isinstance(item, Node)]
+        return False
+
+    if not inside(root, False) and inside(root, True):
+        # Inner elements come last and are looked at first, so no part of the page is walked twice.
+        for node in reversed(unsure.values()):
+            if inside(node, False):
+                node.kind = "body"
+                kept.add(id(node))
+
+
 # --- expressions ---------------------------------------------------------------------------------
 
 @dataclass
@@ -177,19 +234,28 @@ class Part:
     parts: list = field(default_factory=list)
 
     def pattern(self) -> str:
-        inner = " ".join(p.pattern() for p in self.parts)
+        inner = " ".join([p.pattern() for p in self.parts])
         slot = "#" if self.chars else ""
         whole = f"<{self.key}>{slot}{inner}" if self.key != "()" else inner
         mark = "+" if self.repeated else ""
         return f"({whole}){mark}{'?' if self.optional else ''}" if mark or self.optional else whole
 
     def pack(self) -> list:
-        return [self.key, self.kind, self.pages, self.chars, self.optional, self.repeated,
-                [p.pack() for p in self.parts]]
+        """The parts in page order, each with how many it holds; flat, as depth has no bound."""
+        out, stack = [], [self]
+        while stack:
+            part = stack.pop()
+            out.append([part.key, part.kind, part.pages, part.chars, part.optional, part.repeated, len(part.parts)])
+            stack += reversed(part.parts)
+        return out
 
     @staticmethod
     def unpack(held: list) -> Part:
-        return Part(*held[:6], [Part.unpack(p) for p in held[6]])
+        done: list[Part] = []
+        for *values, count in reversed(held):
+            parts = [done.pop() for _ in range(count)]
+            done.append(Part(*values, parts))
+        return done[0]
 
 
 def identity(part: Part) -> str:
@@ -251,18 +317,14 @@ def align(a: list[Part], b: list[Part]) -> list[Part]:
 
 
 def expression(node: Node) -> Part:
-    """A page as a wrapper of itself. Depth is bounded: deeper elements count as text."""
-    return _expression(node, 0)
-
-
-def _expression(node: Node, depth: int) -> Part:
+    """A page as a wrapper of itself."""
     chars, parts = 0, []
     for item in node.items:
         if isinstance(item, tuple):
             if not item[0]:
                 chars += len(item[1])
-        elif depth < 40:
-            parts.append(_expression(item, depth + 1))
+        else:
+            parts.append(expression(item))
     return Part(node.key, node.kind, 1, chars, parts=fold(parts))
 
 
@@ -277,7 +339,9 @@ def main_path(wrapper: Part) -> str:
         if part.kind == "dropped":
             return 0
         here = path if part.key == "()" else f"{path}/{part.key}"
-        chars = part.chars + sum(walk(p, here) for p in part.parts)
+        chars = part.chars
+        for p in part.parts:
+            chars += walk(p, here)
         if part.kind in ("article", "main", "content"):
             old = best.get(part.kind)
             if old is None or chars > old[0]:

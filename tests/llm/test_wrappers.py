@@ -62,3 +62,28 @@ def test_odd_rows(spark):
     found = sorted((r.page_id, r.text) for r in wrappers.main_text(df, "page_id", "url", "html").collect())
     assert found == [(1, ""), (2, ""), (3, "a"), (3, "a"), (4, "b")]
     assert wrappers.main_text(df.limit(0), "page_id", "url", "html").count() == 0
+
+
+@pytest.mark.parametrize("body,text", [
+    ("<p>x</p><div class='content no-sidebar'><p>a a a a a</p></div>", "a a a a a"),
+    ("<div class='layout has-sidebar'><article><p>a</p></article></div>", "a"),
+    ("<div class='main comments-open'><p>a</p></div><div class='sidebar-left'>no</div>", "a"),
+    ("<article class='post comments-open'><p>a</p><div class='widget-text'>b</div></article>", "a\n\nb"),
+    ("<div class='sidebar'><div id='overlay'><main><p>a</p></main></div></div>", "a"),
+    ("<article><p>a</p></article><div class='related-posts'><article>no</article></div>", "a"),
+    ("<article><p>a <math><mi>x</mi></math> <object>o</object> <canvas>c</canvas> <map>m</map></p></article>",
+     "a x o c m"),
+    ("<article><p>a</p><div class='ad-300x250'>no</div><div id='site-footer'>no</div><div class='comment-list'>no"
+     "</div></article><div class='sponsored post'>no</div>", "a"),
+    ("<p>no no</p>" + "<div>" * 60 + "<article><p>yes yes yes</p></article>", "yes yes yes"),
+    ("<p>no no</p>" + "<div>" * 3000 + "<article><p>yes yes yes</p></article>", "yes yes yes"),
+])
+def test_whole_articles_stay(body, text):
+    assert extract(page(body), None) == text
+
+
+def test_deep_wrappers_are_joined_and_packed():
+    deep = page("<div>" * 3000 + "<article><p>yes</p></article>")
+    whole = join(expression(parse(deep)), expression(parse(deep)))
+    again = wrappers.Part.unpack(wrappers.json.loads(wrappers.json.dumps(whole.pack())))
+    assert again.pack() == whole.pack() and wrappers.main_path(again).endswith("/div/article")
