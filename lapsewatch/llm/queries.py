@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewatch.llm import (
-    bpe, lm, nearest, neardup, packing, pii, rangejoin, sharding, toxicity, wrappers,
+    bpe, lm, nearest, neardup, packing, pii, rangejoin, repair, sharding, toxicity, wrappers,
 )
 from lapsewatch.llm.common import in_fold, table
 
@@ -103,3 +103,9 @@ def op4_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_log_bilinear_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log10 probability of every document, learned outside of fold 1 of five."""
     return lm.score(table(spark, sf_dir, "documents"), "doc_id", "text", in_fold("doc_id", 5, 1))
+
+
+@query("op13_grammar_repair")
+def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, its cheapest repair and the repaired text's hash."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
