@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewatch.llm import (
-    bpe, lm, nearest, neardup, packing, pii, rangejoin, repair, sharding, toxicity, wrappers,
+    bpe, lm, nearest, neardup, packing, pii, rangejoin, repair, sharding, toxicity, whitening, wrappers,
 )
 from lapsewatch.llm.common import in_fold, table
 
@@ -109,3 +109,9 @@ def op2_log_bilinear_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation after damage: its faults, its cheapest repair and the repaired text's hash."""
     return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_exact_whitening")
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the 32 leading components of all of them, at unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
