@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewatch.llm import (
-    bpe, lm, nearest, neardup, packing, pii, rangejoin, repair, sharding, toxicity, whitening, wrappers,
+    bpe, lm, nearest, neardup, packing, pii, rangejoin, repair, secretscan, sharding, toxicity, whitening,
+    wrappers,
 )
 from lapsewatch.llm.common import in_fold, table
 
@@ -115,3 +116,11 @@ def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector on the 32 leading components of all of them, at unit variance."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query("op12_convolutional_secrets")
+def op12_convolutional_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base spans, and candidates that the network accepts."""
+    found = secretscan.spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex",
+                        F.sha2("base", 256).alias("base_sha256"), "spans")
