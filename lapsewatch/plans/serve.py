@@ -16,7 +16,7 @@ from lapsewatch.session import scratch_path
 from lapsewatch.sources.tables import (
     dirty_subscribers, prediction_log, scored, subscribers, table, table_stream,
 )
-from lapsewatch.streaming import jobs, requests
+from lapsewatch.streaming import jobs, requests, stateful
 
 CUT = 0.30
 
@@ -195,10 +195,13 @@ def r07(spark, sf_dir):
 
 @query("r07_incremental_merge_stream", LATEST)
 def r07_stream(spark, sf_dir):
-    rows = table_stream(spark, sf_dir, "events").where(
-        "event_type <> 'click'").select(
-        "user_id", F.col("ts").alias("feature_ts"), "value", "event_id")
-    newest = jobs.maintain_latest(rows, "user_id", "feature_ts", "event_id")
+    """Rows arrive in three parts, the oldest last; each start changes only the keys that came."""
+    root = scratch_path(spark, "latest")
+    at = F.col("feature_ts")
+    parts = [at >= F.lit("2024-01-21").cast("timestamp"), at < F.lit("2024-01-11").cast("timestamp")]
+    newest = jobs.arriving(
+        feature_events(spark, sf_dir), [parts[0], ~parts[0] & ~parts[1], parts[1]],
+        lambda rows: jobs.maintain_latest(rows, "user_id", "feature_ts", "event_id", root))
     return newest.withColumn("feature_ts", stamp("feature_ts"))
 
 
@@ -350,23 +353,26 @@ def t06_chi(spark, sf_dir):
     return rounded(tested.drop("p_value"), 5)
 
 
-STREAM_SIDES = f"""
-  r AS (SELECT * FROM features WHERE {hash_share_sql()} < 0.8::DOUBLE),
-  c AS (SELECT * FROM features)"""
+def arrived_sides(batch: int) -> str:
+    return f"""
+      r AS (SELECT * FROM features WHERE {hash_share_sql()} < 0.8::DOUBLE),
+      c AS (SELECT * FROM features WHERE customerID::BIGINT % 3 = {batch})"""
 
 
-@query("t06_drift_stream", check(
-    f"SELECT 0 AS batch, feature, ROUND(psi, 6) AS psi, is_drifted "
-    f"FROM ({psi_sql(WATCHED, STREAM_SIDES)})", "features"))
+@query("t06_drift_stream", check(" UNION ALL ".join(
+    f"SELECT {batch} AS batch, feature, ROUND(psi, 6) AS psi, is_drifted FROM "
+    f"({psi_sql(WATCHED, arrived_sides(batch))})" for batch in range(3)), "features"))
 def t06_stream(spark, sf_dir):
-    """Customers stream in and are compared with a saved training snapshot, batch by batch."""
+    """Customers arrive in three parts, each compared with a saved training snapshot."""
     from lapsewatch.plans.monitor import split_sides
     from lapsewatch.sources.files import load_snapshot, save_snapshot
     from lapsewatch.sources.tables import subscribers_of
     snapshot = save_snapshot(split_sides(spark, sf_dir)[0], scratch_path(spark, "reference"))
-    stream = features.engineer(prepare.clean(
-        subscribers_of(table_stream(spark, sf_dir, "orders"))))
-    return rounded(jobs.drift_stream(stream, load_snapshot(spark, snapshot), WATCHED))
+    reference, root = load_snapshot(spark, snapshot), scratch_path(spark, "drift-stream")
+    return rounded(jobs.arriving(
+        table(spark, sf_dir, "orders"), [F.col("o_orderkey") % 3 == part for part in range(3)],
+        lambda orders: jobs.drift_stream(
+            features.engineer(prepare.clean(subscribers_of(orders))), reference, WATCHED, root)))
 
 
 # Labels arrive as sign-ups; every other event is a prediction. Event time spans 30 days, so the
@@ -413,14 +419,23 @@ def t07(spark, sf_dir):
         {"ts": stamp("ts"), "label_ts": stamp("label_ts")})
 
 
+def by_ten_days():
+    """Event time in three parts."""
+    first, last = (F.col("ts") < F.lit(f"2024-01-{d}").cast("timestamp") for d in (11, 21))
+    return [first, ~first & last, ~last]
+
+
 @query("t07_delayed_labels_stream", LABELLED_CHECK)
 def t07_stream(spark, sf_dir):
-    events = table_stream(spark, sf_dir, "events")
-    joined = jobs.label_stream(_predictions(events), _labels(events), delay_days=DELAY_DAYS)
+    """Events arrive in three parts; state goes on over the starts. Settled and open predictions."""
+    root = scratch_path(spark, "labels")
+    joined = jobs.arriving(
+        table(spark, sf_dir, "events"), by_ten_days(), lambda events: stateful.label_stream(
+            _predictions(events), _labels(events), root, delay_days=DELAY_DAYS))
     return joined.withColumns({"ts": stamp("ts"), "label_ts": stamp("label_ts")})
 
 
-@query("t08_performance_drop", f"""
+DROPS = f"""
     WITH d AS (SELECT CAST(ts AS DATE) AS day,
         COUNT(*) FILTER (WHERE prob >= 0.02::DOUBLE AND label = 1) AS tp,
         COUNT(*) FILTER (WHERE prob >= 0.02::DOUBLE AND label IS NULL) AS fp,
@@ -430,7 +445,10 @@ def t07_stream(spark, sf_dir):
     b AS (SELECT *, AVG(f1) OVER (ORDER BY day RANGE BETWEEN INTERVAL 30 DAY PRECEDING
             AND INTERVAL 1 DAY PRECEDING) AS base FROM f)
     SELECT STRFTIME(day, '%Y-%m-%d') AS day, ROUND(f1, 6) AS f1, ROUND(base, 6) AS baseline_f1,
-      COALESCE(base - f1 > 0.05::DOUBLE, FALSE) AS retrain FROM b""")
+      COALESCE(base - f1 > 0.05::DOUBLE, FALSE) AS retrain FROM b"""
+
+
+@query("t08_performance_drop", DROPS)
 def t08(spark, sf_dir):
     rows = labelled(spark, sf_dir).withColumn("label", F.coalesce("label", F.lit(0.0)))
     daily = rows.groupBy(F.to_date("ts").alias("day")).agg(*metrics.confusion_columns(0.02))
@@ -439,12 +457,36 @@ def t08(spark, sf_dir):
         F.date_format("day", "yyyy-MM-dd").alias("day"), "f1", "baseline_f1", "retrain"))
 
 
+# A prediction is settled once event time (less a day) has passed its label or its window; the
+# newest of these, less delay and lateness, closes days.
+@query("t08_performance_drop_stream", f"""
+    SELECT * FROM ({DROPS}) WHERE CAST(day AS DATE) + INTERVAL 1 DAY <= (
+      SELECT MAX(ts) - INTERVAL {DELAY_DAYS + 1} DAY FROM ({LABELLED})
+      WHERE COALESCE(label_ts, ts + INTERVAL {DELAY_DAYS} DAY)
+        < (SELECT MAX(ts) - INTERVAL 1 DAY FROM events))""")
+def t08_stream(spark, sf_dir):
+    """Labels settle while events arrive in three parts; settled rows stream on into daily flags."""
+    root = scratch_path(spark, "performance")
+
+    def run(events):
+        stateful.settle_labels(_predictions(events), _labels(events), root, delay_days=DELAY_DAYS)
+        settled = stateful.settled_rows(spark, root, stream=True)
+        return stateful.performance_stream(settled, root, 0.02, DELAY_DAYS + 1)
+
+    flags = jobs.arriving(table(spark, sf_dir, "events"), by_ten_days(), run)
+    return rounded(flags.select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "f1", "baseline_f1", "retrain"))
+
+
 @query("t09_scored_stream", MIXED)
 def t09(spark, sf_dir):
-    """Orders stream in as request rows, some of them broken."""
+    """Orders arrive in three parts as request rows, some of them broken; the job restarts between."""
     from lapsewatch.sources.tables import dirtied, subscribers_of
-    stream = dirtied(subscribers_of(table_stream(spark, sf_dir, "orders")))
-    return jobs.score_stream(quality.repair_total_charges(stream), points(), CUT)
+    root = scratch_path(spark, "scored-stream")
+    return jobs.arriving(
+        table(spark, sf_dir, "orders"), [F.col("o_orderkey") % 3 == part for part in range(3)],
+        lambda orders: jobs.score_stream(
+            quality.repair_total_charges(dirtied(subscribers_of(orders))), points(), CUT, root))
 
 
 @query("t10_late_events", check(f"""

@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lapsewatch.operators import pointintime, splitting, uplift
-from lapsewatch.streaming import jobs, requests
+from lapsewatch.operators import metrics, pointintime, splitting, uplift
+from lapsewatch.streaming import jobs, requests, stateful
 
 START = dt.datetime(2024, 1, 1)
 
@@ -79,38 +79,84 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got == {0: 1, 9: 1, 10: 1}
 
 
-def test_label_stream_equals_batch(spark, tmp_path):
+def label_events():
     source = random.Random(4)
     made, labels = [], []
     for i in range(120):
-        customer = 1 if source.random() < 0.5 else source.randrange(2, 6)
+        customer = 1 if source.random() < 0.5 else source.choice([2, 3, 4, 5, None])
         hour = i * 4 + source.randrange(4)
         kind = made if source.random() < 0.7 else labels
         kind.append((i, customer, START + dt.timedelta(hours=hour), 0.5 if kind is made else 1.0))
+    made += [made[7], made[7], (900, 1, START + dt.timedelta(hours=5), None)]
+    labels += [(901, 1, labels[3][2], 0.0), (902, 77, START, 1.0)]
+    return made, labels
 
-    def slices(rows):
-        return [[r for r in rows if lo <= (r[2] - START).days < lo + 7] for lo in (0, 7, 14)]
 
-    prediction_schema = "request_id bigint, customer bigint, ts timestamp, prob double"
+def first_label(labels, customer, at, days):
+    return min((t for _, c, t, _ in labels if c == customer and at <= t <= at + dt.timedelta(days=days)), default=None)
+
+
+def test_label_stream_over_batches_and_restarts(spark, tmp_path):
+    """Every prediction once, with its first label; half of the slices come after a restart."""
+    made, labels = label_events()
+    root = str(tmp_path / "job")
+    made_schema = "request_id bigint, customer bigint, ts timestamp, prob double"
     label_schema = "label_id bigint, customer bigint, ts timestamp, label double"
-    made_stream = write_slices(spark, str(tmp_path / "made"), [s for s in slices(made) if s], prediction_schema)
-    label_stream = write_slices(spark, str(tmp_path / "labels"), [s for s in slices(labels) if s], label_schema)
-    got = {r.request_id: r.label_ts for r in jobs.label_stream(
-        made_stream, label_stream, delay_days=2).collect()}
-    assert len(got) == len(made)
-    for i, customer, at, _ in made:
-        want = min((t for _, c, t, _ in labels if c == customer and at <= t <= at + dt.timedelta(days=2)),
-                   default=None)
-        assert got[i] == want
-
-
-def test_maintained_table_over_several_batches(spark, tmp_path):
+    for low, high in ((0, 7), (7, 14), (14, 30)):
+        def part(rows):
+            return [r for r in rows if low <= (r[2] - START).days < high]
+        streams = [write_slices(spark, str(tmp_path / name), [part(rows)], schema) for name, rows, schema in (
+            ("made", made, made_schema), ("labels", labels, label_schema))]
+        if low == 0:
+            continue  # two slices in the first start, one micro-batch each
+        out = stateful.label_stream(*streams, root, delay_days=2, parts=3).collect()
+        came = [r for r in made if (r[2] - START).days < high]
+        seen = [r for r in labels if (r[2] - START).days < high]
+        assert sorted((r.request_id, r.customer or 0, r.ts, r.prob or 0.0, r.label_ts or START) for r in out) == sorted(
+            (i, c or 0, at, p or 0.0, first_label(seen, c, at, 2) or START) for i, c, at, p in came)
+    settled = stateful.settled_rows(spark, root).collect()
+    assert 0 < len(settled) < len(made)
+    newest = max(r[2] for r in made + labels) - dt.timedelta(days=1)
+    for r in settled:
+        assert (r.label_ts or r.ts + dt.timedelta(days=2)) < newest
+
+
+def test_performance_stream_equals_batch(spark, tmp_path):
+    made, labels = label_events()
+    root = str(tmp_path / "job")
+    schema = "request_id bigint, customer bigint, ts timestamp, prob double, label_ts timestamp, label double"
+    rows = [(i, c, at, i % 10 / 10, None, 1.0 if first_label(labels, c, at, 2) else None) for i, c, at, _ in made]
+    flags = None
+    for low, high in ((0, 6), (6, 12), (12, 40)):
+        stream = write_slices(spark, str(tmp_path / "settled"),
+                              [[r for r in rows if low <= (r[2] - START).days < high]], schema)
+        flags = stateful.performance_stream(stream, root, 0.4, 1, days=5)
+    got = {r.day: r for r in flags.collect()}
+    newest = max(r[2] for r in rows) - dt.timedelta(days=1)
+    daily = spark.createDataFrame(rows, schema).fillna(0.0, ["label"]).groupBy(
+        F.to_date("ts").alias("day")).agg(*metrics.confusion_columns(0.4))
+    want = {r.day: r for r in requests.performance_drop(daily, days=5).collect()
+            if dt.datetime.combine(r.day, dt.time()) + dt.timedelta(days=1) <= newest}
+    assert set(got) == set(want) and len(got) > 10
+    for day, r in want.items():
+        assert got[day].f1 == pytest.approx(r.f1) and got[day].retrain == r.retrain
+        assert got[day].baseline_f1 == (r.baseline_f1 if r.baseline_f1 is None else pytest.approx(r.baseline_f1))
+
+
+def test_maintained_table_over_batches_restart_and_compaction(spark, tmp_path):
     schema = "k string, at timestamp, v double"
-    parts = [[("a", START, 1.0), ("b", START, 2.0)], [("a", START + dt.timedelta(days=1), 3.0)],
-             [("a", START + dt.timedelta(hours=1), 9.0), ("c", START, 4.0)]]
-    stream = write_slices(spark, str(tmp_path / "rows"), parts, schema)
-    table = {r.k: r.v for r in jobs.maintain_latest(stream, "k", "at").collect()}
-    assert table == {"a": 3.0, "b": 2.0, "c": 4.0}
+    path, root = str(tmp_path / "rows"), str(tmp_path / "job")
+    parts = [[("a", START, 1.0), ("b", START, 2.0)], [("a", START + dt.timedelta(days=1), 3.0)]]
+    stream = write_slices(spark, path, parts, schema)
+    assert {r.k: r.v for r in jobs.maintain_latest(stream, "k", "at", root=root).collect()} == {"a": 3.0, "b": 2.0}
+    jobs.compact(spark, root, stream.schema, "k")
+    later = [[("a", START + dt.timedelta(hours=1), 9.0), ("c", START, 4.0)], [("b", START + dt.timedelta(days=2), 5.0)]]
+    stream = write_slices(spark, path, later, schema)
+    table = {r.k: r.v for r in jobs.maintain_latest(stream, "k", "at", root=root).collect()}
+    assert table == {"a": 3.0, "b": 5.0, "c": 4.0}
+    sizes = {r.batch: r.n for r in spark.read.parquet(f"{root}/changes").groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes == {0: 2, 1: 1, 2: 2, 3: 1}  # only the keys of the batch, never the table
 
 
 def test_score_stream_goes_on_after_a_restart(spark, customers, tmp_path):
