@@ -62,3 +62,11 @@ def tall(columns: Sequence[str], name: str = "feature", value: str = "value",
     return F.inline(F.array(*[
         F.struct(F.lit(c).alias(name), F.col(c).cast(cast).alias(value)) for c in columns
     ]))
+
+
+def digamma(n: Column) -> Column:
+    """The digamma function of a whole number from 1: its series six steps further, less the steps."""
+    x = n.cast("double") + 6.0
+    w = F.lit(1.0) / (x * x)
+    series = F.log(x) - F.lit(0.5) / x - w * (1 / 12 - w * (1 / 120 - w * (1 / 252 - w * (1 / 240 - w / 132))))
+    return series - sum((F.lit(1.0) / (n.cast("double") + float(i)) for i in range(6)), F.lit(0.0))

@@ -18,49 +18,67 @@ from lapsewatch.operators.smalltables import materialise
 
 #: One-hot and dummy columns are part of a schema; more levels than this are refused.
 MOST_COLUMNS = 1000
+#: Values of a column that a projection may list.
+FEW = 64
 
 
 def level_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, value, code: the place of every text value in the sorted values of its column.
 
-    Values are numbered within their first two letters and shifted by the values before those, so
-    a column of free text does not have to fit one task.
+    The distinct values are range-partitioned by column and value and numbered inside their
+    slice; the slices before add their counts. Any column spreads over all tasks, whatever
+    its values begin with.
     """
     levels = df.select(tall(columns, cast="string")).where("value IS NOT NULL").distinct()
-    levels = levels.withColumn("head", F.substring("value", 1, 2))
-    before = (
-        levels.groupBy("feature", "head").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.sum("n").over(
-            Window.partitionBy("feature").orderBy("head")) - F.col("n")).drop("n"))
-    inside = F.row_number().over(Window.partitionBy("feature", "head").orderBy("value"))
-    return levels.withColumn("inside", inside).join(before, ["feature", "head"]).select(
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialise(levels.repartitionByRange(parts, "feature", "value").withColumn(
+        "slice", F.spark_partition_id()), "levels")
+    before = placed.groupBy("feature", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "before", F.sum("n").over(Window.partitionBy("feature").orderBy("slice")) - F.col("n")).drop("n")
+    inside = F.row_number().over(Window.partitionBy("feature", "slice").orderBy("value"))
+    return placed.withColumn("inside", inside).join(before, ["feature", "slice"]).select(
         "feature", "value", (F.col("before") + F.col("inside") - 1).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each text value becomes its position in sorted order; null becomes 0.
 
-    The codes are a written table that every column is joined with; small ones are broadcast by
-    the optimizer.
+    Columns of at most ``FEW`` values are looked up inside the projection; only columns with
+    more values are joined with their codes.
     """
-    codes = materialise(level_codes(df, columns), "codes")
-    out = df
+    codes = level_codes(df, columns)
+    listed: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
+    for r in codes.where(F.col("code") <= FEW).collect():  # FEW + 1 rows a column at most
+        listed[r.feature].append((r.value, r.code))
+    many = [c for c in columns if len(listed[c]) > FEW]
+    out, chosen = df, {}
+    if many:
+        codes = materialise(codes.where(F.col("feature").isin(many)), "codes")
     for column in columns:
-        one = codes.where(F.col("feature") == column).select(
-            F.col("value").alias(column), F.col("code").alias(f"{column}__code"))
-        out = out.join(one, column, "left")
-    return out.select(*[
-        F.coalesce(F.col(f"{c}__code"), F.lit(0)).alias(c) if c in columns else F.col(c)
-        for c in df.columns])
+        if column in many:
+            one = codes.where(F.col("feature") == column).select(
+                F.col("value").alias(column), F.col("code").alias(f"{column}__code"))
+            out = out.join(one, column, "left")
+            chosen[column] = F.coalesce(F.col(f"{column}__code"), F.lit(0))
+        else:
+            # The first value has code 0, which missing ones share.
+            code = None
+            for value, at in sorted(listed[column], key=lambda x: x[1])[1:]:
+                same = F.col(column).cast("string") == F.lit(value)
+                code = F.when(same, at) if code is None else code.when(same, at)
+            chosen[column] = F.lit(0) if code is None else code.otherwise(0)
+    return out.select(*[chosen[c].cast("int").alias(c) if c in chosen else F.col(c) for c in df.columns])
 
 
 def _levels(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
-    """Sorted levels per column, for outputs that have a column per level."""
-    levels = one_hot_stages(columns)[0].fit(df.select(*columns)).labelsArray
-    for column, found in zip(columns, levels):
-        if len(found) > MOST_COLUMNS:
-            raise ValueError(f"{column} has {len(found)} levels, too many for a column each")
-    return levels
+    """Sorted levels per column, for outputs that have a column per level; counted before any is fetched."""
+    found = materialise(df.select(tall(columns, cast="string")).where("value IS NOT NULL").distinct(), "levels")
+    for r in found.groupBy("feature").count().where(F.col("count") > MOST_COLUMNS).collect():
+        raise ValueError(f"{r.feature} has {r['count']} levels, too many for a column each")
+    levels: dict[str, list[str]] = {c: [] for c in columns}
+    for r in found.orderBy("feature", "value").collect():
+        levels[r.feature].append(r.value)
+    return [levels[c] for c in columns]
 
 
 def one_hot_stages(columns: Sequence[str]) -> list:

@@ -383,24 +383,31 @@ def e05(spark, sf_dir):
 
 # ---- splits ------------------------------------------------------------------------------
 
-def hash_share_sql(salt: str = "") -> str:
-    return f"(CAST('0x' || SUBSTR(MD5('{salt}' || customerID), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+def hash_share_sql(salt: str = "", digits: int = splitting.HEX_DIGITS) -> str:
+    return (f"(CAST('0x' || SUBSTR(MD5('{salt}' || customerID), 1, {digits}) AS BIGINT) "
+            f"/ {16 ** digits}.0::DOUBLE)")
+
+
+def _ranked_sql(salt: str = "") -> str:
+    """Place k of every row among the n rows of its class, by a fine hash."""
+    return (f"SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY {hash_share_sql(salt, splitting.FINE_DIGITS)}) "
+            "AS k, COUNT(*) OVER (PARTITION BY label) AS n FROM clean")
 
 
 def _split_sql(parts: list[tuple[str, float]]) -> str:
     upto, cases = 0.0, ""
     for name, size in parts[:-1]:
         upto = round(upto + size, 12)
-        cases += f" WHEN s < {upto}::DOUBLE THEN '{name}'"
+        cases += f" WHEN k <= FLOOR({upto}::DOUBLE * n + 0.5::DOUBLE) THEN '{name}'"
     return check(f"SELECT customerID, label, CASE{cases} ELSE '{parts[-1][0]}' END AS split "
-                 f"FROM (SELECT *, {hash_share_sql()} AS s FROM clean)", "clean")
+                 f"FROM ({_ranked_sql()})", "clean")
 
 
 def _register_split(name: str, parts: list[tuple[str, float]]) -> None:
     @query(name, _split_sql(parts))
     def job(spark, sf_dir):
         rows = customers(spark, sf_dir).select("customerID", "label")
-        return splitting.add_split(rows, parts)
+        return splitting.add_exact_split(rows, parts)
 
 
 _register_split("x01_train_test", splitting.TRAIN_TEST)
@@ -408,11 +415,11 @@ _register_split("x02_train_validation_test", splitting.TRAIN_VALIDATION_TEST)
 _register_split("x03_with_calibration", splitting.WITH_CALIBRATION)
 
 
-@query("x04_folds", check(
-    f"SELECT customerID, label, FLOOR({hash_share_sql('fold:')} * 5)::INT AS fold FROM clean",
-    "clean"))
+@query("x04_folds", check("SELECT customerID, label, (" + " + ".join(
+    f"(k > FLOOR(({i} / 5.0::DOUBLE) * n + 0.5::DOUBLE))::INT" for i in range(1, 5))
+    + f")::INT AS fold FROM ({_ranked_sql('fold:')})", "clean"))
 def x04(spark, sf_dir):
-    return splitting.add_fold(customers(spark, sf_dir).select("customerID", "label"))
+    return splitting.add_exact_folds(customers(spark, sf_dir).select("customerID", "label"))
 
 
 @query("x05_nested_subsamples", check(f"""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lapsewatch import constants as K
 from lapsewatch.functions.scalars import named
-from lapsewatch.operators import drift, features, prepare, selection, significance, splitting
+from lapsewatch.operators import drift, features, neighbours, prepare, selection, significance, splitting
+from lapsewatch.operators.smalltables import materialise
 from lapsewatch.plans.explore import CRITICAL, hash_share_sql, rounded
 from lapsewatch.plans.intake import model_rows
 from lapsewatch.plans.oracle import check, tall
@@ -177,6 +178,8 @@ def _report_sql(sides: str) -> str:
 
 
 def _report(sides):
+    # Both sides are read by every kind of test: worked out once.
+    sides = [materialise(side, "sides") for side in sides]
     findings = drift.feature_findings(*sides)
     return drift.report(findings, drift.prediction_drift(*sides), *sides).drop("created_at")
 
@@ -317,6 +320,46 @@ def fs3(spark, sf_dir):
     return rounded(selection.ranked(mi_scores(spark, sf_dir), "mi_score", "mi_rank"))
 
 
+def psi_of(n: str) -> str:
+    """Digamma of a whole number: the harmonic sum before it, less Euler's constant; its series from 50 on."""
+    x = f"({n})::DOUBLE"
+    return (f"CASE WHEN {n} < 50 THEN COALESCE(LIST_SUM(LIST_TRANSFORM(RANGE(1, {n}), lambda i: 1.0::DOUBLE / i)), 0)"
+            f" - 0.5772156649015329::DOUBLE ELSE LN({x}) - 0.5::DOUBLE / {x} - 1 / (12.0::DOUBLE * {x} * {x})"
+            f" + 1 / (120.0::DOUBLE * {x} * {x} * {x} * {x}) END")
+
+
+# Neighbours by lag and lead within the class, counts by looking up the last row before each end.
+KNN = f"""
+    WITH raw AS ({tall(K.NUMERIC)}),
+      top AS (SELECT feature, {neighbours.SHIFT}::DOUBLE * GREATEST(1.0::DOUBLE, MAX(ABS(value))) AS f FROM raw GROUP BY 1),
+      pts AS (SELECT feature, label, value + ({hash_share_sql('near:')} - 0.5::DOUBLE) * f AS v
+              FROM raw JOIN top USING (feature)),
+      near AS (SELECT feature, label, v, COUNT(*) OVER (PARTITION BY feature, label) AS size,
+          [v, {", ".join(f"LAG(v, {j}) OVER w" for j in (1, 2, 3))}] AS b,
+          [v, {", ".join(f"LEAD(v, {j}) OVER w" for j in (1, 2, 3))}] AS a
+        FROM pts WINDOW w AS (PARTITION BY feature, label ORDER BY v)),
+      rad AS (SELECT *, LIST_MIN([{", ".join(
+          f"CASE WHEN b[{j + 1}] IS NOT NULL AND a[{4 - j}] IS NOT NULL THEN GREATEST(v - b[{j + 1}], a[{4 - j}] - v) END"
+          for j in range(4))}]) AS r FROM near),
+      cut AS (SELECT feature, size, COALESCE(LIST_MAX(LIST_FILTER(b, lambda x: v - x = r)), v - r) AS low,
+          COALESCE(LIST_MIN(LIST_FILTER(a, lambda x: x - v = r)), v + r) AS high FROM rad),
+      rnk AS (SELECT feature, v, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY v) AS k FROM pts),
+      cnt AS (SELECT c.feature, size, h.k - COALESCE(l.k, 0) AS m FROM cut c
+        ASOF JOIN rnk h ON c.feature = h.feature AND c.high > h.v
+        ASOF LEFT JOIN rnk l ON c.feature = l.feature AND c.low >= l.v)
+    SELECT feature, GREATEST({psi_of('COUNT(*)')} + {psi_of('3')} - AVG({psi_of('size')})
+      - AVG({psi_of('m')}), 0) AS mi_score FROM cnt GROUP BY feature"""
+
+
+@query("fs3_mutual_information_neighbours", check(
+    f"SELECT feature, ROUND(mi_score, 6) AS mi_score, "
+    f"ROW_NUMBER() OVER (ORDER BY ROUND(mi_score, 6) DESC, feature)::INT AS mi_rank FROM ({KNN})", "features"))
+def fs3_neighbours(spark, sf_dir):
+    """Numeric features by their three nearest neighbours of the same class."""
+    scores = neighbours.neighbour_information(model_rows(spark, sf_dir), K.NUMERIC)
+    return rounded(selection.ranked(scores, "mi_score", "mi_rank"))
+
+
 CANDIDATES = K.NUMERIC + K.BINARY
 
 
