@@ -70,13 +70,19 @@ def vector_contributions(names: Sequence[str], weights: Sequence[float], means:
 
 
 def explain(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Rows with prob and explanation, the three strongest contributions, of a fitted pipeline
-    whose last stage is linear; slots dropped by its selector do not appear."""
+    """Rows with prob and explanation, the three strongest contributions, of a fitted pipeline whose
+    last stage is linear or made of trees; slots dropped by its selector do not appear."""
+    from lapsewatch.operators import attribution
     from lapsewatch.operators.encoding import vector_names
     from lapsewatch.operators.training import positive_probability
-    scored = model.transform(df)
-    means = scored.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
-    told = vector_contributions(vector_names(scored), model.stages[-1].coefficients.toArray(), means)
+    scored, last = model.transform(df), model.stages[-1]
+    if hasattr(last, "coefficients"):
+        means = scored.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
+        told = vector_contributions(vector_names(scored), last.coefficients.toArray(), means)
+    else:
+        forest = attribution.Forest.of(attribution.tree_table(last, df.sparkSession))
+        scored = attribution.attributed(scored, forest, vector_names(scored))
+        told = F.map_from_entries("strongest")
     return scored.withColumns({"prob": positive_probability(scored), "explanation": told}).select(
         *df.columns, "prob", "explanation")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lapsewatch import constants as K
 from lapsewatch.functions.scalars import named
-from lapsewatch.operators import conformal, drift, features, metrics, pointintime, prepare, quality, scoring
+from lapsewatch.operators import attribution, conformal, drift, features, metrics, pointintime, prepare, quality, scoring
 from lapsewatch.plans.explore import hash_share_sql, rounded
 from lapsewatch.plans.intake import model_rows
 from lapsewatch.plans.monitor import chi_sql, psi_sql
@@ -80,6 +80,61 @@ def r03(spark, sf_dir):
         "customerID", "feature", named(F.col("term"), "term", 6))
 
 
+# A small ensemble as a table of nodes (value, left, right, feature, threshold), so that paths can be checked.
+TREE_SLOTS = ["tenure", "MonthlyCharges", "contract_numeric", "is_fiber_optic", "service_adoption_count"]
+TREES = [
+    (1.0, [(-0.40, 1, 2, "contract_numeric", 0.0), (0.15, 3, 4, "tenure", 11.0), (-1.10, 5, 6, "MonthlyCharges", 64.5),
+           (0.62, -1, -1, None, None), (-0.05, -1, -1, None, None), (-1.32, -1, -1, None, None),
+           (-0.83, -1, -1, None, None)]),
+    (0.1, [(-0.12, 1, 2, "is_fiber_optic", 0.0), (-0.51, 3, 4, "service_adoption_count", 3.0),
+           (0.47, 5, 6, "tenure", 30.0), (-0.22, -1, -1, None, None), (-0.74, -1, -1, None, None),
+           (0.81, -1, -1, None, None), (0.09, -1, -1, None, None)]),
+    (0.1, [(0.05, 1, 2, "tenure", 3.0), (0.93, -1, -1, None, None), (-0.07, 3, 4, "tenure", 48.0),
+           (0.02, -1, -1, None, None), (-0.35, -1, -1, None, None)]),
+]
+
+
+def _paths_sql() -> str:
+    """What every node adds to its feature for the rows that reach it, and the leaves' own sum."""
+    terms, leaves = [], []
+    for weight, nodes in TREES:
+        def walk(i: int, reached: str) -> str:
+            value, left, right, feature, cut = nodes[i]
+            if left < 0:
+                return f"{value}::DOUBLE"
+            goes = f"{feature} <= {cut}::DOUBLE"
+            steps = [f"{weight}::DOUBLE * ({nodes[j][0]}::DOUBLE - {value}::DOUBLE)" for j in (left, right)]
+            terms.append(f"SELECT customerID, '{feature}' AS feature, CASE WHEN {reached} THEN CASE WHEN {goes} "
+                         f"THEN {steps[0]} ELSE {steps[1]} END ELSE 0 END AS term FROM features")
+            return (f"CASE WHEN {goes} THEN {walk(left, f'{reached} AND {goes}')} "
+                    f"ELSE {walk(right, f'{reached} AND NOT ({goes})')} END")
+        leaves.append(f"{weight}::DOUBLE * ({walk(0, 'TRUE')})")
+    places = ", ".join(f"('{f}', {i})" for i, f in enumerate(TREE_SLOTS))
+    return f"""
+        SELECT customerID, feature, ROUND(term, 6) AS term, ROUND(margin, 6) AS margin FROM (
+          SELECT *, ROW_NUMBER() OVER (PARTITION BY customerID ORDER BY ROUND(ABS(term), 9) DESC, place) AS k
+          FROM (SELECT customerID, feature, SUM(term) AS term FROM ({" UNION ALL ".join(terms)}) GROUP BY ALL)
+            JOIN (VALUES {places}) p(feature, place) USING (feature))
+          JOIN (SELECT customerID, {" + ".join(leaves)} AS margin FROM features) USING (customerID)
+        WHERE k <= 3"""
+
+
+@query("r03_tree_contributions", check(_paths_sql(), "features"))
+def r03_trees(spark, sf_dir):
+    """Top three path contributions of a tree ensemble, with the margin they add up to."""
+    nodes = [(t, weight, i, value, left, right, -1 if feature is None else TREE_SLOTS.index(feature),
+              [] if cut is None else [cut], -1)
+             for t, (weight, tree) in enumerate(TREES) for i, (value, left, right, feature, cut) in enumerate(tree)]
+    forest = attribution.Forest.of(spark.createDataFrame(nodes, attribution.NODES))
+    rows = model_rows(spark, sf_dir).select(
+        "customerID", F.array(*[F.col(c).cast("double") for c in TREE_SLOTS]).alias("features"))
+    # Terms of one size may differ in their last digits, which must not decide their order.
+    found = attribution.attributed(rows, forest, TREE_SLOTS)
+    top = attribution.strongest(F.transform("contributions", lambda x: F.round(x, 9)), TREE_SLOTS)
+    return found.select("customerID", F.round("margin", 6).alias("margin"), F.inline(top)).select(
+        "customerID", "feature", named(F.col("term"), "term", 6), "margin")
+
+
 SETS = {c: f"q{round(c * 100)}" for c in K.CONFIDENCES}
 
 

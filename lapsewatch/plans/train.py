@@ -248,7 +248,12 @@ def m08(spark, sf_dir):
     return board.select("model", (F.col("cv_pr_auc_mean") > dummy).alias("better_than_dummy"))
 
 
-TRIALS = 8
+TRIALS = 50
+
+
+def trials_of(spark, sf_dir):
+    """The declared search: fifty points of the boosted space."""
+    return training.search(codes(spark, sf_dir), K.MODEL_INPUTS, trials=TRIALS)
 
 
 @query("m09_hyperparameter_search", f"""
@@ -256,20 +261,15 @@ TRIALS = 8
 def m09(spark, sf_dir):
     """Every trial: its point lies in the space, it is pruned exactly if the rule says so, and the
     best row is the highest finished one."""
-    space = {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": (0.0, 1.0, "linear"),
-             "weight": training.SEARCH_SPACE["weight"]}
-    table = training.search(
-        model_rows(spark, sf_dir),
-        lambda params: training.model_pipeline(
-            "logistic_regression", {**FAST, **params}, select=False, engineer=False),
-        space, trials=TRIALS)
+    space = training.SEARCH_SPACE
+    table = trials_of(spark, sf_dir)
     rows = sorted(table.collect(), key=lambda r: r["trial"])
     best = training.best_trial(table).first()
     finished = [r["value"] for r in rows if not r["pruned"]]
     facts = []
     for i, r in enumerate(rows):
         point = json.loads(r["params"])
-        inside = all(space[n][0] <= v <= space[n][1] for n, v in point.items())
+        inside = point.keys() == space.keys() and all(space[n][0] <= v <= space[n][1] for n, v in point.items())
         scores = json.loads(r["scores"])
         rule = training.should_prune(scores, [json.loads(x["scores"]) for x in rows[:i] if not x["pruned"]], 3)
         facts.append((i, inside, r["pruned"] == rule, best["value"] == max(finished)))
@@ -277,6 +277,20 @@ def m09(spark, sf_dir):
         facts, "trial int, in_space boolean, follows_rule boolean, best_is_best boolean")
 
 
+@query("m09_trials")
+def m09_trials(spark, sf_dir):
+    """The trials themselves as read back from the CSV they are written to, each with the best finished
+    mean so far, and the best of all marked."""
+    table = materialise(trials_of(spark, sf_dir), "trials")
+    path = files.write_csv(table.orderBy(F.desc("value")), scratch_path(spark, "trials"))
+    back = spark.read.schema(table.schema).option("header", True).csv(path)
+    finished = F.when(~F.col("pruned"), F.col("value"))
+    upto = leaderboard.running_best(back.withColumns({"study": F.lit("boosted"), "finished": finished}),
+                                    value="finished")
+    best = training.best_trial(back).select("params", F.lit(True).alias("is_best"))
+    return upto.drop("study", "finished").join(best, "params", "left").fillna(False, ["is_best"])
+
+
 @query("s09_tuning_results_csv", """
     SELECT UNNEST(['logistic_regression', 'decision_tree', 'linear_svc', 'Dummy']) AS model, TRUE AS as_written""")
 def s09(spark, sf_dir):
@@ -466,3 +480,13 @@ def r01_model(spark, sf_dir):
     return response.select(
         "customerID", (F.col("will_churn") == (F.col("prob") >= 0.3)).alias("decided"),
         F.size("explanation").alias("explained"), F.size("conformal").alias("sets"))
+
+
+@query("r03_champion_contributions")
+def r03_champion(spark, sf_dir):
+    """Boosted trees explain their own answers: the three strongest contributions of every held-out row."""
+    rows = splitting.add_split(engineered(spark, sf_dir), splitting.TRAIN_TEST)
+    model = training.fit(training.model_pipeline(
+        "gradient_boosting", {"maxIter": 20}, engineer=False), rows.where("split = 'train'"), TREE_ROWS)
+    answers = scoring.explain(model, rows.where("split = 'test'"))
+    return answers.select("customerID", "prob", F.explode("explanation").alias("feature", "term"))

@@ -1,8 +1,11 @@
+import json
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lapsewatch import constants as K
-from lapsewatch.operators import importance, metrics, splitting, training, uplift
+from lapsewatch.operators import boosting, importance, metrics, splitting, training, uplift
 from lapsewatch.plans.intake import model_rows
 from lapsewatch.plans.train import engineered, linear, train_rows
 
@@ -43,18 +46,46 @@ def test_cross_validation_scores_every_row_once(spark, sf_dir):
     assert held.count() == rows.count()
 
 
-def test_search_prunes_and_keeps_every_trial(spark, sf_dir):
-    rows = model_rows(spark, sf_dir)
-    table = training.search(
-        rows, lambda p: training.model_pipeline(
-            "logistic_regression", {"maxIter": 5, **p}, select=False, engineer=False,
-            categorical=["Contract"], numeric=["tenure"], binary=[]),
-        {"regParam": (1e-4, 10.0, "log")}, trials=4, k=2)
-    rows = table.collect()
-    assert [r.trial for r in rows] == [0, 1, 2, 3]
-    assert all(r.folds == 2 and not r.pruned for r in rows)
+def test_search_keeps_every_trial_and_follows_the_rule(spark, sf_dir):
+    names = ["tenure", "MonthlyCharges", "composite_churn_risk", "contract_numeric"]
+    rows = model_rows(spark, sf_dir).select("customerID", "label", *names)
+    space = {**training.SEARCH_SPACE, "maxIter": (20, 60, 20), "maxDepth": (2, 4, 1)}
+    table = training.search(rows, names, space, trials=9, k=3, rows=900)
+    found = sorted(table.collect(), key=lambda r: r.trial)
+    assert [r.trial for r in found] == list(range(9))
+    finished = []
+    for r in found:
+        means = json.loads(r.scores)
+        assert r.pruned == training.should_prune(means, finished, 3) and r.folds == len(means) == (2 if r.pruned else 3)
+        finished += [] if r.pruned else [means]
     best = training.best_trial(table).first()
-    assert best.value == max(r.value for r in rows) and (best.n_completed, best.n_pruned) == (4, 0)
+    assert best.value == max(r.value for r in found if not r.pruned) and best.n_completed + best.n_pruned == 9
+    again = training.search(rows.repartition(3), names, space, trials=9, k=3, rows=900)
+    assert sorted(again.collect()) == sorted(table.collect())
+
+
+def test_boosted_rounds_learn_and_score():
+    draw = np.random.default_rng(1)
+    x = np.c_[draw.integers(0, 4, 1500), draw.standard_normal((1500, 3))].astype(float)
+    x[::50, 2] = np.nan
+    y = (draw.random(1500) < 1 / (1 + np.exp(-3 * (x[:, 0] * (x[:, 1] > 0) - 1)))).astype(int)
+    codes = boosting.binned(x)
+    assert codes.max() < boosting.BINS and len(set(codes[:, 0])) == 4
+    train, held = np.arange(1000), np.arange(1000, 1500)
+    point = {"maxIter": 300, "stepSize": 0.1, "maxDepth": 3, "minInstancesPerNode": 5, "subsamplingRate": 0.8}
+    value, rounds = boosting.fit_and_score(codes, y, train, held, point, 3)
+    assert value > y[held].mean() + 0.25 and rounds < 300
+    assert boosting.fit_and_score(codes, y, train, held, point, 3) == (value, rounds)
+    levels = boosting.grow(codes, y - 0.5, np.ones(1500), train, 4, 40)
+    out = boosting.apply(codes, levels)
+    for leaf in np.unique(out[train]):
+        inside = out[train] == leaf
+        assert inside.sum() >= 40 and leaf == pytest.approx((y[train][inside] - 0.5).sum() / (inside.sum() + 1))
+
+
+def test_average_precision_with_ties():
+    label, score = np.array([1, 0, 1, 0, 1]), np.array([0.9, 0.5, 0.5, 0.5, 0.1])
+    assert boosting.average_precision(label, score) == pytest.approx(1 / 3 * 1 + 1 / 3 * 2 / 4 + 1 / 3 * 3 / 5)
 
 
 def test_pruning_rule():
