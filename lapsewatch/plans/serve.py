@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapsewatch import constants as K
-from lapsewatch.functions.scalars import named
-from lapsewatch.operators import attribution, conformal, drift, features, metrics, pointintime, prepare, quality, scoring
+from lapsewatch.functions.scalars import named, tall
+from lapsewatch.operators.smalltables import materialise
+from lapsewatch.operators import attribution, conformal, drift, features, metrics, pointintime, prepare, quality, scoring, sketches
 from lapsewatch.plans.explore import hash_share_sql, rounded
 from lapsewatch.plans.intake import model_rows
 from lapsewatch.plans.monitor import chi_sql, psi_sql
-from lapsewatch.plans.oracle import check, tall
+from lapsewatch.plans.oracle import check
 from lapsewatch.plans.registry import query
 from lapsewatch.session import scratch_path
 from lapsewatch.sources.tables import (
@@ -385,6 +386,7 @@ SLICES = """
   c AS (SELECT features.* FROM features JOIN d USING (customerID)
         WHERE day > (SELECT MAX(day) FROM d) - INTERVAL 7 DAY)"""
 WATCHED, WATCHED_TEXTS = K.NUMERIC, K.CATEGORICAL
+CONTINUOUS = ["tenure", "MonthlyCharges", "TotalCharges", "charge_to_tenure_ratio", "avg_charge_per_service"]
 
 
 def _time_slices(spark, sf_dir):
@@ -430,6 +432,85 @@ def t06_stream(spark, sf_dir):
             features.engineer(prepare.clean(subscribers_of(orders))), reference, WATCHED, root)))
 
 
+# ---- windows from stored daily sketches ---------------------------------------------------
+
+LOGGED, LOGGED_TEXTS = ["prob", "latency_s"], ["endpoint", "customer"]
+
+
+def stored_days(rows, at, numeric, other=()):
+    """Daily sketches of a table, written as a job of its own would, in two appends, and read back."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "daily")
+    days = sketches.daily(rows, at, numeric, other)
+    even = F.dayofmonth("day") % 2 == 0
+    for part in (even, ~even):
+        days.where(part).write.mode("append").parquet(path)
+    return spark.read.schema(days.schema).parquet(path)
+
+
+@query("t05_rolling_mean_from_sketches", check("""
+    WITH d AS (SELECT CAST(ts AS DATE) AS day, SUM(prob) AS s, COUNT(prob) AS n FROM log GROUP BY 1)
+    SELECT STRFTIME(day, '%Y-%m-%d') AS day, SUM(n) OVER w::BIGINT AS requests,
+      ROUND(SUM(s) OVER w / SUM(n) OVER w, 6) AS mean FROM d
+    WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)""", "log"))
+def t05_sketches(spark, sf_dir):
+    days = stored_days(prediction_log(table(spark, sf_dir, "events")), "ts", LOGGED)
+    return rounded(sketches.rolling_mean(days, "prob").withColumn("day", F.date_format("day", "yyyy-MM-dd")))
+
+
+@query("a01_profile_from_sketches", check(" UNION ALL ".join(
+    f"SELECT CAST(w AS INT) AS week, '{c}' AS column_name, COUNT(*) AS n, COUNT(*) - COUNT({c}) AS nulls, "
+    f"{'ROUND(AVG(' + c + '), 6)' if c in LOGGED else 'NULL::DOUBLE'} AS mean, TRUE AS distinct_close, "
+    f"TRUE AS deciles_close FROM (SELECT *, FLOOR((EXTRACT(DAY FROM ts) - 1) / 7) AS w FROM log) GROUP BY w"
+    for c in LOGGED + LOGGED_TEXTS), "log"))
+def a01_sketches(spark, sf_dir):
+    """Columns of the request log by week, from merged days: exact counts and means, and whether the
+    estimated distinct counts and deciles lie within the stated error of the exact ones."""
+    log = prediction_log(table(spark, sf_dir, "events"))
+    week = F.floor((F.dayofmonth("day") - 1) / 7).cast("int")
+    days = stored_days(log, "ts", LOGGED, LOGGED_TEXTS).withColumn("week", week)
+    found = materialise(sketches.profile(sketches.merged(days, ["week"])), "profile")
+    values = log.select(F.floor((F.dayofmonth("ts") - 1) / 7).cast("int").alias("week"), tall(
+        LOGGED + LOGGED_TEXTS, "column_name", "value", "string")).where("value IS NOT NULL")
+    counted = values.groupBy("week", "column_name", "value").agg(F.count(F.lit(1)).alias("k"))
+    joined = counted.join(found.select("week", "column_name", "deciles"), ["week", "column_name"])
+    at = F.posexplode(F.coalesce("deciles", F.array(F.lit(0.0)))).alias("i", "cut")
+    ranks = joined.select("week", "column_name", F.col("value").try_cast("double").alias("x"), "k", at).groupBy(
+        "week", "column_name", "i").agg(
+        F.sum(F.when(F.col("x") < F.col("cut"), F.col("k")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("x") <= F.col("cut"), F.col("k")).otherwise(0)).alias("upto"),
+        F.sum("k").alias("all"), F.count(F.lit(1)).alias("values"))
+    slack, wanted = sketches.RANK_ERROR * F.col("all") + 1, F.col("i") / 10.0 * F.col("all")
+    checked = ranks.groupBy("week", "column_name").agg(
+        F.bool_and((F.col("below") - slack <= wanted) & (wanted <= F.col("upto") + slack)).alias("fits"),
+        F.max("values").alias("values"))
+    gap = F.abs(F.col("distinct_values") - F.col("values")) <= 1 + sketches.DISTINCT_ERROR * F.col("values")
+    return rounded(found.join(checked, ["week", "column_name"]).select(
+        "week", "column_name", "n", "nulls", "mean", gap.alias("distinct_close"),
+        (F.col("fits") | F.col("deciles").isNull()).alias("deciles_close")))
+
+
+@query("t06_psi_from_sketches", check(
+    "SELECT feature, ROUND(psi, 6) AS exact_psi, is_drifted, TRUE AS close "
+    f"FROM ({psi_sql(CONTINUOUS, SLICES)})", "features"))
+def t06_sketches(spark, sf_dir):
+    """The 90-day reference against the last week from merged days, next to the exact index: the sketched
+    one may differ by what rank errors of both sides can make of ten shares."""
+    dated = features.engineer(prepare.clean(subscribers(spark, sf_dir, with_date=True)))
+    newest = dated.agg(F.max("signed_up").alias("at")).first()["at"]
+    # The slices end at the newest instant, so days are counted back from it.
+    back = F.floor((F.lit(newest).cast("timestamp").cast("double") - F.col("signed_up").cast("double")) / 86400.0)
+    rows = dated.withColumn("slot", F.date_sub(F.lit(newest).cast("date"), back.cast("int")))
+    days = stored_days(rows, "slot", CONTINUOUS)
+    last = F.to_date(F.lit(newest).cast("timestamp"))
+    current = sketches.window(days, F.date_sub(last, 6), last)
+    reference = sketches.window(days, F.date_sub(last, 96), F.date_sub(last, 7))
+    exact = drift.psi(*_time_slices(spark, sf_dir), CONTINUOUS).select(
+        "feature", F.col("psi").alias("exact_psi"), "is_drifted")
+    slack = 0.02 + 0.1 * F.col("exact_psi")
+    return rounded(exact.join(sketches.psi(reference, current).select("feature", "psi"), "feature").select(
+        "feature", "exact_psi", "is_drifted", (F.abs(F.col("psi") - F.col("exact_psi")) <= slack).alias("close")))
+
+
 # Labels arrive as sign-ups; every other event is a prediction. Event time spans 30 days, so the
 # label delay is scaled down.
 DELAY_DAYS = 3
