@@ -57,7 +57,7 @@ def wide_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[fl
         F.expr(f"struct(count({v}) AS n, min({v}) AS lo, max({v}) AS hi, "
                f"percentile_approx({v}, array({points_sql}), {SKETCH}) AS p)").alias(c)
         for c, v in ((c, _number_sql(c)) for c in columns)]).collect()
-    counts, spans = {}, {}
+    counts, spans, known = {}, {}, {}
     for row in sketches:
         for c in columns:
             n, low, high = row[c]["n"], row[c]["lo"], row[c]["hi"]
@@ -70,6 +70,10 @@ def wide_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[fl
                 small = n < 2 * SKETCH
                 points.append((low if small or q - reach <= 0 else found[q - reach],
                                high if small or q + reach >= 1 else found[q + reach]))
+            if all(a == b for a, b in points):
+                # Both ends of every bracket are one value: that is the quantile.
+                known[c, row["_g"]] = [a for a, _ in points]
+                continue
             counts[c, row["_g"]] = n
             spans[c, row["_g"]] = _intervals(points)
     groups = sorted({g for _, g in spans}, key=repr)
@@ -89,7 +93,7 @@ def wide_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[fl
 
     listed = [c for c in columns if any((c, g) in spans for g in groups)]
     if not listed:
-        return {}
+        return known
     cells = materialise(
         df.select(F.expr(group).alias("g"), F.expr(f"explode(array({', '.join(map(placed, listed))}))").alias("x"))
         .where("x IS NOT NULL").groupBy("g", "x.feature", "x.cell", "x.value")
@@ -123,7 +127,7 @@ def wide_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[fl
     names = {None if g is None else str(g): g for g in groups}
     value = {(r["f_"], names[r["g_"]], r["i"], r["end"]): r["value"]
              for r in hit.select("f_", "g_", "i", "end", "value").collect()}
-    out = {}
+    out = dict(known)
     for (c, g), n in counts.items():
         found = []
         for i, q in enumerate(fractions):

@@ -39,40 +39,58 @@ def _present(reference: DataFrame, current: DataFrame, features: Sequence[str])
     return [f for f in features if f in reference.columns and f in current.columns]
 
 
+PSI_COLUMNS = ("feature string, psi double, is_drifted boolean, reference_mean double, current_mean double, "
+               "reference_std double, current_std double")
+
+
 def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins: int = 10,
-        limit: float = K.PSI_LIMIT) -> DataFrame:
+        limit: float = K.PSI_LIMIT, written: bool = False) -> DataFrame:
     """Population stability index per numeric feature, with means and population deviations.
 
     Edges are the reference deciles without repeats, bins are [lo, hi) with the last one closed.
     A value outside the reference range falls in no bin but stays in the row count. Fewer than
-    three edges (a constant feature) score 0. Features missing on a side are left out.
+    three edges (a constant feature) score 0. Features missing on a side are left out. ``written``
+    says that both sides are tables already, whose columns cost nothing to read again.
     """
     names = _present(reference, current, features)
+    spark = reference.sparkSession
+    if not names:
+        return spark.createDataFrame([], PSI_COLUMNS)
     # Derived columns are worked out once; the passes below read numbers.
-    reference, current = (materialise(df.select(*[number(c).alias(c) for c in names]), "sides")
-                          if names else df for df in (reference, current))
+    reference, current = (df.select(*[number(c).alias(c) for c in names]) for df in (reference, current))
+    if not written:
+        reference, current = materialise(reference, "sides"), materialise(current, "sides")
     found = wide_quantiles(reference, names, [i / bins for i in range(bins + 1)])
     edges = {c: sorted(set(e)) for (c, _), e in found.items()}
-    facts = _moments(reference, current, [c for c in names if c in edges])
-    kept = [r["feature"] for r in facts]
-    spark = reference.sparkSession
-    schema = ("feature string, ref_rows bigint, cur_rows bigint, reference_mean double, "
-              "current_mean double, reference_std double, current_std double")
+    kept = [c for c in names if c in edges]
     if not kept:
-        return spark.createDataFrame([], "feature string, psi double, is_drifted boolean, reference_mean "
-                                     "double, current_mean double, reference_std double, current_std double")
-
-    def side(df: DataFrame, ref: int) -> DataFrame:
-        return df.select(F.lit(ref).cast("bigint").alias("r"), F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), _bin_index(c, edges[c]).alias("bin"))
-            for c in kept])))
-
-    # Counted where the rows are: what is shuffled is a row per feature, bin and task.
-    held = side(reference, 1).unionByName(side(current, 0)).groupBy("feature", "bin").agg(
-        F.sum("r").alias("ref_n"), F.sum(1 - F.col("r")).alias("cur_n"))
+        return spark.createDataFrame([], PSI_COLUMNS)
+
+    def side(df: DataFrame, ref: bool) -> DataFrame:
+        return df.select(F.lit(ref).alias("ref"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("feature"), _bin_index(c, edges[c]).alias("bin"), F.col(c).alias("value"))
+            for c in kept]))).where("value IS NOT NULL")
+
+    # Counts and moments of both sides in one pass, combined where the rows are: what is shuffled
+    # is a row per side, feature, bin and task, and the rest works on these few cells.
+    cells = side(reference, True).unionByName(side(current, False)).groupBy("feature", "ref", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    n, held = F.col("n"), materialise(cells, "cells")
+
+    def of(is_ref: bool, value: Column) -> Column:
+        return F.sum(F.when(F.col("ref") == is_ref, value))
+
+    means = held.groupBy("feature").agg(
+        of(True, n).alias("ref_rows"), of(False, n).alias("cur_rows"),
+        (of(True, n * F.col("m")) / of(True, n)).alias("reference_mean"),
+        (of(False, n * F.col("m")) / of(False, n)).alias("current_mean")).where("ref_rows > 0 AND cur_rows > 0")
     # One row per feature.
-    sized = held.join(F.broadcast(spark.createDataFrame(
-        [tuple(r.values()) for r in facts], schema)), "feature")
+    sized = held.join(F.broadcast(means), "feature")
+    mean = F.when(F.col("ref"), F.col("reference_mean")).otherwise(F.col("current_mean"))
+    around = n * (F.col("v") + (F.col("m") - mean) * (F.col("m") - mean))
+    parts = sized.groupBy("feature", "bin", *means.columns[1:]).agg(
+        F.coalesce(of(True, n), F.lit(0)).alias("ref_n"), F.coalesce(of(False, n), F.lit(0)).alias("cur_n"),
+        of(True, around).alias("ref_around"), of(False, around).alias("cur_around"))
 
     def share(which: str) -> Column:
         return F.col(f"{which}_n") / F.col(f"{which}_rows") + K.PSI_FLOOR
@@ -82,29 +100,16 @@ def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins:
     term = (share("cur") - share("ref")) * F.log(share("cur") / share("ref"))
     flat = [c for c in kept if len(edges[c]) < 3]
     counted = F.col("bin").isNotNull() & ~F.col("feature").isin(flat)
-    scored = sized.groupBy("feature").agg(
+    scored = parts.groupBy("feature").agg(
         F.sum(F.when(counted, term).otherwise(0.0)).alias("psi"),
-        *[F.max(f"{side}_{m}").alias(f"{side}_{m}") for m in ("mean", "std")
-          for side in ("reference", "current")])
+        F.max("reference_mean").alias("reference_mean"), F.max("current_mean").alias("current_mean"),
+        F.sqrt(F.sum("ref_around") / F.max("ref_rows")).alias("reference_std"),
+        F.sqrt(F.sum("cur_around") / F.max("cur_rows")).alias("current_std"))
     return scored.select(
         "feature", "psi", (F.col("psi") > limit).alias("is_drifted"), "reference_mean",
         "current_mean", "reference_std", "current_std")
 
 
-def _moments(reference: DataFrame, current: DataFrame, names: Sequence[str]) -> list[dict]:
-    """Rows, means and population deviations of the features that both sides have values of."""
-    def side(df: DataFrame) -> dict:
-        return df.agg(*[
-            F.expr(f"struct(count(`{c}`) AS n, avg(`{c}`) AS m, stddev_pop(`{c}`) AS s)").alias(c)
-            for c in names]).first().asDict() if names else {}
-
-    ref, cur = side(reference), side(current)
-    return [{"feature": c, "ref_rows": ref[c]["n"], "cur_rows": cur[c]["n"],
-             "reference_mean": ref[c]["m"], "current_mean": cur[c]["m"],
-             "reference_std": ref[c]["s"], "current_std": cur[c]["s"]}
-            for c in names if ref[c]["n"] and cur[c]["n"]]
-
-
 def _bin_index(column: str, edges: Sequence[float]) -> Column:
     """Bin of the column's number among sorted edges; null outside them."""
     listed = ", ".join(f"double('{e!r}')" for e in edges)
@@ -161,18 +166,22 @@ def prediction_drift(reference: DataFrame, current: DataFrame, prob: str = "prob
         "is_drifted", F.col("drift_score") > limit)
 
 
-def feature_findings(reference: DataFrame, current: DataFrame,
-                     kinds: dict[str, str] | None = None) -> DataFrame:
+def feature_findings(reference: DataFrame, current: DataFrame, kinds: dict[str, str] | None = None,
+                     written: bool = False) -> DataFrame:
     """One row per monitored feature: method, rounded score, threshold, verdict.
 
-    The verdict is taken before the score is rounded. For chi-square the score is the p-value.
+    The verdict is taken before the score is rounded. For chi-square the score is the p-value. The
+    sides are written first unless they are tables already (``written``): every test reads them.
     """
     kinds = kinds or monitored_features(reference)
+    if not written:
+        reference, current = (materialise(df.select(*[c for c in kinds if c in df.columns]), "sides")
+                              for df in (reference, current))
     numeric = [f for f, k in kinds.items() if k == "numerical"]
     texts = [f for f, k in kinds.items() if k == "categorical"]
     parts = []
     if numeric:
-        parts.append(psi(reference, current, numeric).select(
+        parts.append(psi(reference, current, numeric, written=True).select(
             "feature", F.lit("psi").alias("method"), F.round("psi", 4).alias("score"),
             F.lit(K.PSI_LIMIT).alias("threshold"), "is_drifted"))
     if texts:

@@ -180,7 +180,7 @@ def _report_sql(sides: str) -> str:
 def _report(sides):
     # Both sides are read by every kind of test: worked out once.
     sides = [materialise(side, "sides") for side in sides]
-    findings = drift.feature_findings(*sides)
+    findings = drift.feature_findings(*sides, written=True)
     return drift.report(findings, drift.prediction_drift(*sides), *sides).drop("created_at")
 
 
@@ -217,6 +217,13 @@ def d07(spark, sf_dir):
     return drift.flat_scores(findings, list(numbers))
 
 
+@query("d07_flat_scores_with_texts")
+def d07_all(spark, sf_dir):
+    """The flat row of all monitored features: text features by their p-value."""
+    findings = drift.feature_findings(*dated_sides(spark, sf_dir))
+    return drift.flat_scores(findings, K.NUMERIC + K.BINARY + K.CATEGORICAL)
+
+
 @query("d08_drift_table", check(
     f"SELECT feature, method, score, is_drifted FROM ({findings_sql(DATED_VIEWS)}) "
     "WHERE method = 'psi'", "features"))
