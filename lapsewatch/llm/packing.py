@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ SEPARATOR = 0
 #: Remembered words, and chunks of text, of each generation in a Python worker.
 CHUNKS = 80_000
 WORDS = 160_000
+#: Texts that are split and numbered at once.
+TOGETHER = 512
 #: Rows of one length in one ranking group, about.
 RANKED_TOGETHER = 100_000
 
@@ -55,13 +58,14 @@ def _chunks(path: str) -> Memory:
     """Ids of the text between two spaces or line breaks; no token reaches over those.
 
     A chunk is a word and the marks after it. Lower-case words of plain letters are one unit of
-    the tokenizer and go straight to its merges, all else takes its whole way.
+    the tokenizer and go straight to its merges, all else takes its whole way, as it stands where
+    it holds the name of a special token in any case.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their names in a text are text
     merges, letters = tokenizer.model.tokenize, _byte_letters()
+    special = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def of_words(words: list[str]) -> dict[str, bytes]:
         out, other = {}, []
@@ -82,7 +86,7 @@ def _chunks(path: str) -> Memory:
         for chunk in chunks:
             word = chunk.rstrip(MARKS)
             low = word.lower()
-            if low and low[-1].isalpha() and max(word) < PLAIN_END:
+            if low and low[-1].isalpha() and max(word) < PLAIN_END and not any(s in low for s in special):
                 split.append((low, chunk[len(word):]))
             else:
                 split.append((chunk, ""))
@@ -92,11 +96,23 @@ def _chunks(path: str) -> Memory:
     return Memory(of_chunks, CHUNKS)
 
 
-def token_ids(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, without a separator."""
-    cut = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
-    look = _chunks(path).learn({chunk for text in cut for chunk in text})
-    return [b"".join(map(look, text)) for text in cut]
+def token_ids(texts: pa.Array, path: str) -> list[bytes]:
+    """Ids of whole texts as little-endian unsigned 32-bit integers, without a separator.
+
+    Arrow splits the texts and numbers their distinct chunks; only those are tokenised, and one
+    gather lays out the ids of all texts, so no Python runs per token.
+    """
+    chunks = pc.split_pattern(pc.replace_substring(pc.fill_null(pc.cast(texts, pa.large_string()), ""), "\n", " "), " ")
+    coded = chunks.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    look = _chunks(path).learn(set(distinct))
+    flat = pa.array([look(c) for c in distinct], pa.large_binary()).take(coded.indices)
+    if not len(flat):
+        return [b""] * len(texts)
+    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset:flat.offset + len(flat) + 1]
+    data = memoryview(flat.buffers()[2] or b"")
+    at = ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()].tolist()
+    return [bytes(data[i:j]) for i, j in zip(at, at[1:])]
 
 
 def pieces(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPACITY,
@@ -107,11 +123,11 @@ def pieces(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPACI
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, numbers, ids = [], [], []
-        for at, part in enumerate(pieces_of(batch)):
-            for i, coded in enumerate(token_ids(part.column(1).to_pylist(), path)):
+        for at, part in enumerate(pieces_of(batch, TOGETHER)):
+            for i, coded in enumerate(token_ids(part.column(1), path)):
                 coded += end
                 for number, start in enumerate(range(0, len(coded), width)):
-                    rows.append(at * 256 + i)
+                    rows.append(at * TOGETHER + i)
                     numbers.append(number)
                     ids.append(coded[start:start + width])
         number = np.array(numbers, np.int32)
@@ -189,18 +205,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[tup
 
 
 def pack(rows: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to written rows that have ``key``, piece and length."""
+    """Adds sequence_id and offset to written rows that have ``key``, piece, length and ids_crc32."""
     spark = rows.sparkSession
     sizes = {r.length: r.n for r in
              rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = plan(sizes, capacity)
     salts = max(partitions(spark), sum(sizes.values()) // RANKED_TOGETHER + 1)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before = (salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("before", F.sum("n").over(
                   Window.partitionBy("length").orderBy("salt")) - F.col("n"))
               .drop("n"))
-    order = Window.partitionBy("length", "salt").orderBy(key, "piece")
+    order = Window.partitionBy("length", "salt").orderBy(key, "piece", "ids_crc32")
     ranked = (salted.withColumn("place", F.row_number().over(order))
               .join(before, ["length", "salt"])
               .withColumn("rank", F.col("before") + F.col("place") - 1)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,19 +39,25 @@ def test_plan_fills_without_overlap(counts):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_those_of_the_tokenizer(tokenizer):
     texts = ["It's  A\tcafé\n\n1234", "É é ́x", "<|endoftext|> a", "", None, "ΑΣ ΑΣ　x", "İI", "Don't stop, it's 'quoted.", "(hi) a1, ÉTÉ!! über%%% x.y.",
-             "Straße; ǅ &&& a*b* ÀB́,"]
-    for text, ids in zip(texts, packing.token_ids(texts, PATH)):
+             "Straße; ǅ &&& a*b* ÀB́,", "x<|endoftext|>y, <|ENDOFTEXT|>abc <|startoftext|>abc! <|EndOfText|>.",
+             "  <|endoftext|><|endoftext|>\n<|endof text|> end<|", " ", "\n\n"]
+    for text, ids in zip(texts, packing.token_ids(pa.array(texts), PATH)):
         want = tokenizer.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, text
 
 
+def test_slices_and_empty_batches(tokenizer):
+    texts = pa.array([None, "a b", "", "c  d\ne", None, "a b"])
+    whole = packing.token_ids(texts, PATH)
+    assert packing.token_ids(texts.slice(1, 3), PATH) == whole[1:4]
+    assert packing.token_ids(texts.slice(0, 0), PATH) == [] and packing.token_ids(pa.array([None, ""]), PATH) == [b"", b""]
+
+
 def test_rows(spark, tokenizer):
     texts = [None, "", "a b c", "a b c", "word " * 5000, "x " * 1200, "y " * 900, "z " * 30]
     df = spark.createDataFrame([(i // 2 * 2, t, 9) for i, t in enumerate(texts)],
