@@ -6,7 +6,9 @@ the path of its minwise shingles. Nodes with one class are left; nodes up to ``L
 compared pair by pair; larger ones branch by further minwise shingles, and besides every class in
 them is compared with a pivot. In the first trees the pivot is also the class that agrees best with
 the most frequent minwise values of the node, the original of a family of copies; such a hub is
-compared with all classes it shares a large first node with in any tree.
+compared with all classes it shares a large first node with in any tree. Classes whose sketches say
+that a pivot stands for them do not branch on, so deeper nodes grow with the number of families and
+not with that of copies; the exact join below covers every class of a large first node all the same.
 
 Sketches decide which of these pairs are worth a look; a pair is a link only if its full sets say
 so: 100 * intersection >= 75 * union, on 64-bit hashes of the shingles. First every class is
@@ -29,11 +31,12 @@ columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewatch.llm.common import by_batch, pieces_of, words, written
@@ -160,6 +163,7 @@ def _hubs(big: DataFrame, classes: DataFrame) -> DataFrame:
     usual = (counted.groupBy("node", "slot", "value").count()
              .groupBy("node", "slot").agg(F.max(F.struct("count", "value"))["value"].alias("value"))
              .groupBy("node").agg(F.sort_array(F.collect_list(F.struct("slot", "value")))["value"].alias("usual")))
+    usual = written(usual, "usual")
 
     def agree(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = _values(batch.column(2))[:, -HUB_SLOTS:].astype(np.int64)
@@ -176,7 +180,8 @@ def _hub_spokes(big: DataFrame, hubs: DataFrame) -> DataFrame:
     """class, pivot: every class of a large node with that of the hubs there that most nodes named."""
     big = big.select("class", "node")
     named = hubs.groupBy(F.col("hub").alias("class")).agg(F.count(F.lit(1)).alias("votes"))
-    first = big.join(named, "class").groupBy("node").agg(F.max(F.struct("votes", "class"))["class"].alias("pivot"))
+    first = written(big.join(named, "class").groupBy("node").agg(
+        F.max(F.struct("votes", "class"))["class"].alias("pivot")), "named")
     return big.join(first, "node").select("class", "pivot")
 
 
@@ -224,57 +229,77 @@ def _leaf_pairs(leaves: DataFrame) -> DataFrame:
     return leaves.mapInArrow(run, PAIR)
 
 
+def _looked_at(spokes: DataFrame, small: DataFrame) -> DataFrame:
+    """class, pivot, alike: the spokes whose sketches are worth a look."""
+    both = (spokes.where("class <> pivot").distinct().join(small, "class")
+            .join(small.select(F.col("class").alias("pivot"), F.col("sketch").alias("other")), "pivot")
+            .select("class", "pivot", "sketch", "other"))
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES)
+                    for i in (2, 3))
+        alike = _alike(one, two)
+        keep = pa.array(np.flatnonzero(alike >= WORTH))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(keep), batch.column(1).take(keep), pa.array(alike).take(keep)],
+            ["class", "pivot", "alike"])
+
+    return written(by_batch(both, look, "class bigint, pivot bigint, alike double"), "spokes")
+
+
+def _stood_for(near: DataFrame, spokes: DataFrame) -> DataFrame:
+    """Classes that a pivot stands for. A pivot is stood for by pivots of lower number only, so that one stays."""
+    share = SIMILAR[0] / SIMILAR[1]
+    pivots = spokes.select(F.col("pivot").alias("class"), F.lit(True).alias("leads")).distinct()
+    return written(near.where(F.col("alike") >= share).join(pivots, "class", "left").where(
+        "leads IS NULL OR pivot < class").select("class").distinct(), "stood-for")
+
+
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Pairs of classes that meet in a small node or at a pivot, with their estimated similarity.
 
     star tells pairs with a pivot. Beside them the classes of large first nodes, if there are any.
     """
+    def sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = _sketch(_values(batch.column(1)))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([h.tobytes() for h in held], pa.binary())], ["class", "sketch"])
+
+    small = written(by_batch(classes.select("class", "minwise"), sketches, "class bigint, sketch binary"), "sketches")
     rows = _first_nodes(classes)
     leaves, stars, crowded = [], [], None
     for turn, level in enumerate(LEVELS):
         order = F.xxhash64("class", F.lit(21))
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"),
-                                          F.min(F.struct(order, "class"))["class"].alias("pivot"))
-        nodes = written(rows.join(counts.where("n > 1"), "node"), "nodes")
+        # Written, so that joins with it may split a node that very many classes share.
+        counts = written(rows.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "class"))["class"].alias("pivot")).where("n > 1"), "counts")
+        nodes = written(rows.join(counts, "node"), "nodes")
         leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "class"))
         big = nodes.where(F.col("n") > LEAF)
         if big.isEmpty():
             break
-        stars.append(big.select("class", "pivot"))
+        spokes = big.select("class", "pivot")
         if turn == 0:
             crowded = written(big.select("class").distinct(), "crowded")
             hubs = written(_hubs(big, classes), "hubs")
-            stars.append(big.join(hubs, "node").select("class", F.col("hub").alias("pivot")))
-            stars.append(_hub_spokes(big, hubs))
+            spokes = spokes.union(big.join(hubs, "node").select("class", F.col("hub").alias("pivot")))
+            spokes = spokes.union(_hub_spokes(big, hubs))
+        spokes = written(spokes.distinct(), "pivots")
+        near = _looked_at(spokes, small)
+        stars.append(near)
         if turn + 1 < len(LEVELS):
-            rows = _next_nodes(big.select("class", "tree"), classes, LEVELS[turn + 1])
-
-    def sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = _sketch(_values(batch.column(1)))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([h.tobytes() for h in held], pa.binary())], ["class", "sketch"])
+            open_ = big.select("class", "tree").join(_stood_for(near, spokes), "class", "left_anti")
+            rows = _next_nodes(open_, classes, LEVELS[turn + 1])
 
-    small = written(by_batch(classes.select("class", "minwise"), sketches, "class bigint, sketch binary"), "sketches")
     together = leaves[0]
     for more in leaves[1:]:
         together = together.union(more)
     sorted_ = (together.join(small, "class").select("node", "class", "sketch")
                .repartition("node").sortWithinPartitions("node"))
     found = _leaf_pairs(sorted_).withColumn("star", F.lit(False))
-    if stars:
-        spokes = stars[0]
-        for more in stars[1:]:
-            spokes = spokes.union(more)
-        spokes = (spokes.where("class <> pivot").distinct().join(small, "class")
-                  .join(small.select(F.col("class").alias("pivot"), F.col("sketch").alias("other")), "pivot")
-                  .select("class", "pivot", "sketch", "other"))
-
-        def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES)
-                        for i in (2, 3))
-            return _pairs(batch.column(0).to_numpy(), batch.column(1).to_numpy(), _alike(one, two))
-
-        found = found.union(by_batch(spokes, look, PAIR).withColumn("star", F.lit(True)))
+    for near in stars:
+        found = found.union(near.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"),
+                                        "alike", F.lit(True).alias("star")))
     pairs = found.groupBy("a", "b").agg(F.max("alike").alias("alike"), F.max("star").alias("star"))
     return written(pairs, "pairs"), crowded
 
@@ -334,7 +359,8 @@ def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = (pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("held").alias("one")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("held").alias("two")), "b")
             .select("a", "b", "one", "two"))
-    return written(by_batch(rows, confirm, "a bigint, b bigint").distinct(), "links")
+    with batches_of(rows.sparkSession, 256):
+        return written(by_batch(rows, confirm, "a bigint, b bigint").distinct(), "links")
 
 
 def across(sets: DataFrame, known: DataFrame) -> DataFrame:
@@ -386,8 +412,25 @@ def across(sets: DataFrame, known: DataFrame) -> DataFrame:
                    "across")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most: rows that carry texts or whole sets are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per row: key, n_shingles, component_id (least key reachable) and kept."""
+    with batches_of(df.sparkSession, 1000):
+        return _near_duplicates(df, key, text)
+
+
+def _near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = written(signatures(df, key, text), "signatures")
     classes = written(rows.where("class is not null").groupBy("class").agg(
         F.min("key").alias("least"), F.min("minwise").alias("minwise")).where("least is not null"), "classes")
