@@ -15,6 +15,7 @@ named columns are read, so further columns cannot clash. An empty table gives no
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -54,8 +55,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def _chunks(path: str) -> Memory:
-    """Ids of the text between two spaces or line breaks; no token reaches over those.
+def _memories(path: str) -> tuple[Memory, Memory]:
+    """For words, and for whole chunks: ids of the text between two spaces or line breaks; no token reaches over those.
 
     A chunk is a word and the marks after it. Lower-case words of plain letters are one unit of
     the tokenizer and go straight to its merges, all else takes its whole way, as it stands where
@@ -93,7 +94,31 @@ def _chunks(path: str) -> Memory:
         look = words.learn({part for pair in split for part in pair})
         return {c: look(word) + look(marks) for c, (word, marks) in zip(chunks, split)}
 
-    return Memory(of_chunks, CHUNKS)
+    return words, Memory(of_chunks, CHUNKS)
+
+
+def _coded(values: pa.Array, memory: Memory) -> pa.Array:
+    """The ids of every value as bytes, each distinct one looked up once."""
+    coded = values.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    look = memory.learn(set(distinct))
+    return pa.array([look(c) for c in distinct], pa.large_binary()).take(coded.indices)
+
+
+def _of_distinct(chunks: pa.Array, path: str) -> pa.Array:
+    """Ids of distinct chunks. Those of an ASCII word and marks are parted by Arrow, others in Python."""
+    words, whole = _memories(path)
+    # The names of the special tokens begin with "<|"; chunks with that are left to the tokenizer.
+    parted = pc.extract_regex(chunks, rf"(?s)^(?P<word>.*[A-Za-z])(?P<marks>[{re.escape(MARKS)}]*)$")
+    plain = pc.and_(pc.and_(pc.string_is_ascii(chunks), parted.is_valid()),
+                    pc.invert(pc.match_substring(chunks, "<|")))
+    at, other = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (plain, pc.invert(plain)))
+    parted = parted.take(pa.array(at))
+    ids = pc.binary_join_element_wise(
+        _coded(pc.ascii_lower(parted.field("word")), words), _coded(parted.field("marks"), words),
+        pa.scalar(b"", pa.large_binary()))
+    place = np.argsort(np.r_[at, other], kind="stable")
+    return pa.concat_arrays([ids, _coded(chunks.take(pa.array(other)), whole)]).take(pa.array(place))
 
 
 def token_ids(texts: pa.Array, path: str) -> list[bytes]:
@@ -104,9 +129,7 @@ def token_ids(texts: pa.Array, path: str) -> list[bytes]:
     """
     chunks = pc.split_pattern(pc.replace_substring(pc.fill_null(pc.cast(texts, pa.large_string()), ""), "\n", " "), " ")
     coded = chunks.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    look = _chunks(path).learn(set(distinct))
-    flat = pa.array([look(c) for c in distinct], pa.large_binary()).take(coded.indices)
+    flat = _of_distinct(coded.dictionary, path).take(coded.indices)
     if not len(flat):
         return [b""] * len(texts)
     ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset:flat.offset + len(flat) + 1]
