@@ -10,7 +10,7 @@ JOBS = entry_points.queries()
 # Minutes of fitting each; `python tools/check.py` runs them, the operators have tests of their own.
 LONG_FITS = {
     "fs4_forest_importance", "fs7_full_selection", "a22_feature_set_comparison", "m01_model_factory",
-    "m02_algorithm_registry", "m08_algorithm_scan", "m09_hyperparameter_search", "m16_top_importances",
+    "m02_algorithm_registry", "m08_algorithm_scan", "m16_top_importances",
     "m18_model_benchmark", "m19_learning_curves", "s09_tuning_results_csv",
 }
 
