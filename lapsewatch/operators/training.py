@@ -12,9 +12,12 @@ import math
 import random
 import statistics
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
@@ -133,27 +136,59 @@ def score(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:
     return scored.withColumn(name, positive_probability(scored)).select(*df.columns, name)
 
 
-def cross_validate(df: DataFrame, pipeline: Pipeline, k: int = 5, with_train: bool = False
-                   ) -> DataFrame:
-    """Out-of-fold predictions (fold, part, label, prob); everything is refitted in each fold."""
-    rows = spread(splitting.add_fold(df, k)).persist()
+#: Fits of one call that run beside each other.
+PARALLEL = 8
+
+
+def side_by_side(spark: SparkSession, work: Callable, items: Iterable) -> list:
+    """Results of ``work`` on each item, in order, some at a time.
+
+    A fit is a chain of small jobs that leaves most cores idle; Spark shares them among the fits.
+    """
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
+def _fit_on(pipeline: Pipeline, rows: DataFrame, most: int | None) -> PipelineModel:
+    """A fit on rows that are in memory already, or on a part of them that is taken out first."""
+    return pipeline.fit(rows) if most is None else fit(pipeline, rows, most)
+
+
+def out_of_fold(df: DataFrame, pipelines: Mapping[str, Pipeline], k: int = 5, with_train: bool = False,
+                fit_rows: Mapping[str, int] | None = None) -> DataFrame:
+    """Out-of-fold predictions (model, fold, part, label, prob); everything is refitted in each fold.
+
+    All models and folds are fitted side by side, and what each predicts is written at once.
+    ``fit_rows`` bounds the labelled rows that the fits of a model take; all rows are predicted.
+    """
+    rows, bounds = spread(splitting.add_fold(df, k)).persist(), fit_rows or {}
+
+    def predictions(item: tuple[str, int]) -> DataFrame:
+        name, fold = item
+        inside = rows.where(F.col("fold") != fold)
+        model = _fit_on(pipelines[name], inside, bounds.get(name))
+        held = {"validation": rows.where(F.col("fold") == fold)}
+        if with_train:
+            held["train"] = inside
+        return materialise(_union([
+            score(model, part).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"),
+                                      F.lit(of).alias("part"), "label", "prob")
+            for of, part in held.items()]), "cv-predictions")
+
     try:
-        parts = []
-        for fold in range(k):
-            inside = rows.where(F.col("fold") != fold)
-            model = pipeline.fit(inside)
-            held = {"validation": rows.where(F.col("fold") == fold)}
-            if with_train:
-                held["train"] = inside
-            parts += [
-                score(model, part).select(
-                    F.lit(fold).alias("fold"), F.lit(name).alias("part"), "label", "prob")
-                for name, part in held.items()]
-        return materialise(_union(parts), "cv-predictions")
+        rows.count()  # in memory before the fits ask for them together
+        return _union(side_by_side(df.sparkSession, predictions, [(m, f) for m in pipelines for f in range(k)]))
     finally:
         rows.unpersist()
 
 
+def cross_validate(df: DataFrame, pipeline: Pipeline, k: int = 5, with_train: bool = False,
+                   fit_rows: int | None = None) -> DataFrame:
+    """Out-of-fold predictions (fold, part, label, prob) of one pipeline."""
+    bounds = {} if fit_rows is None else {"one": fit_rows}
+    return out_of_fold(df, {"one": pipeline}, k, with_train, bounds).drop("model")
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
@@ -169,12 +204,12 @@ def dummy_predictions(df: DataFrame, k: int = 5) -> DataFrame:
         (splitting.hash_share(salt="dummy:") < rate).cast("double").alias("prob"))
 
 
-def scan(df: DataFrame, pipelines: Mapping[str, Pipeline], k: int = 5) -> DataFrame:
+def scan(df: DataFrame, pipelines: Mapping[str, Pipeline], k: int = 5,
+         fit_rows: Mapping[str, int] | None = None) -> DataFrame:
     """Leaderboard of several pipelines and a dummy by cross-validated average precision."""
     from lapsewatch.operators import leaderboard
-    parts = [cross_validate(df, p, k).withColumn("model", F.lit(m)) for m, p in pipelines.items()]
-    parts.append(dummy_predictions(df, k).withColumn("model", F.lit("Dummy")))
-    scores = leaderboard.fold_scores(_union(parts))
+    guess = dummy_predictions(df, k).withColumn("model", F.lit("Dummy"))
+    scores = leaderboard.fold_scores(out_of_fold(df, pipelines, k, fit_rows=fit_rows).unionByName(guess))
     return leaderboard.cv_summary(scores).orderBy(F.desc("cv_pr_auc_mean"))
 
 
@@ -194,15 +229,20 @@ def save_model(model: PipelineModel, path: str) -> str:
     return path
 
 
+def has_model(path: str) -> bool:
+    """Whether a model was saved there, asked of whatever store the path is in."""
+    try:
+        SparkSession.active().read.text(f"{path}/metadata")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def load_or_train(path: str | None, train: Callable[[], PipelineModel]) -> PipelineModel:
-    """The saved model when there is one, else a freshly trained one."""
-    if path:
-        try:
-            return PipelineModel.load(path)
-        except Exception as error:  # Spark wraps a missing path in engine-specific errors
-            if "does not exist" not in str(error).lower() and "not found" not in str(error).lower():
-                raise
-    return train()
+    """The saved model when there is one, else a freshly trained one. A broken one is an error."""
+    return PipelineModel.load(path) if path and has_model(path) else train()
 
 
 def log_run(spark: SparkSession, path: str, run_id: str, values: Mapping[str, object],
@@ -215,13 +255,17 @@ def log_run(spark: SparkSession, path: str, run_id: str, values: Mapping[str, ob
 
 
 def experiment(df: DataFrame, pipeline: Pipeline, k: int = 3,
-               attributes: Sequence[str] = ("gender", "SeniorCitizen")) -> DataFrame:
+               attributes: Sequence[str] = ("gender", "SeniorCitizen"),
+               fit_rows: int | None = None) -> DataFrame:
     """Split, cross-validate, fit, calibrate and choose a threshold on validation rows, then
-    measure on test rows: (section, name, value) findings with the release gates."""
+    measure on test rows: (section, name, value) findings with the release gates.
+
+    ``fit_rows`` bounds the labelled rows of each fit; all others are measured as they are.
+    """
     rows = splitting.add_split(df)
     train = rows.where("split = 'train'").drop("split")
-    folds = metrics.ranking_scores(cross_validate(train, pipeline, k), ["fold"])
-    model = fit(pipeline, train)
+    folds = metrics.ranking_scores(cross_validate(train, pipeline, k, fit_rows=fit_rows), ["fold"])
+    model = fit(pipeline, train, fit_rows)
     held = materialise(
         score(model, rows.where("split <> 'train'")).select(
             "customerID", "split", "label", "prob", *attributes), "held-out")
@@ -353,21 +397,22 @@ def best_trial(table: DataFrame) -> DataFrame:
         F.col("best.value").alias("value"), F.col("best.params").alias("params"), "n_pruned", "n_completed")
 
 
-def benchmark(df: DataFrame, pipelines: Mapping[str, Pipeline], k: int = 5) -> DataFrame:
+def benchmark(df: DataFrame, pipelines: Mapping[str, Pipeline], k: int = 5,
+              fit_rows: Mapping[str, int] | None = None) -> DataFrame:
     """Per model: mean and deviation over folds of ROC-AUC, F1 at 0.5 and Brier score, and the
-    milliseconds per scored row."""
-    rows, parts, times = spread(splitting.add_fold(df, k)).persist(), [], []
+    milliseconds per scored row. Fits run side by side; scoring is timed alone."""
+    rows, bounds = spread(splitting.add_fold(df, k)).persist(), fit_rows or {}
+    asked, parts, times = [(m, f) for m in pipelines for f in range(k)], [], []
     try:
-        for name, pipeline in pipelines.items():
-            for fold in range(k):
-                model = pipeline.fit(rows.where(F.col("fold") != fold))
-                held = score(model, rows.where(F.col("fold") == fold)).select(
-                    F.lit(name).alias("model"), F.lit(fold).alias("fold"), "label", "prob")
-                start = time.perf_counter()
-                written = materialise(held, "benchmark")
-                spent = time.perf_counter() - start
-                parts.append(written)
-                times.append((name, fold, spent))
+        rows.count()
+        models = side_by_side(df.sparkSession, lambda item: _fit_on(
+            pipelines[item[0]], rows.where(F.col("fold") != item[1]), bounds.get(item[0])), asked)
+        for (name, fold), model in zip(asked, models):
+            held = score(model, rows.where(F.col("fold") == fold)).select(
+                F.lit(name).alias("model"), F.lit(fold).alias("fold"), "label", "prob")
+            start = time.perf_counter()
+            parts.append(materialise(held, "benchmark"))
+            times.append((name, fold, time.perf_counter() - start))
     finally:
         rows.unpersist()
     spent = df.sparkSession.createDataFrame(times, "model string, fold int, seconds double")
@@ -414,22 +459,24 @@ def learning_curve(df: DataFrame, pipeline: Pipeline, sizes: Sequence[float], k:
     The shares are nested: a larger one contains the smaller ones.
     """
     rows = spread(splitting.add_nested_share(splitting.add_fold(df, k), 100)).persist()
+
+    def predictions(item: tuple[float, int]) -> DataFrame:
+        size, fold = item
+        train = rows.where((F.col("fold") != fold) & (F.col("size_step") <= round(size * 100)))
+        model = pipeline.fit(train)
+        held = {"train": train, "validation": rows.where(F.col("fold") == fold)}
+        return materialise(_union([
+            score(model, part).select(F.lit(float(size)).alias("size"), F.lit(fold).alias("fold"),
+                                      F.lit(name).alias("part"), "label", "prob")
+            for name, part in held.items()]), "learning-curve")
+
     try:
-        parts = []
-        for size in sizes:
-            for fold in range(k):
-                train = rows.where((F.col("fold") != fold)
-                                   & (F.col("size_step") <= round(size * 100)))
-                model = pipeline.fit(train)
-                for name, part in (("train", train),
-                                   ("validation", rows.where(F.col("fold") == fold))):
-                    parts.append(score(model, part).select(
-                        F.lit(float(size)).alias("size"), F.lit(fold).alias("fold"),
-                        F.lit(name).alias("part"), "label", "prob"))
-        predictions = materialise(_union(parts), "learning-curve")
+        rows.count()
+        written = _union(side_by_side(
+            df.sparkSession, predictions, [(size, fold) for size in sizes for fold in range(k)]))
     finally:
         rows.unpersist()
-    scores = metrics.ranking_scores(predictions, ["size", "fold", "part"])
+    scores = metrics.ranking_scores(written, ["size", "fold", "part"])
     return curve_table(scores)
 
 

@@ -7,6 +7,8 @@ names, models and sections there must be, and for each whether it has the proper
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import functions as F
 
@@ -18,13 +20,13 @@ from lapsewatch.operators import (
 from lapsewatch.operators.encoding import routed_stages, vector_names
 from lapsewatch.operators.smalltables import materialise
 from lapsewatch.plans.evaluate import (
-    AT_CUT, COUNTS, CUT, RATIOS, SCAN_SQL, ranking_sql, scan_rows,
+    AT_CUT, COUNTS, CUT, RATIOS, SCAN_SQL, c04, ranking_sql, scan_rows, u05,
 )
 from lapsewatch.plans.explore import CHARGES, hash_share_sql, rounded
 from lapsewatch.plans.intake import model_rows
 from lapsewatch.plans.monitor import DATED_VIEWS, codes, dated_sides, findings_sql
 from lapsewatch.plans.oracle import check
-from lapsewatch.plans.registry import query
+from lapsewatch.plans.registry import CHECKS, query
 from lapsewatch.session import scratch_path
 from lapsewatch.sources import files
 from lapsewatch.sources.tables import scored, subscribers
@@ -32,8 +34,9 @@ from lapsewatch.sources.tables import scored, subscribers
 # Settings of the registered fits where they are not the operators' defaults.
 FAST = {"maxIter": 50}
 # Bound of the labelled rows that the registered tree ensembles are fitted on; they are measured,
-# where they are, on all other rows.
+# where they are, on all other rows. Single trees and linear models take all rows.
 TREE_ROWS = 3000
+FIT_ROWS = {"gradient_boosting": TREE_ROWS, "random_forest": TREE_ROWS}
 
 
 def names_sql(names, **facts) -> str:
@@ -71,13 +74,27 @@ def boosted(select=True):
     return training.model_pipeline("gradient_boosting", select=select)
 
 
+def _as_report(spark, findings):
+    """What a JSON report of the findings says when it is read back."""
+    path = files.write_report(findings, scratch_path(spark, "report"))
+    return spark.read.schema(findings.schema).json(path)
+
+
 @query("s07_json_report", check(
     f"SELECT feature, method, is_drifted FROM ({findings_sql(DATED_VIEWS)})", "features"))
 def s07(spark, sf_dir):
     findings = drift.feature_findings(*dated_sides(spark, sf_dir))
-    path = files.write_report(findings, scratch_path(spark, "report"))
-    return spark.read.schema(findings.schema).json(path).select(
-        "feature", "method", "is_drifted")
+    return _as_report(spark, findings).select("feature", "method", "is_drifted")
+
+
+@query("s07_conformal_json", CHECKS["c04_coverage_report"])
+def s07_conformal(spark, sf_dir):
+    return _as_report(spark, c04(spark, sf_dir))
+
+
+@query("s07_uplift_json", CHECKS["u05_segment_summary"])
+def s07_uplift(spark, sf_dir):
+    return _as_report(spark, u05(spark, sf_dir))
 
 
 @query("e06_importance_selection", check(
@@ -172,7 +189,7 @@ def m02(spark, sf_dir):
     parts = []
     for name in training.ALGORITHMS:
         built = training.model_pipeline(name, select=False, engineer=False)
-        model = training.fit(built, rows.where("split = 'train'"), TREE_ROWS)
+        model = training.fit(built, rows.where("split = 'train'"), FIT_ROWS.get(name))
         parts.append(materialise(training.score(model, rows.where("split = 'test'")).select(
             F.lit(name).alias("model"), "label", "prob"), "predictions"))
     return metrics.ranking_scores(training._union(parts), ["model"]).select(
@@ -221,27 +238,55 @@ SECTIONS = {
 }
 
 
+def _experiment(spark, sf_dir):
+    """The boosted model through the whole experiment."""
+    return training.experiment(engineered(spark, sf_dir), algorithms()["gradient_boosting"], fit_rows=TREE_ROWS)
+
+
+@query("m06_findings")
+def m06_findings(spark, sf_dir):
+    """Every finding with its value."""
+    return _experiment(spark, sf_dir)
+
+
 @query("m06_training_experiment", " UNION ALL ".join(
     f"SELECT '{s}' AS section, UNNEST({names}) AS name, TRUE AS is_finite" for s, names in SECTIONS.items()))
 def m06(spark, sf_dir):
     """The whole experiment; of its findings the sections with a fixed list of names."""
-    found = training.experiment(engineered(spark, sf_dir), linear())
-    return found.where(F.col("section").isin(*SECTIONS)).select(
+    return _experiment(spark, sf_dir).where(F.col("section").isin(*SECTIONS)).select(
         "section", "name", (F.col("value").isNotNull() & ~F.isnan("value")).alias("is_finite"))
 
 
+# Settings of the scan and the benchmark where they are not the operators' defaults: every algorithm is
+# fitted once per fold there.
+SCAN_SETTINGS = {
+    "gradient_boosting": {"maxIter": 20}, "random_forest": {"numTrees": 50, "maxDepth": 8},
+    "logistic_regression": {"maxIter": 20}, "linear_svc": {"maxIter": 10},
+}
+
+
+def algorithms():
+    """A pipeline of every registered algorithm."""
+    return {name: training.model_pipeline(name, SCAN_SETTINGS.get(name), select=False, engineer=False)
+            for name in training.ALGORITHMS}
+
+
+BOARD = sorted(training.ALGORITHMS)
+
+
 def scan_board(spark, sf_dir):
-    """Logistic regression, decision tree and linear machine next to the guess."""
-    return training.scan(engineered(spark, sf_dir), {
-        "logistic_regression": linear(),
-        "decision_tree": training.model_pipeline("decision_tree", select=False, engineer=False),
-        "linear_svc": training.model_pipeline("linear_svc", {"maxIter": 20}, select=False, engineer=False),
-    }, k=3)
+    """Every algorithm next to the guess, by five folds."""
+    return training.scan(materialise(engineered(spark, sf_dir), "engineered"), algorithms(), fit_rows=FIT_ROWS)
 
 
-@query("m08_algorithm_scan", """
-    SELECT * FROM (VALUES ('logistic_regression', TRUE), ('decision_tree', TRUE), ('linear_svc', TRUE),
-      ('Dummy', FALSE)) t(model, better_than_dummy)""")
+@query("m08_leaderboard")
+def m08_leaderboard(spark, sf_dir):
+    """The board itself."""
+    return scan_board(spark, sf_dir)
+
+
+@query("m08_algorithm_scan", f"""
+    SELECT UNNEST({BOARD}) AS model, TRUE AS better_than_dummy UNION ALL SELECT 'Dummy', FALSE""")
 def m08(spark, sf_dir):
     board = materialise(scan_board(spark, sf_dir), "board")
     dummy = board.where("model = 'Dummy'").first()["cv_pr_auc_mean"]
@@ -291,14 +336,14 @@ def m09_trials(spark, sf_dir):
     return upto.drop("study", "finished").join(best, "params", "left").fillna(False, ["is_best"])
 
 
-@query("s09_tuning_results_csv", """
-    SELECT UNNEST(['logistic_regression', 'decision_tree', 'linear_svc', 'Dummy']) AS model, TRUE AS as_written""")
+@query("s09_tuning_results_csv", f"""
+    SELECT UNNEST({[*BOARD, 'Dummy']}) AS model, TRUE AS as_written""")
 def s09(spark, sf_dir):
     """The scan leaderboard written as CSV and read back: every row as it was."""
     board = materialise(scan_board(spark, sf_dir), "board")
     path = files.write_csv(board, scratch_path(spark, "leaderboard"))
     back = spark.read.schema(board.schema).option("header", True).csv(path)
-    same = F.col("b.cv_pr_auc_mean").eqNullSafe(F.col("a.cv_pr_auc_mean"))
+    same = reduce(and_, [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in board.columns])
     return board.alias("a").join(back.alias("b"), "model", "left").select("model", same.alias("as_written"))
 
 
@@ -354,12 +399,20 @@ def m16(spark, sf_dir):
         .alias("in_order"))
 
 
-@query("m18_model_benchmark", """
-    SELECT UNNEST(['logistic_regression', 'decision_tree']) AS model, TRUE AS in_range, TRUE AS is_timed""")
+def _benchmark(spark, sf_dir):
+    return training.benchmark(materialise(engineered(spark, sf_dir), "engineered"), algorithms(), fit_rows=FIT_ROWS)
+
+
+@query("m18_measures")
+def m18_measures(spark, sf_dir):
+    """What the benchmark measured."""
+    return _benchmark(spark, sf_dir)
+
+
+@query("m18_model_benchmark", f"""
+    SELECT UNNEST({BOARD}) AS model, TRUE AS in_range, TRUE AS is_timed""")
 def m18(spark, sf_dir):
-    board = training.benchmark(engineered(spark, sf_dir), {
-        "logistic_regression": linear(),
-        "decision_tree": training.model_pipeline("decision_tree", select=False, engineer=False)})
+    board = _benchmark(spark, sf_dir)
     measures = [F.col(f"{m}_mean").between(0.0, 1.0) & (F.col(f"{m}_std") >= 0) for m in training.BENCHMARKED]
     return board.select("model", (measures[0] & measures[1] & measures[2]).alias("in_range"),
                         (F.col("ms_per_row_mean") > 0).alias("is_timed"))
@@ -382,6 +435,11 @@ def m18_scores(spark, sf_dir):
     return rounded(training.benchmark_table(scan_rows(spark, sf_dir)))
 
 
+@query("s07_benchmark_json", CHECKS["m18_benchmark_scores"])
+def s07_benchmark(spark, sf_dir):
+    return _as_report(spark, m18_scores(spark, sf_dir))
+
+
 @query("m18_benchmark_highlights", check(f"""
     SELECT ARG_MAX(model, roc_auc_mean) AS best_roc_auc, ARG_MIN(model, brier_mean) AS best_brier
     FROM ({BENCH_SQL})""", "scored"))
@@ -437,11 +495,17 @@ def m19_diagnosis(spark, sf_dir):
     return training.diagnose_curve(card_curve(spark, sf_dir))
 
 
+@query("m19_fitted_curve")
+def m19_fitted(spark, sf_dir):
+    """The curve itself: means and deviations per size."""
+    return training.learning_curve(engineered(spark, sf_dir), linear(), SIZES)
+
+
 @query("m19_learning_curves", f"""
     SELECT UNNEST({[*SIZES]}::DOUBLE[]) AS size, TRUE AS in_range""")
 def m19(spark, sf_dir):
-    """A fitted curve of ten sizes."""
-    curve = training.learning_curve(engineered(spark, sf_dir), linear(), SIZES, k=2)
+    """A fitted curve of ten sizes and five folds."""
+    curve = m19_fitted(spark, sf_dir)
     return curve.select("size", (F.col("train_mean").between(0.0, 1.0) & F.col("validation_mean").between(0.0, 1.0)
                                  & (F.col("train_std") >= 0)).alias("in_range"))
 

@@ -123,3 +123,26 @@ def test_class_weights_balance(spark, sf_dir):
     table = {r.label: r for r in training.class_weights(engineered(spark, sf_dir)).collect()}
     assert table[0].n * table[0].balanced_weight == pytest.approx(table[1].n * table[1].balanced_weight)
     assert table[1].fixed_weight == K.POSITIVE_CLASS_WEIGHT
+
+
+def test_broken_model_is_an_error(tmp_path):
+    (tmp_path / "metadata").mkdir()
+    assert training.has_model(str(tmp_path)) and not training.has_model(str(tmp_path / "none"))
+    with pytest.raises(Exception):
+        training.load_or_train(str(tmp_path), lambda: "trained")
+
+
+def test_side_by_side_keeps_the_order_and_raises(spark):
+    assert training.side_by_side(spark, lambda n: spark.range(n).count(), range(20)) == list(range(20))
+    with pytest.raises(ZeroDivisionError):
+        training.side_by_side(spark, lambda n: 1 // n, [1, 0])
+
+
+def test_scan_ranks_models_and_bounds_only_their_fits(spark, sf_dir):
+    rows = engineered(spark, sf_dir)
+    tree = training.model_pipeline("decision_tree", select=False, engineer=False)
+    held = training.out_of_fold(rows, {"linear": linear(), "tree": tree}, k=2, fit_rows={"tree": 300})
+    assert {(r.model, r["count"]) for r in held.groupBy("model").count().collect()} == {
+        ("linear", rows.count()), ("tree", rows.count())}
+    board = training.scan(rows, {"linear": linear()}, k=2).collect()
+    assert [r.model for r in board] == ["linear", "Dummy"]
