@@ -3,13 +3,18 @@
 A page becomes a tree of its block elements. The children of an element are a sequence in which
 tandem repeats fold into repeated groups. Two pages of a host align element by element: what both
 have is merged, a mismatch next to an equal group becomes a repetition, any other one an optional
-group, and text becomes a slot that counts characters. Aligning goes on page by page within a
-batch, then wrapper by wrapper, so the pages of a hot host never meet in one task.
-
-The finished wrapper names the path of the element that holds the main text. On the page, the
-text below that path is taken, without the parts that are menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or comments by element, role, class or id. A page that
-lacks the path is its own wrapper.
+group. Texts align with their elements: equal ones are template text, others a slot; of a repeated
+group the first and the last element are told apart. Aligning goes on page by page within a batch,
+then wrapper by wrapper in a tree of fixed fan-in, so the pages of a hot host never meet in one task.
+
+The finished wrapper decides three things. The path of the element that holds the main text. The
+template texts below it: what pages of at least four different articles all say at the same place
+is left out, a heading only if its parent holds no slot. And elements that class or id would drop: one
+whose slots hold more than twice the rest of the main text stays. Apart from these, the text below the path is taken
+without the parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles or comments by element, role, class or id; a paragraph, heading or list item goes only if all
+its classes say so. A page that lacks the path is its own wrapper. Equal pages count as one article,
+so the text of a host of copies is no template.
 
 Blocks are the text between block elements, white space in them is one space, character
 references are decoded once, and blocks are joined by an empty line. A null, empty or textless
@@ -26,6 +31,9 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import lru_cache
+from hashlib import blake2b
+from heapq import nlargest
 
 import pandas as pd
 import pyarrow as pa
@@ -75,6 +83,17 @@ PLAIN_WORDS = frozenset(
     "small large mobile desktop fixed sticky title".split())
 OTHERS_WORDS = frozenset("ad ads advert advertisement sponsored comment comments".split())
 MAIN_WORDS = frozenset("article content main post entry story articlebody maintext".split())
+# A class of readers' comments, but as an id often a chapter.
+CLASS_WORDS = frozenset(["discussion"])
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+#: Different articles that must say the same at the same place to make it template text.
+ARTICLES = 4
+#: Wrappers that meet in one group when a host's wrappers are joined.
+FAN = 16
+#: What ``first`` and ``last`` of a part are once pages differ there.
+SLOT = -1
 
 
 @dataclass
@@ -82,9 +101,19 @@ class Node:
     """An element with its children in order; texts are (in a link, text) pairs among them."""
 
     key: str
-    kind: str = "body"  # body, main, article, content, dropped
+    kind: str = "body"  # body, main, article, content, dropped, doubtful (dropped by class or id)
     items: list = field(default_factory=list)
 
+    def text(self) -> str:
+        """Its own text, without that of the block elements in it."""
+        found = "".join([item[1] for item in self.items if isinstance(item, tuple)])
+        return SPACE.sub(" ", html.unescape(found)).strip() if found else ""
+
+
+def hashed(text: str) -> int:
+    """48 bits for a text, 0 for none."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).digest()) if text else 0
+
 
 def tokens_of(label: str) -> list[set[str]]:
     """The words of each class or id, without numbers."""
@@ -95,13 +124,13 @@ def tokens_of(label: str) -> list[set[str]]:
 def describe(tag: str, rest: str) -> tuple[str, str]:
     """Name of the element for alignment, and what it is."""
     if not rest or rest == "/":
-        words, tokens, role, hidden = set(), [], "", False
+        words, classes, tokens, role, hidden = set(), [], [], "", False
         key = tag
     else:
         named = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(rest)}
-        label = f"{named.get('class', '')} {named.get('id', '')}"
-        words = {w.lower() for w in NAME.findall(label)}
-        tokens = tokens_of(label)
+        classes = tokens_of(named.get("class", ""))
+        words = {w.lower() for w in NAME.findall(f"{named.get('class', '')} {named.get('id', '')}")}
+        tokens = classes + tokens_of(named.get("id", ""))
         role = named.get("role", "").lower()
         hidden = (re.search(r"(?<![\w-])hidden(?![\w=-])", rest) is not None
                   or named.get("aria-hidden") == "true"
@@ -111,7 +140,10 @@ def describe(tag: str, rest: str) -> tuple[str, str]:
         return key, "dropped"
     # A class says what is dropped only as a whole: no-sidebar and comments-open do not.
     drops = [t for t in tokens if t & DROP_WORDS and t <= DROP_WORDS | PLAIN_WORDS]
-    others = any(t & OTHERS_WORDS for t in drops)
+    if tag in TEXTS and not all(t <= DROP_WORDS | PLAIN_WORDS for t in tokens):
+        drops = []
+    comments = [t for t in classes if t & CLASS_WORDS and t <= CLASS_WORDS | PLAIN_WORDS]
+    drops, others = drops + comments, bool(comments) or any(t & OTHERS_WORDS for t in drops)
     if tag == "article":
         return key, "dropped" if others else "article"
     if tag == "main" or role == "main":
@@ -194,6 +226,9 @@ def parse(page: str) -> Node:
     text(len(page))
     if unsure:
         _keep_main(root, unsure)
+        for node in unsure.values():
+            if node.kind == "dropped" and not set(node.key.split(".")[1:]) & (OTHERS_WORDS | CLASS_WORDS):
+                node.kind = "doubtful"
     return root
 
 
@@ -223,7 +258,11 @@ def _keep_main(root: Node, unsure: dict[int, Node]) -> None:
 
 @dataclass
 class Part:
-    """A group of a wrapper: an element, how often it may come, and its slot's characters."""
+    """A group of a wrapper: an element, how often it may come, and its text.
+
+    ``first`` and ``last`` are the hash of the text of its first and last element, or SLOT where
+    pages differ; ``seen`` the least ARTICLES of the articles it came with, while one of both holds.
+    """
 
     key: str
     kind: str
@@ -231,8 +270,15 @@ class Part:
     chars: int
     optional: bool = False
     repeated: bool = False
+    first: int = 0
+    last: int = 0
+    seen: list = field(default_factory=list)
     parts: list = field(default_factory=list)
 
+    def template(self) -> set[int]:
+        """Hashes of the texts that enough different articles share here."""
+        return {self.first, self.last} - {0, SLOT} if len(self.seen) >= ARTICLES else set()
+
     def pattern(self) -> str:
         inner = " ".join([p.pattern() for p in self.parts])
         slot = "#" if self.chars else ""
@@ -245,7 +291,8 @@ class Part:
         out, stack = [], [self]
         while stack:
             part = stack.pop()
-            out.append([part.key, part.kind, part.pages, part.chars, part.optional, part.repeated, len(part.parts)])
+            out.append([part.key, part.kind, part.pages, part.chars, part.optional, part.repeated,
+                        part.first, part.last, part.seen, len(part.parts)])
             stack += reversed(part.parts)
         return out
 
@@ -284,31 +331,39 @@ def fold(parts: list[Part]) -> list[Part]:
             elif len(out) >= 2 * width and [identity(p) for p in out[-2 * width:-width]] == [
                     identity(p) for p in tail]:
                 both = [join(a, b, same_page=True) for a, b in zip(out[-2 * width:-width], tail)]
-                out[-2 * width:] = [Part("()", "body", both[0].pages, 0, False, True, both)]
+                out[-2 * width:] = [Part("()", "body", both[0].pages, 0, False, True, parts=both)]
         parts = out
     return parts
 
 
 def join(a: Part, b: Part, same_page: bool = False) -> Part:
     """The wrapper of what two aligned parts cover."""
-    pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
-    return Part(a.key, a.kind, pages, a.chars + b.chars, a.optional or b.optional,
-                a.repeated or b.repeated, align(a.parts, b.parts))
+    if same_page:
+        pages, first, last, seen = max(a.pages, b.pages), a.first, b.last, a.seen
+    else:
+        pages = a.pages + b.pages
+        first = a.first if a.first == b.first else SLOT
+        last = a.last if a.last == b.last else SLOT
+        seen = sorted({*a.seen, *b.seen})[:ARTICLES] if (first, last) != (SLOT, SLOT) else []
+    # A doubtful element that some page keeps, as its whole article is in it, is kept for the host.
+    kind = b.kind if a.kind == "doubtful" else a.kind
+    return Part(a.key, kind, pages, a.chars + b.chars, a.optional or b.optional,
+                a.repeated or b.repeated, first, last, seen, align(a.parts, b.parts, same_page))
 
 
-def align(a: list[Part], b: list[Part]) -> list[Part]:
+def align(a: list[Part], b: list[Part], same_page: bool = False) -> list[Part]:
     """Two sequences as one: equal parts merge, mismatches become repetitions or options."""
     names_a, names_b = [identity(p) for p in a], [identity(p) for p in b]
     if names_a == names_b:
-        return [join(x, y) for x, y in zip(a, b)]
+        return [join(x, y, same_page) for x, y in zip(a, b)]
     out: list[Part] = []
     for what, i, j, k, m in SequenceMatcher(None, names_a, names_b, autojunk=False).get_opcodes():
         if what == "equal":
-            out += [join(x, y) for x, y in zip(a[i:j], b[k:m])]
+            out += [join(x, y, same_page) for x, y in zip(a[i:j], b[k:m])]
             continue
         for part in (*a[i:j], *b[k:m]):
             if out and identity(out[-1]) == identity(part):
-                out[-1] = join(out[-1], part)
+                out[-1] = join(out[-1], part, same_page)
                 out[-1].repeated = True
             else:
                 part.optional = True
@@ -316,16 +371,19 @@ def align(a: list[Part], b: list[Part]) -> list[Part]:
     return out
 
 
-def expression(node: Node) -> Part:
-    """A page as a wrapper of itself."""
-    chars, parts = 0, []
-    for item in node.items:
-        if isinstance(item, tuple):
-            if not item[0]:
-                chars += len(item[1])
-        else:
-            parts.append(expression(item))
-    return Part(node.key, node.kind, 1, chars, parts=fold(parts))
+def expression(node: Node, article: int | None = None) -> Part:
+    """A page as a wrapper of itself. Its two longest texts stand for its article."""
+    if article is None:
+        longest, stack = [], [node]
+        while stack:
+            top = stack.pop()
+            longest = nlargest(2, {*longest, top.text()}, key=lambda t: (len(t), t))
+            stack += [item for item in top.items if isinstance(item, Node) and item.kind != "dropped"]
+        article = hashed("\n".join(longest))
+    parts = [expression(item, article) for item in node.items if isinstance(item, Node)]
+    chars = sum([len(item[1]) for item in node.items if isinstance(item, tuple) and not item[0]])
+    own = hashed(node.text())
+    return Part(node.key, node.kind, 1, chars, first=own, last=own, seen=[article], parts=fold(parts))
 
 
 def main_path(wrapper: Part) -> str:
@@ -336,7 +394,7 @@ def main_path(wrapper: Part) -> str:
     best: dict[str, tuple[int, str]] = {}
 
     def walk(part: Part, path: str) -> int:
-        if part.kind == "dropped":
+        if part.kind in ("dropped", "doubtful"):
             return 0
         here = path if part.key == "()" else f"{path}/{part.key}"
         chars = part.chars
@@ -355,8 +413,59 @@ def main_path(wrapper: Part) -> str:
     return ""
 
 
-def blocks(node: Node, path: str) -> list[str]:
-    """Texts of the blocks below every element at the path, in page order."""
+def decisions(wrapper: Part) -> dict:
+    """What the wrapper decides: path of the main text, template texts by path, doubtful paths that stay."""
+    main = main_path(wrapper)
+    template: dict[str, set[int]] = {}
+    doubtful: dict[str, int] = {}
+    sure = 0
+
+    def walk(part: Part, path: str, inside: bool, doubt: str) -> tuple[bool, list]:
+        """Whether there is a slot in the part, and its headings that are template text."""
+        nonlocal sure
+        group = part.key == "()"
+        here = path if group else f"{path}/{part.key}"
+        inside = inside or here == main
+        if part.kind == "dropped":
+            return False, []
+        if part.kind == "doubtful" and inside and not doubt:
+            doubt = here
+        if inside and doubt:
+            doubtful[doubt] = doubtful.get(doubt, 0) + (part.chars if SLOT in (part.first, part.last) else 0)
+        elif inside:
+            sure += part.chars
+        slot, headings = SLOT in (part.first, part.last), []
+        for inner in part.parts:
+            some, names = walk(inner, here, inside, doubt)
+            slot = slot or some
+            headings += names
+        same = part.template() if inside else set()
+        if same and part.key.split(".")[0] in HEADINGS:
+            return slot, [*headings, (here, same)]
+        if same:
+            template.setdefault(here, set()).update(same)
+        if slot and not group:
+            headings = []
+        elif not group:
+            for name, texts in headings:
+                template.setdefault(name, set()).update(texts)
+            headings = []
+        return slot, headings
+
+    varies, _ = walk(wrapper, "", not main, "")
+    most = max(doubtful, key=doubtful.get, default="")
+    keep = [most] if most and doubtful[most] > 2 * sure else []
+    return {"path": main, "template": {k: sorted(v) for k, v in template.items()} if varies else {}, "keep": keep}
+
+
+@lru_cache(maxsize=64)
+def _read(held: str) -> dict:
+    return json.loads(held)
+
+
+def blocks(node: Node, decided: dict) -> list[str] | None:
+    """Texts of the blocks below every element at the path, in page order; None if there is none."""
+    path, template, keep = decided["path"], decided["template"], set(decided["keep"])
     out: list[str] = []
     run: list[str] = []
 
@@ -367,12 +476,15 @@ def blocks(node: Node, path: str) -> list[str]:
                 out.append(whole)
             run.clear()
 
-    # Explicit stack: pages may nest without bound. Entries: (node, path, inside, next item).
-    stack = [[node, "/" + node.key, not path, 0]]
+    def quiet(at: Node, here: str) -> bool:
+        return here in template and hashed(at.text()) in template[here]
+
+    # Explicit stack: pages may nest without bound. Entries: (node, path, inside, next item, quiet).
+    stack = [[node, "/" + node.key, not path, 0, not path and quiet(node, "/" + node.key)]]
     found = not path
     while stack:
         top = stack[-1]
-        current, here, inside, i = top
+        current, here, inside, i, still = top
         if i == len(current.items):
             if inside:
                 flush()
@@ -381,26 +493,28 @@ def blocks(node: Node, path: str) -> list[str]:
         top[3] += 1
         item = current.items[i]
         if isinstance(item, tuple):
-            if inside:
+            if inside and not still:
                 run.append(item[1])
         elif item.kind != "dropped":
+            below = f"{here}/{item.key}"
+            if item.kind == "doubtful" and below not in keep:
+                continue
             if inside:
                 flush()
-            below = f"{here}/{item.key}"
             enters = inside or below == path
             found = found or enters
-            stack.append([item, below, enters, 0])
-    return out if found else ["\0"]
+            stack.append([item, below, enters, 0, enters and quiet(item, below)])
+    return out if found else None
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """The main text of a page by its host's path, or by its own if it lacks that."""
+def extract(page: str | None, decided: str | None) -> str:
+    """The main text of a page by its host's wrapper, or by its own if it lacks the path."""
     if not page:
         return ""
     tree = parse(page)
-    found = blocks(tree, path) if path is not None else ["\0"]
-    if found == ["\0"]:
-        found = blocks(tree, main_path(expression(tree)))
+    found = blocks(tree, _read(decided)) if decided is not None else None
+    if found is None:
+        found = blocks(tree, decisions(expression(tree))) or []
     return "\n\n".join(found)
 
 
@@ -419,10 +533,10 @@ def _merged(packed: Iterator[str]) -> str:
 
 
 def wrappers(pages: DataFrame, html_column: str = "html", host: str = "host") -> DataFrame:
-    """host, wrapper (packed), expression and path: one row per host.
+    """host, wrapper (packed), expression and decisions: one row per host.
 
     Pages align within their batch first; then at most one wrapper a host and batch moves on,
-    joined in salted groups and at last by host.
+    joined in salted groups, each level FAN of the groups before, until one is left.
     """
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[str, Part] = {}
@@ -439,36 +553,42 @@ def wrappers(pages: DataFrame, html_column: str = "html", host: str = "host") ->
     rows = by_batch(pages.select(F.col(host).alias("host"), F.col(html_column).alias("html")), work,
                     "host string, wrapper string")
     salts = max(2, partitions(pages.sparkSession))
-    some = rows.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int"))
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int"))
 
     def join_rows(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [_merged(frame["wrapper"])]})
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [_merged(frame["wrapper"])],
+                             "salt": [frame["salt"].iloc[0]]})
 
     def finish(frame: pd.DataFrame) -> pd.DataFrame:
         held = _merged(frame["wrapper"])
         whole = Part.unpack(json.loads(held))
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [held],
-                             "expression": [whole.pattern()], "path": [main_path(whole)]})
+                             "expression": [whole.pattern()], "decided": [json.dumps(decisions(whole))]})
 
-    first = some.groupBy("host", "salt").applyInPandas(join_rows, "host string, wrapper string")
-    return first.groupBy("host").applyInPandas(
-        finish, "host string, wrapper string, expression string, path string")
+    while True:
+        joined = joined.groupBy("host", "salt").applyInPandas(join_rows, "host string, wrapper string, salt int")
+        if salts <= FAN:
+            break
+        salts = -(-salts // FAN)
+        joined = joined.withColumn("salt", F.col("salt") % salts)
+    return joined.groupBy("host").applyInPandas(
+        finish, "host string, wrapper string, expression string, decided string")
 
 
 def main_text(df: DataFrame, key: str, url: str, html_column: str) -> DataFrame:
     """key, url and text of every page."""
     pages = df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html_column).alias("html"),
                       host_of(F.col(url)).alias("host"))
-    paths = written(wrappers(pages).select("host", "path"), "wrappers")
+    decided = written(wrappers(pages).select("host", "decided"), "wrappers")
     kind = df.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
         for piece in pieces_of(batch):
-            texts += [extract(page, path) for page, path in
+            texts += [extract(page, held) for page, held in
                       zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
 
-    joined = pages.join(paths, "host", "left").select("key", "url", "html", "path")
+    joined = pages.join(decided, "host", "left").select("key", "url", "html", "decided")
     return by_batch(joined, work, f"key {kind}, url string, text string").withColumnRenamed("key", key)

@@ -87,3 +87,65 @@ def test_deep_wrappers_are_joined_and_packed():
     whole = join(expression(parse(deep)), expression(parse(deep)))
     again = wrappers.Part.unpack(wrappers.json.loads(wrappers.json.dumps(whole.pack())))
     assert again.pack() == whole.pack() and wrappers.main_path(again).endswith("/div/article")
+
+
+def told(*bodies):
+    """What the wrapper of these pages leaves of each."""
+    whole = None
+    for body in bodies:
+        part = expression(parse(page(body)))
+        whole = part if whole is None else join(whole, part)
+    decided = wrappers.json.dumps(wrappers.decisions(whole))
+    return [extract(page(body), decided) for body in bodies]
+
+
+BOX = "<div class='box'>Follow us today on every channel we run</div>"
+
+
+def test_template_text_goes_and_slots_stay():
+    bodies = [f"<article><h1>Title {i}</h1><p>story {i} x{'x' * i}</p>{BOX}<p>end {i}</p></article>" for i in range(10)]
+    assert told(*bodies) == [f"Title {i}\n\nstory {i} x{'x' * i}\n\nend {i}" for i in range(10)]
+    # Three articles are too few to tell, however many copies of them there are.
+    assert all("Follow us" in t for t in told(*bodies[:3] * 4))
+    # An option with one text on all its pages is template text as well.
+    some = [b if i % 2 else b.replace(BOX, "") for i, b in enumerate(bodies)]
+    assert not any("Follow us" in t for t in told(*some))
+
+
+def test_ends_of_repeated_groups_are_told_apart():
+    bodies = [f"<article><h1>T {i}</h1><p>a {i}</p><p>{'b' * (i + 1)}</p><p>Read more on our site.</p></article>"
+              for i in range(4)]
+    assert told(*bodies) == [f"T {i}\n\na {i}\n\n{'b' * (i + 1)}" for i in range(4)]
+
+
+def test_headings_stay_beside_slots():
+    bodies = [f"<article><h1>T {i}</h1><h2>Summary</h2><p>a longer text {i}</p><section><h3>About us</h3><div>We write"
+              f"</div></section></article>" for i in range(4)]
+    assert told(*bodies) == [f"T {i}\n\nSummary\n\na longer text {i}" for i in range(4)]
+
+
+def test_a_host_of_copies_keeps_its_text():
+    body = "<article><h1>T</h1><p>the same on all pages</p></article>"
+    assert told(*[body] * 5) == ["T\n\nthe same on all pages"] * 5
+
+
+def test_slots_overrule_classes_when_they_hold_the_text():
+    bodies = [f"<article><h1>T {i}</h1><div class='widget'><p>{'long text ' * 9}{i}</p></div></article>" for i in range(3)]
+    assert told(*bodies) == [f"T {i}\n\n{'long text ' * 9}{i}" for i in range(3)]
+
+
+@pytest.mark.parametrize("body,text", [
+    ("<article><p>story</p><section class='discussion'><p>I disagree</p></section></article>", "story"),
+    ("<article><p>story</p><section id='discussion'><p>results</p></section></article>", "story\n\nresults"),
+    ("<article><p class='highlight widget'>of the article</p><p>story</p></article>", "of the article\n\nstory"),
+    ("<article><p>story</p><p class='ad'>buy</p><p class='notice top'>no</p></article>", "story"),
+])
+def test_single_pages_by_class(body, text):
+    assert extract(page(body), None) == text
+
+
+def test_order_of_joining_is_free_for_template_text(spark):
+    rows = [(i, f"http://h/{i}", page(f"<article><h1>T {i}</h1><p>p {i}</p>{BOX}</article>")) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(20)
+    found = {r.page_id: r.text for r in wrappers.main_text(df, "page_id", "url", "html").collect()}
+    assert found == {i: f"T {i}\n\np {i}" for i in range(60)}
