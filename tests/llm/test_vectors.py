@@ -75,6 +75,62 @@ def test_search(spark, rows):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in out) == want
 
 
+def brute(x, ids, query, k=5):
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = unit @ unit[ids == query][0]
+    near[ids == query] = -9
+    return [int(i) for i in ids[np.lexsort((ids, -near))[:k]]]
+
+
+def test_clusters_need_few_leaves(spark):
+    random = np.random.default_rng(4)
+    centres = random.standard_normal((40, 24)) * 4
+    x = np.repeat(centres, 60, axis=0) + random.standard_normal((2400, 24)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    classes = nearest._few(nearest.usable(df, "vec_id", "embedding"), 6)
+    forest = nearest.Forest(nearest.unit(x), nearest.TREES, 7, 7)
+    leaves = nearest._leaves_needed(classes, forest, 5, 7)
+    assert leaves <= 0.1 * nearest.TREES * 128
+    found = collections.defaultdict(list)
+    for r in nearest.search(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0).collect():
+        found[r.query_id].append((r["rank"], r.vec_id))
+    hit = sum(len({v for _, v in found[q]} & set(brute(x, np.arange(2400), q))) for q in range(0, 2400, 50))
+    assert hit >= 0.9 * 5 * 48
+
+
+def test_leaves_needed_against_brute_force(spark):
+    """The measured number is the least that meets the wanted part of the probes' neighbours."""
+    random = np.random.default_rng(5)
+    x = nearest.unit(random.standard_normal((300, 6)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    classes = nearest._few(nearest.usable(df, "vec_id", "embedding"), 6)
+    forest = nearest.Forest(x, 2, 4, 3)
+    got = nearest._leaves_needed(classes, forest, 5, 7)
+    probes = [r["class"] for r in classes.orderBy(F.xxhash64("class", F.lit(8)), "class").limit(nearest.PROBES).collect()]
+
+    def part(wanted):
+        hit = 0
+        for p in probes:
+            read = set(forest.search(x[p], wanted))
+            hit += sum(bool(read & set(map(int, forest.leaves(x[[v]])[0]))) for v in brute(x, np.arange(300), p))
+        return hit / (5 * len(probes))
+
+    assert part(got) >= nearest.RECALL > part(got - 1)
+
+
+def test_every_width_is_searched(spark):
+    random = np.random.default_rng(6)
+    data = [(i, random.standard_normal(3 if i % 4 == 0 else 8 if i % 4 < 3 else 5).tolist()) for i in range(200)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in nearest.search(df, "vec_id", "embedding", F.col("vec_id") % 10 == 0, share=1.0).collect():
+        found[r.query_id].append((r["rank"], r.vec_id))
+    for query in range(0, 200, 10):
+        held = [(i, v) for i, v in data if len(v) == len(data[query][1])]
+        want = brute(np.array([v for _, v in held]), np.array([i for i, _ in held]), query)
+        assert [v for _, v in sorted(found[query])] == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert nearest.search(df, "vec_id", "embedding", F.lit(True)).count() == 0
