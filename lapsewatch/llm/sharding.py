@@ -132,6 +132,8 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> tupl
         if len(found) == parts - 1:
             break
         bounds = sorted({p for p in probes if 0 < p < top} | set(found.values()))
+    else:
+        raise RuntimeError(f"{len(found)} of {parts - 1} splitters found in {ROUNDS} rounds")
     return [found[i] for i in sorted(found)], rows_in_all
 
 

@@ -27,6 +27,8 @@ def test_near_equal_bytes(spark, hot):
     assert set(sizes) == set(range(8))
     mean, longest = sum(sizes.values()) / 8, max(r.size for r in found)
     assert max(abs(s - mean) for s in sizes.values()) <= 0.01 * mean + longest
+    placed = [texts[r.doc_id] for r in sorted(found, key=lambda r: (r.shard, r.slot))]
+    assert 1 + sum(a != b for a, b in zip(placed, placed[1:])) == len(set(placed))  # copies side by side
     for taken in slots.values():
         assert sorted(taken) == list(range(len(taken)))
 
@@ -37,3 +39,23 @@ def test_repeated_and_empty(spark):
     assert len(found) == 4 and all(0 <= r.shard < 24 for r in found)
     assert len({r.shard for r in found if r.doc_id == 1}) == 1
     assert sharding.shard(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_splitters_against_a_sort(spark):
+    random.seed(8)
+    rows = [(random.choice([7, random.getrandbits(63) - 2**62]), random.getrandbits(63) - 2**62, random.randint(1, 900))
+            for _ in range(3000)]
+    cuts, n = sharding.splitters(spark.createDataFrame(rows, "high bigint, low bigint, size bigint"), 8)
+    keys = sorted((sharding._number(h, low), size) for h, low, size in rows)
+    total = sum(size for _, size in keys)
+    assert n == 3000 and len(cuts) == 7 and cuts == sorted(cuts)
+    for i, cut in enumerate(cuts, 1):
+        below = sum(size for k, size in keys if k < cut)
+        assert abs(below - total * i / 8) <= max(sharding.TOLERANCE * total / 8, 900)
+
+
+def test_missing_splitters_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROUNDS", 1)
+    rows = [(i * 1000, i, 10 + i % 7) for i in range(500)]
+    with pytest.raises(RuntimeError):
+        sharding.splitters(spark.createDataFrame(rows, "high bigint, low bigint, size bigint"), 8, 1e-6)
