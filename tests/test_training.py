@@ -1,4 +1,5 @@
 import json
+import threading
 
 import numpy as np
 import pytest
@@ -132,6 +133,19 @@ def test_broken_model_is_an_error(tmp_path):
         training.load_or_train(str(tmp_path), lambda: "trained")
 
 
+def test_side_by_side_items_keep_their_local_properties(spark):
+    """Each waits until all have set theirs, then reads its own."""
+    context, all_set = spark.sparkContext, threading.Barrier(4, timeout=60)
+
+    def work(n):
+        context.setLocalProperty("item", str(n))
+        all_set.wait()
+        return context.getLocalProperty("item")
+
+    assert training.side_by_side(spark, work, range(4)) == ["0", "1", "2", "3"]
+    assert context.getLocalProperty("item") is None
+
+
 def test_side_by_side_keeps_the_order_and_raises(spark):
     assert training.side_by_side(spark, lambda n: spark.range(n).count(), range(20)) == list(range(20))
     with pytest.raises(ZeroDivisionError):
