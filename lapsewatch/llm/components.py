@@ -39,12 +39,14 @@ class Union:
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As many of the edges as connect the same nodes."""
+    """As many edges as connect the same nodes: each from the least node of a tree to another of its nodes."""
     nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
     union, half = Union(len(nodes)), len(a)
-    keep = [i for i, (x, y) in enumerate(zip(places[:half].tolist(), places[half:].tolist()))
-            if union.join(x, y)]
-    return a[keep], b[keep]
+    for x, y in zip(places[:half].tolist(), places[half:].tolist()):
+        union.join(x, y)
+    roots = np.fromiter(map(union.root, range(len(nodes))), np.int64, len(nodes))
+    other = roots != np.arange(len(nodes))
+    return nodes[roots[other]], nodes[other]
 
 
 def _local_forest(edges: DataFrame) -> DataFrame:
@@ -61,29 +63,29 @@ def _stars(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(
         "a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b")
-    large = large.where("a < b").distinct()
+    large = edges.join(least, "a").select(F.col("m").alias("a"), "b")
     low = large.groupBy("b").agg(F.min("a").alias("m"))
-    small = large.join(low, "b")
-    return small.select(F.col("m").alias("a"), "b").union(
-        small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
+    moved = large.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return low.select(F.col("m").alias("a"), "b").union(moved.distinct())
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: no node has lesser and greater neighbours, or two lesser ones."""
+    both = edges.select("a", "b", F.lit(0).alias("low")).union(
+        edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("low")))
+    return both.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"), F.sum("low").alias("low")).where(
+        "low > 1 OR low = 1 AND most > a").isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Columns node and component (least node reachable), for every node that has an edge."""
     pairs = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b")
-    now = written(_local_forest(pairs).distinct(), "edges")
-    seen = None
+    now = written(_local_forest(pairs), "edges")
     for _ in range(MOST_ROUNDS):
         now = written(_stars(now), "edges")
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")),
-                        F.sum(F.xxhash64("b", "a") % F.lit(1 << 40))).first()
-        if state == seen:
+        if _settled(now):
             break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
-    found = now.groupBy("b").agg(F.min("a").alias("component"))
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return found.select(F.col("b").alias("node"), "component").union(
-        roots.join(found.select(F.col("b").alias("node")), "node", "left_anti"))
+    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)

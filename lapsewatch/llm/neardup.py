@@ -15,7 +15,7 @@ so: 100 * intersection >= 75 * union, on 64-bit hashes of the shingles. First ev
 confirmed with its best partner and with its pivots, linear in the number of classes; then
 whatever candidates are still in different components.
 
-Classes of large first nodes are then joined exactly, for branching and pivots lose links: copies
+With these, classes of large first nodes are joined exactly, for branching and pivots lose links: copies
 that are near their original only, and pairs among many documents with a common passage. Every
 link between two components shares a shingle among the first quarter of each set, in an order that
 puts shingles of one component first and frequent ones last, so only those rows are joined, and no
@@ -231,7 +231,7 @@ def _leaf_pairs(leaves: DataFrame) -> DataFrame:
 
 def _looked_at(spokes: DataFrame, small: DataFrame) -> DataFrame:
     """class, pivot, alike: the spokes whose sketches are worth a look."""
-    both = (spokes.where("class <> pivot").distinct().join(small, "class")
+    both = (spokes.where("class <> pivot").join(small, "class")
             .join(small.select(F.col("class").alias("pivot"), F.col("sketch").alias("other")), "pivot")
             .select("class", "pivot", "sketch", "other"))
 
@@ -289,7 +289,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         stars.append(near)
         if turn + 1 < len(LEVELS):
             open_ = big.select("class", "tree").join(_stood_for(near, spokes), "class", "left_anti")
-            rows = _next_nodes(open_, classes, LEVELS[turn + 1])
+            rows = written(_next_nodes(open_, classes, LEVELS[turn + 1]), "deeper")
 
     together = leaves[0]
     for more in leaves[1:]:
@@ -340,7 +340,8 @@ def full_sets(df: DataFrame, key: str, text: str, classes: DataFrame, ends: Data
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())],
                                           ["class", "held"])
 
-    return written(by_batch(docs.join(needed, "key").select("class", "text"), work,
+    # Merged, so that a shuffle parts the two steps in Python: in one stage each would hold a worker of its own.
+    return written(by_batch(docs.join(needed.hint("merge"), "key").select("class", "text"), work,
                             "class bigint, held binary"), "sets")
 
 
@@ -440,20 +441,17 @@ def _near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     sets = full_sets(df, key, text, classes, (ends if crowded is None else ends.union(crowded)).distinct())
     best = ways.groupBy("a").agg(F.max(F.struct("alike", "b"))["b"].alias("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    sure = confirmed(sets, written(best.union(pairs.where("star").select("a", "b")).distinct(), "first"))
+    first = written(best.union(pairs.where("star").select("a", "b")).distinct(), "first")
+    sure = confirmed(sets, first)
     known = written(components(sure), "components")
     one, two = (known.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in "ab")
     apart = (pairs.join(one, "a", "left").join(two, "b", "left")
              .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
-    rest = written(apart.join(written(best.distinct(), "best"), ["a", "b"], "left_anti")
-                   .join(pairs.where("star").select("a", "b"), ["a", "b"], "left_anti"), "second")
-    sure = sure.union(confirmed(sets, rest))
-    final = components(sure)
     if crowded is not None:
-        final = written(final, "components")
-        more = confirmed(sets, across(sets.join(crowded, "class", "left_semi"), final))
-        if not more.isEmpty():
-            final = components(sure.union(more))
+        apart = apart.union(across(sets.join(crowded, "class", "left_semi"), known)).distinct()
+    # What was confirmed or refused above is not looked at again.
+    more = confirmed(sets, written(apart.join(first, ["a", "b"], "left_anti"), "second"))
+    final = known if more.isEmpty() else written(components(sure.union(more)), "components")
     named = classes.select("class", "least").join(final, F.col("class") == F.col("node"), "left").select(
         "class", "least", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

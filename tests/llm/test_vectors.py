@@ -159,3 +159,11 @@ def test_components_of_a_path_and_a_star(spark):
     out = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     want = {i: 100 for i in range(100, 161)} | {i: 5 for i in [5, *range(200, 260)]}
     assert {r.node: r.component for r in out} == want and len(out) == len(want)
+
+
+def test_local_forest_is_stars():
+    """What a batch of edges gives up are edges from the least node of each component, in any order of the edges."""
+    random = np.random.default_rng(3)
+    order = random.permutation(29)
+    a, b = components.forest(np.arange(30, 59)[order], np.arange(31, 60)[order])
+    assert set(a.tolist()) == {30} and sorted(b.tolist()) == list(range(31, 60))
