@@ -20,12 +20,16 @@ from lapsewatch.llm.common import in_fold, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Texts of an Arrow batch: Python workers outlive a stage, and so does the memory of its largest batch.
+TOGETHER = 1000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half; learned outside of fold 0 of five."""
     labels = table(spark, sf_dir, "labels").where(~in_fold("doc_id", 5, 0))
-    model = toxicity.learn(docs, labels, "doc_id", "text", "toxic")
-    return docs.where(toxicity.scorer(model)("text") < 0.5)
+    with neardup.batches_of(spark, TOGETHER):
+        model = toxicity.learn(docs, labels, "doc_id", "text", "toxic")
+        return written(docs.where(toxicity.scorer(model)("text") < 0.5), "clean")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +63,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 2048 tokens."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack_texts(docs, "doc_id", "text", path).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    with neardup.batches_of(spark, TOGETHER):
+        packed = packing.pack_texts(docs, "doc_id", "text", path)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES: list[tuple[str, Stage]] = [
