@@ -89,3 +89,22 @@ def test_odd_rows(spark, tmp_path):
          (3, "mail [EMAIL]", 12, None)], key=key)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], docs.schema), str(tmp_path)).count() == 0
+
+
+def test_texts_travel_in_small_batches(spark, monkeypatch):
+    """While documents are scored an Arrow batch has few texts; the session's setting is as before afterwards."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def scorer(model):
+        seen.append(int(spark.conf.get(name)))
+        return lambda text: F.lit(0.0)
+
+    monkeypatch.setattr(corpus_pipeline.toxicity, "learn", lambda *a: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "scorer", scorer)
+    before, folder = spark.conf.get(name), "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, folder).count() == docs.count()
+    assert seen == [1000] and spark.conf.get(name) == before
