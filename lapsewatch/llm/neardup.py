@@ -12,8 +12,9 @@ not with that of copies; the exact join below covers every class of a large firs
 
 Sketches decide which of these pairs are worth a look; a pair is a link only if its full sets say
 so: 100 * intersection >= 75 * union, on 64-bit hashes of the shingles. First every class is
-confirmed with its best partner and with its pivots, linear in the number of classes; then
-whatever candidates are still in different components.
+confirmed with its best partner and with its pivots, linear in the number of classes; then with the
+medoid of each component that it has a candidate in, for pivots are seldom the original of a family and
+many copies are near that one only; then whatever candidates are still in different components.
 
 With these, classes of large first nodes are joined exactly, for branching and pivots lose links: copies
 that are near their original only, and pairs among many documents with a common passage. Every
@@ -413,6 +414,63 @@ def across(sets: DataFrame, known: DataFrame) -> DataFrame:
                    "across")
 
 
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those pairs whose classes are in different components, with these as of_a and of_b."""
+    one, two = (known.select(F.col("node").alias(n), F.col("component").alias(f"in_{n}")) for n in "ab")
+    return (pairs.join(one, "a", "left").join(two, "b", "left")
+            .select("a", "b", F.coalesce("in_a", "a").alias("of_a"), F.coalesce("in_b", "b").alias("of_b"))
+            .where("of_a <> of_b"))
+
+
+def medoids(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """component, medoid: the member whose set differs least from all sets of its component together.
+
+    For a set c among n others that is the greatest sum of 2 * holders - n over the shingles of c, so two
+    passes over the shingles do, whatever the size of a component.
+    """
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [np.frombuffer(h, np.uint64).astype(np.int64) for h in batch.column(2).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(held)), [len(h) for h in held]))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at),
+             pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))], ["component", "class", "shingle"])
+
+    tokens = by_batch(sets.join(members, "class").select("component", "class", "held"), shingles,
+                      "component bigint, class bigint, shingle bigint", 64)
+    often = written(tokens.groupBy("component", "shingle").agg(F.count(F.lit(1)).alias("holders")), "often")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    sums = tokens.join(often, ["component", "shingle"]).groupBy("component", "class").agg(
+        F.sum("holders").alias("holders"), F.count(F.lit(1)).alias("size"))
+    return sums.join(sizes, "component").groupBy("component").agg(
+        F.max(F.struct(F.expr("2 * holders - n * size").alias("score"), "class"))["class"].alias("medoid"))
+
+
+def to_medoids(sets: DataFrame, known: DataFrame, apart: DataFrame) -> DataFrame:
+    """Pairs of a class and the medoid of a component, of another of whose classes it is a candidate.
+
+    The first pivots of a family are seldom its original, and many copies are near that one only. Left in
+    components of their own, each of them would meet the whole family in ``across``.
+    """
+    met = written(apart.selectExpr("a AS class", "of_b AS component").union(
+        apart.selectExpr("b AS class", "of_a AS component")).distinct(), "met")
+    members = known.join(met.select("component").distinct(), "component").select(F.col("node").alias("class"), "component")
+    many = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("component")
+    centres = written(medoids(sets, written(members.join(many, "component", "left_semi"), "members")), "medoids")
+    return met.join(centres, "component").select(
+        F.least("class", "medoid").alias("a"), F.greatest("class", "medoid").alias("b")).distinct()
+
+
+def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links: only components that these connect are gone through again."""
+    edges = written(_apart(links, known).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "bridges")
+    if edges.isEmpty():
+        return known
+    moved = written(components(edges), "moved")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    before = known.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(before.union(moved.join(known, "node", "left_anti").select("node", "component")), "components")
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of so many rows at most: rows that carry texts or whole sets are large."""
@@ -442,16 +500,16 @@ def _near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     best = ways.groupBy("a").agg(F.max(F.struct("alike", "b"))["b"].alias("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = written(best.union(pairs.where("star").select("a", "b")).distinct(), "first")
-    sure = confirmed(sets, first)
-    known = written(components(sure), "components")
-    one, two = (known.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in "ab")
-    apart = (pairs.join(one, "a", "left").join(two, "b", "left")
-             .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    known = written(components(confirmed(sets, first)), "components")
+    seen = first
+    if crowded is not None:
+        spokes = written(to_medoids(sets, known, _apart(pairs, known)).join(first, ["a", "b"], "left_anti"), "to-medoids")
+        known, seen = joined(known, confirmed(sets, spokes)), first.union(spokes)
+    apart = _apart(pairs, known).select("a", "b")
     if crowded is not None:
         apart = apart.union(across(sets.join(crowded, "class", "left_semi"), known)).distinct()
     # What was confirmed or refused above is not looked at again.
-    more = confirmed(sets, written(apart.join(first, ["a", "b"], "left_anti"), "second"))
-    final = known if more.isEmpty() else written(components(sure.union(more)), "components")
+    final = joined(known, confirmed(sets, written(apart.join(seen, ["a", "b"], "left_anti"), "second")))
     named = classes.select("class", "least").join(final, F.col("class") == F.col("node"), "left").select(
         "class", "least", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 from lapsewatch.llm import neardup
@@ -92,3 +93,41 @@ def test_copies_of_one_original_and_a_common_passage(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = neardup.near_duplicates(df, "doc_id", "text").collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows)
+
+
+def test_copies_of_an_original_do_not_meet_each_other(spark, monkeypatch):
+    """Copies that the first pivots leave alone are linked with the original, not compared with the family."""
+    random_ = random.Random(400)
+    original = [f"w{random_.randrange(10 ** 9)}" for _ in range(150)]
+    texts = [" ".join(original)]
+    for _ in range(400):
+        copy = list(original)
+        for at in random_.sample(range(150), random_.randint(0, 8)):
+            copy[at] = f"x{random_.randrange(10 ** 9)}"
+        texts.append(" ".join(copy))
+    random_.shuffle(texts)
+    rows, real, met = list(enumerate(texts)), neardup.across, []
+
+    def counted(sets, known):
+        met.append(real(sets, known))
+        return met[-1]
+
+    monkeypatch.setattr(neardup, "across", counted)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows)
+    assert met[0].count() <= len(texts)
+
+
+def test_medoid_and_joined_components(spark):
+    def held(*shingles):
+        return np.array(sorted(shingles), np.uint64).tobytes()
+
+    sets = spark.createDataFrame(
+        [(1, held(1, 2, 3, 4, 9)), (2, held(1, 2, 3, 4)), (3, held(1, 2, 3, 8)), (4, held(2, 3, 4, 7)), (9, held(6)), (8, held(6, 7))],
+        "class bigint, held binary")
+    members = spark.createDataFrame([(c, 1) for c in (1, 2, 3, 4)], "class bigint, component bigint")
+    assert [tuple(r) for r in neardup.medoids(sets, members).collect()] == [(1, 2)]
+    known = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node bigint, component bigint")
+    links = spark.createDataFrame([(2, 6), (1, 2), (7, 8)], "a bigint, b bigint")
+    found = sorted(tuple(r) for r in neardup.joined(known, links).collect())
+    assert found == [(1, 1), (2, 1), (5, 1), (6, 1), (7, 7), (8, 7)]
