@@ -13,7 +13,7 @@ not with that of copies; the exact join below covers every class of a large firs
 Sketches decide which of these pairs are worth a look; a pair is a link only if its full sets say
 so: 100 * intersection >= 75 * union, on 64-bit hashes of the shingles. First every class is
 confirmed with its best partner and with its pivots, linear in the number of classes; then with the
-medoid of each component that it has a candidate in, for pivots are seldom the original of a family and
+centre of each component that it has a candidate in, for pivots are seldom the original of a family and
 many copies are near that one only; then whatever candidates are still in different components.
 
 With these, classes of large first nodes are joined exactly, for branching and pivots lose links: copies
@@ -422,31 +422,36 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
             .where("of_a <> of_b"))
 
 
-def medoids(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """component, medoid: the member whose set differs least from all sets of its component together.
+def centres(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """component, centre: the member that differs least from what more than half of its component holds.
 
-    For a set c among n others that is the greatest sum of 2 * holders - n over the shingles of c, so two
-    passes over the shingles do, whatever the size of a component.
+    One pass over the shingles counts them; what most members hold is no longer than twice their mean set.
     """
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = [np.frombuffer(h, np.uint64).astype(np.int64) for h in batch.column(2).to_pylist()]
+        held = [np.frombuffer(h, np.uint64).astype(np.int64) for h in batch.column(1).to_pylist()]
         at = pa.array(np.repeat(np.arange(len(held)), [len(h) for h in held]))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at),
-             pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))], ["component", "class", "shingle"])
+            [batch.column(0).take(at), pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))],
+            ["component", "shingle"])
+
+    def differ(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = [len(np.setxor1d(np.frombuffer(h, np.uint64), np.array(u, np.int64).astype(np.uint64), True))
+                  for h, u in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())],
+                                          ["component", "class", "differ"])
 
-    tokens = by_batch(sets.join(members, "class").select("component", "class", "held"), shingles,
-                      "component bigint, class bigint, shingle bigint", 64)
-    often = written(tokens.groupBy("component", "shingle").agg(F.count(F.lit(1)).alias("holders")), "often")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sums = tokens.join(often, ["component", "shingle"]).groupBy("component", "class").agg(
-        F.sum("holders").alias("holders"), F.count(F.lit(1)).alias("size"))
-    return sums.join(sizes, "component").groupBy("component").agg(
-        F.max(F.struct(F.expr("2 * holders - n * size").alias("score"), "class"))["class"].alias("medoid"))
+    held = sets.join(members, "class").select("component", "class", "held")
+    counted = by_batch(held.select("component", "held"), shingles, "component bigint, shingle bigint", 64).groupBy(
+        "component", "shingle").agg(F.count(F.lit(1)).alias("holders"))
+    sizes = written(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "member-counts")
+    usual = written(counted.join(sizes, "component").where("2 * holders > n").groupBy("component").agg(
+        F.collect_list("shingle").alias("usual")), "usual-shingles")
+    near = by_batch(held.join(usual, "component"), differ, "component bigint, class bigint, differ bigint", 64)
+    return near.groupBy("component").agg(F.min(F.struct("differ", "class"))["class"].alias("centre"))
 
 
-def to_medoids(sets: DataFrame, known: DataFrame, apart: DataFrame) -> DataFrame:
-    """Pairs of a class and the medoid of a component, of another of whose classes it is a candidate.
+def to_centres(sets: DataFrame, known: DataFrame, apart: DataFrame) -> DataFrame:
+    """Pairs of a class and the centre of a component that it has a candidate in.
 
     The first pivots of a family are seldom its original, and many copies are near that one only. Left in
     components of their own, each of them would meet the whole family in ``across``.
@@ -455,9 +460,9 @@ def to_medoids(sets: DataFrame, known: DataFrame, apart: DataFrame) -> DataFrame
         apart.selectExpr("b AS class", "of_a AS component")).distinct(), "met")
     members = known.join(met.select("component").distinct(), "component").select(F.col("node").alias("class"), "component")
     many = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("component")
-    centres = written(medoids(sets, written(members.join(many, "component", "left_semi"), "members")), "medoids")
-    return met.join(centres, "component").select(
-        F.least("class", "medoid").alias("a"), F.greatest("class", "medoid").alias("b")).distinct()
+    found = written(centres(sets, written(members.join(many, "component", "left_semi"), "in-components")), "centres")
+    return met.join(found, "component").select(
+        F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
 
 
 def joined(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -503,7 +508,7 @@ def _near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     known = written(components(confirmed(sets, first)), "components")
     seen = first
     if crowded is not None:
-        spokes = written(to_medoids(sets, known, _apart(pairs, known)).join(first, ["a", "b"], "left_anti"), "to-medoids")
+        spokes = written(to_centres(sets, known, _apart(pairs, known)).join(first, ["a", "b"], "left_anti"), "to-centres")
         known, seen = joined(known, confirmed(sets, spokes)), first.union(spokes)
     apart = _apart(pairs, known).select("a", "b")
     if crowded is not None:

@@ -118,7 +118,7 @@ def test_copies_of_an_original_do_not_meet_each_other(spark, monkeypatch):
     assert met[0].count() <= len(texts)
 
 
-def test_medoid_and_joined_components(spark):
+def test_centre_and_joined_components(spark):
     def held(*shingles):
         return np.array(sorted(shingles), np.uint64).tobytes()
 
@@ -126,7 +126,7 @@ def test_medoid_and_joined_components(spark):
         [(1, held(1, 2, 3, 4, 9)), (2, held(1, 2, 3, 4)), (3, held(1, 2, 3, 8)), (4, held(2, 3, 4, 7)), (9, held(6)), (8, held(6, 7))],
         "class bigint, held binary")
     members = spark.createDataFrame([(c, 1) for c in (1, 2, 3, 4)], "class bigint, component bigint")
-    assert [tuple(r) for r in neardup.medoids(sets, members).collect()] == [(1, 2)]
+    assert [tuple(r) for r in neardup.centres(sets, members).collect()] == [(1, 2)]
     known = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node bigint, component bigint")
     links = spark.createDataFrame([(2, 6), (1, 2), (7, 8)], "a bigint, b bigint")
     found = sorted(tuple(r) for r in neardup.joined(known, links).collect())

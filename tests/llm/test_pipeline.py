@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force on the smallest tables and on odd rows."""
 
 import collections
+import random
 import re
 
 import public_tokenizers
@@ -8,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lapsewatch.llm import neardup
 from test_neardup import brute
 from test_pii import plain
 
@@ -108,3 +110,26 @@ def test_texts_travel_in_small_batches(spark, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert corpus_pipeline.drop_toxic(spark, docs, folder).count() == docs.count()
     assert seen == [1000] and spark.conf.get(name) == before
+
+
+def test_copies_are_compared_with_their_original(spark, monkeypatch):
+    """Of many copies of an original the stage keeps what brute force keeps, without pairs among the copies."""
+    random_, real, met = random.Random(7), neardup.across, []
+    original = [f"w{random_.randrange(10 ** 9)}" for _ in range(150)]
+    texts = [" ".join(original)]
+    for _ in range(300):
+        copy = list(original)
+        for at in random_.sample(range(150), random_.randint(0, 8)):
+            copy[at] = f"x{random_.randrange(10 ** 9)}"
+        texts.append(" ".join(copy))
+    random_.shuffle(texts)
+
+    def counted(sets, known):
+        met.append(real(sets, known))
+        return met[-1]
+
+    monkeypatch.setattr(neardup, "across", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()}
+    assert kept == {i for i, _, component in brute(list(enumerate(texts))) if i == component}
+    assert met[0].count() <= len(texts)
