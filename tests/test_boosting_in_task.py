@@ -55,3 +55,10 @@ def test_a_bounded_fit_runs_few_jobs(spark, rows):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bounded")) < 25
     assert model.transform(df).where("prediction = label").count() > 800
+
+
+def test_missing_numbers_are_an_error(rows):
+    odd = VectorAssembler(inputCols=["a", "b", "d"], outputCol="features", handleInvalid="keep").transform(
+        rows.drop("features").withColumn("d", F.when(F.col("a") > 1, F.col("c"))))
+    with pytest.raises(Exception, match="NaN"):
+        boosting.fit_in_task(training.classifier("gradient_boosting", maxIter=2), odd)
